@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .common import SPACE_RUN, SPACES, plain_text
 
 SYMBOLS = "#*$%&|<>"
-EDGE_PUNCTUATION = ".,;:!?"
 
 #: Frequent function words of the four languages.
 STOP_WORDS = (
@@ -23,6 +22,9 @@ STOP_WORDS = (
     + "el los las y del se por con una no es para su al lo".split()
 )
 
+#: As they stand in running text, so that a word is looked up as it is.
+STOP_FORMS = tuple(sorted({form + end for w in STOP_WORDS for form in (w, w.capitalize()) for end in ("", ".", ",")}))
+
 #: Fixed rules: rows with fewer words, or with a larger share (percent) of words in repeated windows, always fail.
 BASE_MIN_WORDS, BASE_MAX_REPEAT_PCT = 50, 50
 
@@ -44,13 +46,13 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _chars_of(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def _count_of(text: Column, pattern: str) -> Column:
+    return (F.size(F.split(text, pattern, -1)) - 1).cast("long")
 
 
-def _repeat_words(windows: Column, distinct: Column) -> Column:
-    """Positions covered by windows found twice or more. Sorting brings equal windows together; each repeated start
-    adds the positions up to the next one, three at most."""
+def _repeat_words(words: Column) -> Column:
+    """Positions covered by 3-word windows found twice or more. Sorting brings equal windows together; each repeated
+    start adds the positions up to the next one, three at most."""
 
     def repeated_starts(s: Column) -> Column:
         starts = F.transform(s, lambda x, k: F.when((x["w"] == F.get(s, k - 1)["w"]) | (x["w"] == F.get(s, k + 1)["w"]), x["i"]))
@@ -60,8 +62,11 @@ def _repeat_words(windows: Column, distinct: Column) -> Column:
         steps = F.transform(p, lambda v, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - v, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    ordered = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    return F.when(F.size(windows) == distinct, F.lit(0)).otherwise(_let(_let(ordered, repeated_starts), covered)).cast("long")
+    def window(w: Column, i: Column) -> Column:
+        return F.struct(F.concat(w, F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2)).alias("w"), i.alias("i"))
+
+    ordered = F.sort_array(F.slice(F.transform(words, window), F.lit(1), F.size(words) - 2))
+    return _let(_let(ordered, repeated_starts), covered).cast("long")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -69,22 +74,22 @@ def measure(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", plain_text().alias("text")).select(
         "doc_id", "text",
         F.array_remove(F.split("text", SPACE_RUN), "").alias("words"),
-        F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != "").alias("lines"),
+        F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("lines"),
     )
-    n = F.size("words")
     words = F.col("words")
-    threes = F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2)))
-    base = base.withColumn("windows", F.when(n >= 3, F.slice(threes, F.lit(1), n - 2)).otherwise(F.array().cast("array<string>")))
-    base = base.withColumn("n_distinct", F.size(F.array_distinct("windows")))
+    hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    base = base.withColumn("hashes", F.when(F.size("words") >= 3, F.slice(hashes, F.lit(1), F.size("words") - 2)).otherwise(F.array().cast("array<bigint>")))
+    # Windows that differ in hash differ: only texts in which a hash comes back need the windows themselves.
+    base = base.withColumn("again", F.size(F.array_distinct("hashes")) < F.size("hashes")).drop("hashes")
     return base.select(
         "doc_id",
-        n.cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        _chars_of(F.col("text"), SYMBOLS).alias("n_symbols"),
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        _count_of(F.col("text"), "[" + SYMBOLS + "]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("windows"), F.col("n_distinct")).alias("n_repeat_words"),
-        F.size(F.filter(words, lambda w: F.translate(F.lower(w), EDGE_PUNCTUATION, "").isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        _chars_of(F.col("text"), "!").alias("n_exclamations"),
+        F.when(F.col("again"), _repeat_words(words)).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+        F.size(F.filter(words, lambda w: w.isin(*STOP_FORMS))).cast("long").alias("n_stop_words"),
+        _count_of(F.col("text"), "!").alias("n_exclamations"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("lines", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long").alias("n_ellipsis_lines"),
         F.size(F.filter("lines", lambda x: F.ltrim(x).startswith("- ") | F.ltrim(x).startswith("• "))).cast("long").alias("n_bullet_lines"),
@@ -112,7 +117,7 @@ def oracle(thresholds=THRESHOLDS) -> str:
     """The same in DuckDB's SQL, with windows unnested and counted."""
     bounds = [f"{a} * 100 >= {b} * {low}" for a, b, low, _ in thresholds if low is not None]
     bounds += [f"{a} * 100 <= {b} * {high}" for a, b, _, high in thresholds if high is not None]
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stop = ", ".join(f"'{w}'" for w in STOP_FORMS)
     blank = r"'[\x20\x09-\x0D]+'"
     return rf"""
     WITH base AS (
@@ -135,7 +140,7 @@ def oracle(thresholds=THRESHOLDS) -> str:
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
         coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-        len(list_filter(words, lambda x: regexp_replace(lower(x), '[.,;:!?]', '', 'g') IN ({stop})))::BIGINT AS n_stop_words,
+        len(list_filter(words, lambda x: x IN ({stop})))::BIGINT AS n_stop_words,
         length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_exclamations,
         len(lines)::BIGINT AS n_lines,
         len(list_filter(lines, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…'))::BIGINT AS n_ellipsis_lines,
