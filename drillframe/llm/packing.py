@@ -17,6 +17,7 @@ their names.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 import zlib
 from collections import Counter
@@ -35,7 +36,7 @@ from .common import plain_text, stored
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 #: Pieces in a cell of the ranking.
 CELL = 65_536
 
@@ -57,15 +58,17 @@ class WordIds(dict):
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         shifted = iter(range(256, 512))
         self.byte_char = {b: chr(b) if b in printable else chr(next(shifted)) for b in range(256)}
-        self.plain = str.maketrans("", "", "".join(map(chr, range(33, 127))))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() or max(word) < "ɐ":
-            ids = [t.id for p in self.split.findall(word) for t in self.model.tokenize("".join(map(self.byte_char.__getitem__, p.encode())))]
-            found = np.array(ids, "<u4").tobytes()
+        if word[-1] in ".," and word[-2:-1].isalpha():
+            found = self[word[:-1]] + self[word[-1]]
+        elif word.isascii() or max(word) < "ɐ":
+            parts = [word] if word.isalpha() else self.split.findall(word)
+            ids = [t.id for p in parts for t in self.model.tokenize(p if p.isascii() else "".join(map(self.byte_char.__getitem__, p.encode())))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
         else:
             found = self.whole(word)
         if len(self) >= REMEMBERED:
