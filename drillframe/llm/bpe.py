@@ -5,8 +5,8 @@ if it stands at its end and keeps its seam with the last token of what is before
 is appended without looking back further than the longest token, the encoding is read off from the end, and after an
 edit only the states near it are computed anew.
 
-Texts are encoded in units that begin at a blank: the pattern's matches never cross a single blank between words, so a
-unit's ids depend on nothing else. Units met before are looked up, and new ones are encoded in sorted order, so that
+Texts are encoded in units that begin at a blank or line feed: the pattern's matches never cross a single one of them
+between words, so a unit's ids depend on nothing else. Units met before are looked up, and new ones are encoded in sorted order, so that
 each resumes from the prefix that it shares with the one before.
 
 Edge cases: a null text counts as empty; an empty text has no ids, and its digests are those of the empty string;
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -30,7 +32,7 @@ from .common import plain_text
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Units whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 _NEVER = 1 << 60
 
 
@@ -49,7 +51,7 @@ class Vocabulary:
         self.merged: dict[tuple[int, int], int] = {}
         self.seams: dict[tuple[int, int], bool] = {}
         self.longest = max(map(len, ranks))
-        #: Lengths of the tokens that end in a byte, longest first.
+        #: By last byte and number of bytes up to it: lengths of the tokens that may end there, longest first.
         ends: dict[int, set[int]] = {}
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -62,7 +64,8 @@ class Vocabulary:
                 pair = ranks[parts[0]], ranks[parts[1]]
                 self.parts[rank] = pair
                 self.merged[pair] = rank
-        self.sizes = {byte: sorted(sizes, reverse=True) for byte, sizes in ends.items()}
+        self.sizes = {byte: [tuple(s for s in sorted(sizes, reverse=True) if s <= n) for n in range(self.longest + 1)] for byte, sizes in ends.items()}
+        self.length = [len(b) for b in self.bytes_of]
 
     def seam(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when the bytes of both are encoded together.
@@ -133,12 +136,10 @@ class Prefixes:
         return at - start
 
     def _extend(self, data: bytes, at: int, to: int) -> None:
-        ranks, sizes, last, seams, seam = self.vocabulary.ranks, self.vocabulary.sizes, self.last, self.vocabulary.seams, self.vocabulary.seam
+        ranks, sizes, last, seams, seam, longest = self.vocabulary.ranks, self.vocabulary.sizes, self.last, self.vocabulary.seams, self.vocabulary.seam, self.vocabulary.longest
         for end in range(at + 1, to + 1):
-            for size in sizes[data[end - 1]]:
+            for size in sizes[data[end - 1]][end if end < longest else longest]:
                 start = end - size
-                if start < 0:
-                    continue
                 token = ranks.get(data[start:end])
                 if token is None:
                     continue
@@ -154,7 +155,7 @@ class Prefixes:
         out, at = [], len(self.data)
         while at:
             out.append(self.last[at - 1])
-            at -= len(self.vocabulary.bytes_of[out[-1]])
+            at -= self.vocabulary.length[out[-1]]
         return out[::-1]
 
 
@@ -165,16 +166,36 @@ class Codec:
         self.vocabulary = Vocabulary(read_ranks(path))
         self.pattern = regex.compile(pattern)
         self.prefixes = Prefixes(self.vocabulary)
-        self.known: dict[str, list[int]] = {}
+        #: Ids as little-endian bytes: a collector of garbage has nothing to follow in them.
+        self.known: dict[str, bytes] = {}
         self.decimal = [str(i) for i in range(len(self.vocabulary.bytes_of))]
 
     def _units(self, text: str) -> list[str]:
         """The text cut before single blanks, or at the pattern's matches where white space is anything else than single
         blanks and line feeds."""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        words, gaps = text.split(), text.count(" ") + text.count("\n")
+        if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text):
             return self.pattern.findall(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
+        out = []
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            out += ["\n", head] if out else [head]
+            out += [" " + x for x in rest]
+        return out
+
+    def _ids_of(self, unit: str) -> bytes:
+        """A unit of letters is one match; a stop or comma after letters is a match of its own."""
+        if (unit[1:] if unit[:1] == " " else unit).isalpha():
+            self.prefixes.become(unit.encode())
+            ids = self.prefixes.tokens()
+        elif unit[-1:] in (".", ",") and unit[-2:-1].isalpha():
+            base = self.known.get(unit[:-1])
+            if base is None:
+                base = self.known[unit[:-1]] = self._ids_of(unit[:-1])
+            return base + struct.pack("<I", self.vocabulary.ranks[unit[-1].encode()])
+        else:
+            ids = [i for match in self.pattern.findall(unit) for i in Prefixes(self.vocabulary, match.encode()).tokens()]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, units: set[str]) -> None:
         new = sorted(units.difference(self.known))
@@ -182,14 +203,7 @@ class Codec:
             self.known.clear()
             new = sorted(units)
         for unit in new:
-            ids: list[int] = []
-            for n, match in enumerate(self.pattern.findall(unit)):
-                if n == 0:
-                    self.prefixes.become(match.encode())
-                    ids += self.prefixes.tokens()
-                else:
-                    ids += Prefixes(self.vocabulary, match.encode()).tokens()
-            self.known[unit] = ids
+            self.known[unit] = self._ids_of(unit)
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; texts are taken in groups, so that memory is bounded."""
@@ -199,7 +213,7 @@ class Codec:
                 cut = [self._units(t) for t in group]
                 self._learn(set().union(*cut))
                 for units in cut:
-                    yield [i for ids in map(self.known.__getitem__, units) for i in ids]
+                    yield np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<u4").tolist()
                 group, size = [], 0
             if text is not None:
                 group.append(text)
