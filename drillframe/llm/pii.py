@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import plain_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Most texts that the field is trained on, and most islands of them.
-SAMPLE_ROWS, SAMPLE_ISLANDS = 3000, 400
+#: Most texts that the field is trained on, most texts with and without base spans among them, and most units of an island.
+SAMPLE_ROWS, SAMPLE_ISLANDS, SAMPLE_UNITS = 3000, 400, 200
 MAX_UNITS, ROUNDS, STEP, PULL = 16, 40, 0.5, 2e-3
 #: What a segment must score above the same units left out; keeps doubtful spans out.
 MARGIN = 2.0
@@ -189,8 +189,10 @@ class SemiMarkov:
         prepared = []
         for text, truth in examples:
             for start, stop in islands(text):
+                if stop - start > 8 * SAMPLE_UNITS:
+                    continue
                 cuts, segments = _candidates(text, start, stop)
-                if not segments:
+                if not segments or len(cuts) > SAMPLE_UNITS:
                     continue
                 place = {(cuts[i], cuts[j]): k for k, (i, j, _) in enumerate(segments)}
                 true = [(place[s, e], kind) for s, e, kind in truth if (s, e) in place]
