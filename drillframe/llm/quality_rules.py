@@ -81,8 +81,7 @@ def measure(docs: DataFrame) -> DataFrame:
     base = base.withColumn("hashes", F.when(F.size("words") >= 3, F.slice(hashes, F.lit(1), F.size("words") - 2)).otherwise(F.array().cast("array<bigint>")))
     # Windows that differ in hash differ: only texts in which a hash comes back need the windows themselves.
     base = base.withColumn("again", F.size(F.array_distinct("hashes")) < F.size("hashes")).drop("hashes")
-    return base.select(
-        "doc_id",
+    counts = F.struct(
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _count_of(F.col("text"), "[" + SYMBOLS + "]").alias("n_symbols"),
@@ -94,6 +93,9 @@ def measure(docs: DataFrame) -> DataFrame:
         F.size(F.filter("lines", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long").alias("n_ellipsis_lines"),
         F.size(F.filter("lines", lambda x: F.ltrim(x).startswith("- ") | F.ltrim(x).startswith("• "))).cast("long").alias("n_bullet_lines"),
     )
+    # Generated columns: a filter on them is never pushed into the projections below, where it would stand in place of
+    # the word array and split the text anew for every word.
+    return base.select("doc_id", F.inline(F.array(counts)))
 
 
 def verdict(thresholds=THRESHOLDS) -> Column:
