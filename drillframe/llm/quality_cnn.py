@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, plain_text
 
 #: Most labelled rows that the network is trained on.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 3000
 FILTERS, WIDTH, BLOCK, EPOCHS, BATCH, RATE = 16, 6, 256, 8, 24, 0.03
 THRESHOLD = 0.3
 #: Bytes computed at once.
