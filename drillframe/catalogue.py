@@ -7,7 +7,6 @@ sides, as sums depend on their order in the last digits.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from drillframe.functions import band, bridge_name, cell, decode_entities, first_match, hour, in_window, is_month_start, keyword_hit, lookup, on_bottom, parse_time, sum_as_zero
 from drillframe.operators import audits, intervals, stats, windows
+from drillframe.operators.durable import shared_folder, stored
 from drillframe.plans import benchmarks, features, model, retrospective
 from drillframe.plans.tops import FORMATION_RULES
 
@@ -43,11 +43,6 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="drillframe-")
-
-
 def r6(df: DataFrame, *keep: str) -> DataFrame:
     """Doubles to six decimal places, other than the columns named."""
     return df.select(*[F.round(c, 6).alias(c) if k == "double" and c not in keep else F.col(c) for c, k in df.dtypes])
@@ -368,7 +363,7 @@ _MATRIX = f"""WITH {_LABELLED}, p AS (SELECT *, {_sum_sql('spm1', 'spm2', 'spm3'
 
 def matrices(spark, d):
     train, test = features.split_by_key(series(spark, d).where("rop IS NOT NULL").drop("user_id"), HELD_OUT)
-    return features.feature_matrices(train, test, tops(spark, d), block=day())
+    return features.feature_matrices(train, test, tops(spark, d), block=day(), keep=stored)
 
 
 @query(_MATRIX.format("NOT"))
@@ -682,7 +677,7 @@ def q_model_predictions(spark, d):
 @query()
 def q_retrospective(spark, d):
     """Scored last fifth of each key's time, by a model trained on the rest; no SQL can express it."""
-    prepared = retrospective.prepare(series(spark, d).where("rop IS NOT NULL").drop("user_id"), day())
+    prepared = retrospective.prepare(series(spark, d).where("rop IS NOT NULL").drop("user_id"), day(), stored)
     names = [c for c, k in prepared.dtypes if k == "double" and c != "rop"]
     fitted = model.fit(prepared.where("split = 'train'"), names, settings={"maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 30, "validation": 0.1})
     kept = prepared.where("split = 'test'").where(on_bottom())

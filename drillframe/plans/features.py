@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,11 +56,15 @@ def window_features(df: DataFrame, block: Column | None = None) -> DataFrame:
     return stats.zero_fill(out, [c for c, t in out.dtypes if c not in META and t == "double"])
 
 
-def feature_matrices(train: DataFrame, test: DataFrame, tops: DataFrame, exclude: Sequence[str] = (), block: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Features of both parts; medians and bounds are those of the training part, taken after the forward fill."""
+def feature_matrices(train: DataFrame, test: DataFrame, tops: DataFrame, exclude: Sequence[str] = (), block: Column | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Features of both parts; medians and bounds are those of the training part, taken after the forward fill.
+
+    The filled rows are read three times: for medians, for bounds and for the features. `keep` may store them in
+    between (operators.durable.stored), so that the joins and the fill run once.
+    """
     both = with_pumps(train.withColumn("_test", F.lit(False)).unionByName(test.withColumn("_test", F.lit(True))))
     both = with_formation(both, tops).drop("formation", *exclude)
-    filled = windows.forward_fill(both, ["well_name"], ["ts"], BASE, block)
+    filled = keep(windows.forward_fill(both, ["well_name"], ["ts"], BASE, block))
     own = filled.where(~F.col("_test"))
     medians = stats.medians(own, BASE)
     whole = stats.fill_with(filled, medians, BASE)

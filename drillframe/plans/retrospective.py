@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,12 @@ from drillframe.plans import features
 UNDER, FLOOR = 0.70, 0.5
 
 
-def prepare(both: DataFrame, block: Column | None = None) -> DataFrame:
+def prepare(both: DataFrame, block: Column | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Features with a `split` by position in time; medians and bounds are those of the training rows, the bounds
     before the fill. The split comes first: rows that warm-up drops count towards it."""
     own = features.BASE + ("rop",)
     filled = windows.forward_fill(features.with_pumps(both), ["well_name"], ["ts"], features.BASE, block)
-    split = windows.split_by_position(filled, ["well_name"], ["ts"], block=block)
+    split = keep(windows.split_by_position(filled, ["well_name"], ["ts"], block=block))
     train = split.where("split = 'train'")
     whole = stats.fill_with(split, stats.medians(train, features.BASE), features.BASE)
     return features.window_features(stats.clip(whole, stats.bounds(train, own), own), block)

@@ -183,3 +183,12 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "k string, t int, v double")
     assert windows.rolling(df, ["k"], ["t"], ["v"], block=F.col("t")).count() == 0
     assert windows.forward_fill(df, ["k"], ["t"], ["v"], F.col("t")).count() == 0
+
+
+def test_feature_matrix_has_thirty_features(spark, sf):
+    from drillframe import catalogue
+
+    train, test = catalogue.matrices(spark, sf)
+    names = [c for c in train.columns if c not in ("event_id", "well_name", "ts", "rop")]
+    assert len(names) == 30 and train.columns == test.columns
+    assert train.select([F.count_if(F.col(c).isNull()).alias(c) for c in names]).first() == tuple([0] * 30)
