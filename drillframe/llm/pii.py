@@ -246,8 +246,11 @@ def variants(text: str, truth: list[tuple[int, int, int]]) -> list[tuple[str, li
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> SemiMarkov:
     """A field trained on at most `rows` texts that hold a digit or an at-sign, chosen by a hash of the row."""
-    active = docs.select(plain_text().alias("text")).where(F.col("text").rlike("[0-9@]"))
-    sample = [r["text"] for r in active.orderBy(F.xxhash64("text")).limit(rows).collect()]
+    active = docs.select(plain_text().alias("text"), F.xxhash64("doc_id", "text").alias("rank")).where(F.col("text").rlike("[0-9@]"))
+    # The ranks alone settle which rows: texts of no others leave the executors. Only repeated rows share a rank.
+    last = active.select("rank").orderBy("rank").limit(rows).agg(F.max("rank")).first()[0]
+    chosen = active.where(F.col("rank") <= last).limit(rows).collect() if last is not None else []
+    sample = [r["text"] for r in sorted(chosen, key=lambda r: r["rank"])]
     near, far = [], []
     for text in sample:
         truth = base_spans(text)
