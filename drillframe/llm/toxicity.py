@@ -35,6 +35,8 @@ SAMPLE_ROWS = 8000
 THRESHOLD = 0.5
 #: Log-odds below which a feature isn't taken, and from which its weight is one.
 LEAST_ODDS, SURE_ODDS = 2.0, 5.0
+#: Rows of label 0 that a form of a stem must stand in to be an exception to it.
+LEAST_ROWS = 3
 
 INSULTS = "idiot moron scum trash loser stupid pathetic worthless disgusting clown imbecile dumbass bastard".split()
 THREATS = "kill murder strangle stab hurt destroy".split()
@@ -170,6 +172,11 @@ def _features(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in (4, 5, 6) if len(w) > k}
 
 
+def _log_odds(marked: int, clean: int, rows: Counter) -> float:
+    """Of a feature that so many rows of either label hold, out of rows[label]."""
+    return math.log((marked + 0.5) / (rows[1] + 1)) - math.log((clean + 0.5) / (rows[0] + 1))
+
+
 def learn_lexicon(grammar: Grammar, rows: list[tuple[str, int]]) -> None:
     """Adds words and stems that mark label 1, one by one, each the one that tells most about rows not marked so far.
 
@@ -179,10 +186,11 @@ def learn_lexicon(grammar: Grammar, rows: list[tuple[str, int]]) -> None:
     marked = [_features(t) for t, y in rows if y]
     seen = Counter(f for fs in marked for f in fs)
     share = len(marked) / len(rows)
-    least = max(3, math.ceil(math.log(0.1 / max(len(seen), 1)) / math.log(share)))
+    least = max(LEAST_ROWS, math.ceil(math.log(0.1 / max(len(seen), 1)) / math.log(share)))
     hopeful = {f for f, n in seen.items() if n >= least}
     against = Counter(f for t, y in rows if not y for f in _features(t) & hopeful)
-    odds = {f: math.log((seen[f] + 0.5) / (len(marked) + 1)) - math.log((against[f] + 0.5) / (len(rows) - len(marked) + 1)) for f in hopeful}
+    counts = Counter(y for _, y in rows)
+    odds = {f: _log_odds(seen[f], against[f], counts) for f in hopeful}
     useful = {f for f in hopeful if odds[f] >= LEAST_ODDS}
     left = [fs & useful for fs in marked]
     while gains := Counter(f for fs in left for f in fs):
@@ -195,6 +203,20 @@ def learn_lexicon(grammar: Grammar, rows: list[tuple[str, int]]) -> None:
         else:
             grammar.words[best] = found
         left = [fs for fs in left if best not in fs]
+    except_forms(grammar, rows)
+
+
+def except_forms(grammar: Grammar, rows: list[tuple[str, int]]) -> None:
+    """Words that begin with a learned stem but don't mark label 1 themselves become plain words, and the stem is weighed
+    again by the words that are left to it."""
+    counts = Counter(y for _, y in rows)
+    for stem in list(grammar.stems):
+        forms = [({w for w in _WORD.findall(t.lower()) if w.startswith(stem)}, y) for t, y in rows if stem in t.lower()]
+        marked, clean = Counter(w for ws, y in forms if y for w in ws), Counter(w for ws, y in forms if not y for w in ws)
+        plain = {w for w, n in clean.items() if n >= LEAST_ROWS and w not in grammar.words and _log_odds(marked[w], n, counts) < LEAST_ODDS}
+        grammar.words |= {w: ("W", 1.0) for w in plain}
+        odds = _log_odds(sum(bool(ws - plain) for ws, y in forms if y), sum(bool(ws - plain) for ws, y in forms if not y), counts)
+        grammar.stems[stem] = ("I", round(max(0.0, min(1.0, odds / SURE_ODDS)), 3))
 
 
 def fit_logistic(grammar: Grammar, rows: list[tuple[str, int]]) -> None:

@@ -94,3 +94,13 @@ def test_fast_responses_equal_plain_ones():
     rows = quality_cnn.blocks_of(bytes(range(256)) * 3)
     plain = sum(net.table[k][rows[:, k : k + quality_cnn.BLOCK]] for k in range(quality_cnn.WIDTH))
     assert np.allclose(net.respond(rows), plain, atol=1e-5)
+
+
+def test_plain_forms_of_a_learned_stem_are_exceptions():
+    marked = [(f"stands xyzab{chr(97 + i % 10)}{chr(98 + i % 7)} here", 1) for i in range(40)]
+    clean = [("stands " + ("xyzabs" if i < 10 else "so") + " here", 0) for i in range(200)]
+    rows = marked + clean
+    grammar = toxicity.Grammar.given()
+    toxicity.learn_lexicon(grammar, rows)
+    assert any(s.startswith("xyza") for s in grammar.stems)
+    assert grammar.tag("xyzabs")[0] == "W" and grammar.tag("xyzabab")[0] == "I"
