@@ -667,10 +667,10 @@ def q_path_parts(spark, d):
 
 @query()
 def q_model_predictions(spark, d):
-    """A small boosted-tree model over the feature matrix; no SQL can express it."""
+    """The boosted-tree model across keys over the feature matrix; no SQL can express it."""
     train, test = matrices(spark, d)
     names = [c for c, k in train.dtypes if k in ("double", "bigint", "int") and c not in ("rop", "event_id")]
-    fitted = model.fit(train, names, settings={"maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 20, "validation": 0.15})
+    fitted = model.fit(train, names, settings=model.ACROSS)
     return model.predict(fitted, test).select("event_id", "rop", "pred_rop")
 
 
@@ -679,7 +679,7 @@ def q_retrospective(spark, d):
     """Scored last fifth of each key's time, by a model trained on the rest; no SQL can express it."""
     prepared = retrospective.prepare(series(spark, d).where("rop IS NOT NULL").drop("user_id"), day(), stored)
     names = [c for c, k in prepared.dtypes if k == "double" and c != "rop"]
-    fitted = model.fit(prepared.where("split = 'train'"), names, settings={"maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 30, "validation": 0.1})
+    fitted = model.fit(prepared.where("split = 'train'"), names, settings=model.WITHIN)
     kept = prepared.where("split = 'test'").where(on_bottom())
     return retrospective.scored_table(retrospective.efficiency(model.predict(fitted, kept)))
 

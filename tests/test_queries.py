@@ -3,6 +3,7 @@
 import pytest
 
 from drillframe import catalogue
+from drillframe.plans import model
 
 from .oracle import compare
 
@@ -30,3 +31,16 @@ def test_resample_stream_equals_batch(spark, sf):
     last = max(ts for _, ts in batch)
     assert all(batch[k] == pytest.approx(v) for k, v in got.items())
     assert all(k in got for k in batch if (last - k[1]).total_seconds() > 300)
+
+
+@pytest.mark.parametrize("name, settings", [("q_model_predictions", model.ACROSS), ("q_retrospective", model.WITHIN)])
+def test_models_are_fitted_with_their_own_settings(spark, sf, monkeypatch, name, settings):
+    asked, fit = [], model.fit
+
+    def small(train, names, label="rop", settings=None):
+        asked.append(settings)
+        return fit(train, names, label, settings | {"maxIter": 2, "maxDepth": 2})
+
+    monkeypatch.setattr(model, "fit", small)
+    assert catalogue.QUERIES[name](spark, sf).count() > 0
+    assert asked == [settings]
