@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import SparkContext
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Settings of the model across keys and of the one within.
-ACROSS = {"maxIter": 500, "maxDepth": 6, "minInstancesPerNode": 20, "validation": 0.15}
-WITHIN = {"maxIter": 400, "maxDepth": 5, "minInstancesPerNode": 30, "validation": 0.10}
+from drillframe.operators.durable import shared_folder
+
+#: Settings of the model across keys and of the one within; patience: rounds without improvement that end it.
+ACROSS = {"maxIter": 500, "maxDepth": 6, "minInstancesPerNode": 20, "validation": 0.15, "patience": 30}
+WITHIN = {"maxIter": 400, "maxDepth": 5, "minInstancesPerNode": 30, "validation": 0.10, "patience": 20}
 
 
 def holdout(df: DataFrame, share: float, keys: Sequence[str] = ("well_name", "ts"), name: str = "is_validation") -> DataFrame:
@@ -21,11 +24,68 @@ def holdout(df: DataFrame, share: float, keys: Sequence[str] = ("well_name", "ts
 
 
 def fit(train: DataFrame, features: Sequence[str], label: str = "rop", settings: dict | None = None) -> PipelineModel:
-    """Early stopping on the validation rows comes with the learner's validation column."""
+    """Early stopping by patience: of the trees up to the first `patience` rounds that do not improve the error on the
+    validation rows, those up to the best round are kept.
+
+    The learner's own early stopping ends at the first round that gains less than validationTol, or nothing, and knows
+    no patience. Trees are therefore fitted on the other rows only, and cut afterwards: first twice the patience, then,
+    while it has not run out, four times as many, up to maxIter. The seed gives the same first trees each time. Without
+    validation rows all maxIter trees are kept.
+    """
     chosen = dict(ACROSS if settings is None else settings)
-    rows = holdout(train, chosen.pop("validation"))
-    trees = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="pred_rop", stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", validationIndicatorCol="is_validation", seed=42, **chosen)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), trees]).fit(rows)
+    share, patience = chosen.pop("validation"), chosen.pop("patience")
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else the lineage of hundreds of rounds grows without end
+        context.setCheckpointDir(shared_folder(train.sparkSession))
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    trees = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="pred_rop", stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, **chosen)
+    rows = assembler.transform(holdout(train, share)).select("features", label, "is_validation").persist()
+    try:
+        own, held = rows.where("NOT is_validation"), rows.where("is_validation")
+        most = trees.getMaxIter()
+        n = most if held.isEmpty() else min(2 * patience, most)
+        while True:
+            fitted = trees.setMaxIter(n).fit(own)
+            if held.isEmpty():
+                return PipelineModel([assembler, fitted])
+            best, ended = best_round(fitted.evaluateEachIteration(held, "squared"), patience)
+            if ended or n == most:
+                return PipelineModel([assembler, first_trees(fitted, best)])
+            n = min(4 * n, most)
+    finally:
+        rows.unpersist()
+
+
+def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The round (from 1) of least error, of those before `patience` rounds have gone by without improvement; and
+    whether they have."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(fitted: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first n trees. Spark's Python side has no constructor for it."""
+    whole = fitted._java_obj
+    if n >= fitted.getNumTrees:
+        return fitted
+    gateway = SparkContext._active_spark_context._gateway
+    ml = gateway.jvm.org.apache.spark.ml.regression
+    trees, weights = gateway.new_array(ml.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
+    all_trees, all_weights = whole.trees(), whole.treeWeights()
+    for i in range(n):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    cut = ml.GBTRegressionModel(whole.uid(), trees, weights, whole.numFeatures())
+    return fitted._copyValues(GBTRegressionModel(cut))
+
+
+def n_trees(model: PipelineModel) -> int:
+    """The number of trees that early stopping has kept."""
+    return model.stages[1].getNumTrees
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drillframe import functions as fn
 from drillframe.operators import audits, intervals, stats, windows
-from drillframe.plans import benchmarks, features, retrospective
+from drillframe.plans import benchmarks, features, model, retrospective
 from drillframe.plans import tops as tops_plan
 
 
@@ -192,3 +192,19 @@ def test_feature_matrix_has_thirty_features(spark, sf):
     names = [c for c in train.columns if c not in ("event_id", "well_name", "ts", "rop")]
     assert len(names) == 30 and train.columns == test.columns
     assert train.select([F.count_if(F.col(c).isNull()).alias(c) for c in names]).first() == tuple([0] * 30)
+
+
+@pytest.mark.parametrize("errors, patience, want", [([3, 2, 2, 2, 1], 3, (5, False)), ([3, 2, 2, 2, 1], 2, (2, True)), ([3, 2, 1], 2, (3, False)), ([1, 2, 3], 2, (1, True))])
+def test_best_round(errors, patience, want):
+    assert model.best_round(errors, patience) == want
+
+
+def test_fit_goes_on_past_small_gains(spark):
+    """Each round gains less than 1 % here, where the learner's own early stopping ends at once."""
+    df = spark.range(4000).selectExpr("'a' AS well_name", "id AS ts", "CAST(id % 40 AS DOUBLE) AS x", "id % 40 + IF(hash(id) % 2 = 0, 50D, -50D) AS rop")
+    settings = {"maxIter": 12, "maxDepth": 2, "minInstancesPerNode": 5, "validation": 0.2, "patience": 4}
+    fitted = model.fit(df, ["x"], settings=settings)
+    assert model.n_trees(fitted) > 2
+    cut, rows = model.first_trees(fitted.stages[1], 1), fitted.stages[0].transform(df.limit(5))
+    assert cut.getNumTrees == 1 and cut.getPredictionCol() == "pred_rop"
+    assert [r.pred_rop for r in cut.transform(rows).collect()] == [fitted.stages[1].trees[0].predict(r.features) for r in rows.collect()]
