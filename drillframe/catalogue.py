@@ -288,6 +288,13 @@ def q_range_join_no_key(spark, d):
     return intervals.range_label(series(spark, d), spans, "dmea", "md_from_m", "md_to_m", 10.0, ["formation"]).select("event_id", "formation")
 
 
+@query("SELECT event_id, formation FROM s LEFT JOIN (SELECT * FROM tops WHERE well_name = 'view') v ON s.dmea >= v.md_from_m AND s.dmea < v.md_to_m")
+def q_range_join_open_end(spark, d):
+    """The intervals whole, the last one to its open end; q_range_join_no_key, as its SQL says, ends them at 1,000."""
+    spans = tops(spark, d).where("well_name = 'view'")
+    return intervals.range_label(series(spark, d), spans, "dmea", "md_from_m", "md_to_m", 10.0, ["formation"]).select("event_id", "formation")
+
+
 # Ordered operators
 
 

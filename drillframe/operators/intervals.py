@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a table of intervals is broadcast; Spark's own estimate of the table is asked.
 BROADCAST_BYTES = 64 << 20
+#: Shares of the rows of one cell that are joined apart.
+SALTS = 16
 
 
 def small_enough(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
@@ -31,13 +33,30 @@ def interval_label(df: DataFrame, intervals: DataFrame, key: str, value: str, st
 
 
 def range_label(df: DataFrame, intervals: DataFrame, value: str, start: str, end: str, width: float, labels: list[str]) -> DataFrame:
-    """The same without a key: intervals are dealt to all cells of `width` that they touch, values to theirs, and the
-    cell is the join key. Intervals far wider than `width` cost a row a cell."""
-    cells = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
-    right = intervals.select(F.explode(cells).alias("_cell"), F.col(start).alias("_from"), F.col(end).alias("_to"), *labels)
-    left = df.withColumn("_cell", F.floor(F.col(value) / width))
-    on = (left["_cell"] == right["_cell"]) & (F.col(value) >= F.col("_from")) & (F.col(value) < F.col("_to"))
-    return left.join(right, on, "left").select(*df.columns, *labels)
+    """The same without a key: intervals are dealt to the cells of `width` that they touch and that hold values, values
+    to theirs, and the cell is the join key. Long and open-ended intervals cost a row a cell with values, and a cell
+    that lies within an interval gives a row of output at least."""
+    right = intervals.where(F.col(start) < F.col(end)).select(F.col(start).alias("_from"), F.col(end).alias("_to"), *labels)
+    right = right.withColumns({"_first": _cell("_from", width), "_last": _cell("_to", width)})
+    # A cell may hold most rows: they are dealt out further, by a hash of all that can be hashed.
+    salt = F.pmod(F.xxhash64(*[c for c, k in df.dtypes if "map<" not in k and "variant" not in k]), F.lit(SALTS))
+    left = df.withColumns({"_cell": _cell(value, width), "_salt": salt})
+    # Which cells with values lie in which interval: at the level of its length, an interval touches two cells or one.
+    up = lambda c: F.call_function("shiftright", F.col(c), F.col("_level"))
+    right = right.withColumn("_level", F.length(F.bin(F.col("_last") - F.col("_first"))))
+    levels = right.agg(F.collect_set("_level").alias("_levels"))
+    held = left.select("_cell").where("_cell IS NOT NULL").distinct().join(F.broadcast(levels)).select("_cell", F.explode("_levels").alias("_level"))
+    touched = right.withColumn("_up", F.explode(F.array_distinct(F.array(up("_first"), up("_last")))))
+    dealt = touched.join(held.withColumn("_up", up("_cell")), ["_level", "_up"]).where("_cell BETWEEN _first AND _last")
+    dealt = dealt.select(F.col("_cell").alias("_at"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"), "_from", "_to", *[F.col(c).alias(f"_label_{c}") for c in labels])
+    on = (F.col("_cell") == F.col("_at")) & (F.col("_salt") == F.col("_part")) & (F.col(value) >= F.col("_from")) & (F.col(value) < F.col("_to"))
+    return left.join(dealt, on, "left").select(*df.columns, *[F.col(f"_label_{c}").alias(c) for c in labels])
+
+
+def _cell(value: str, width: float):
+    """The cell of a value; cells beyond 2^61, as of infinite ends, count as that one."""
+    cell, most = F.floor(F.col(value).cast("double") / width), F.lit(1 << 61)
+    return F.when(cell > most, most).when(cell < -most, -most).otherwise(cell)
 
 
 def scaled(df: DataFrame, key: str, depth: str, out: str) -> DataFrame:

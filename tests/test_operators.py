@@ -208,3 +208,12 @@ def test_fit_goes_on_past_small_gains(spark):
     cut, rows = model.first_trees(fitted.stages[1], 1), fitted.stages[0].transform(df.limit(5))
     assert cut.getNumTrees == 1 and cut.getPredictionCol() == "pred_rop"
     assert [r.pred_rop for r in cut.transform(rows).collect()] == [fitted.stages[1].trees[0].predict(r.features) for r in rows.collect()]
+
+
+def test_long_and_open_ended_intervals_without_key(spark):
+    """Dealt to every cell of their own, these would be 10 million rows and more than an array can hold."""
+    spans = spark.createDataFrame([(0.0, 5.0, "A"), (5.0, 1e8, "B"), (2.0, float("inf"), "C"), (float("-inf"), 1.0, "D"), (9.0, 9.0, "E")], "lo double, hi double, f string")
+    rows = [-1e300, -1.0, 0.0, 1.0, 2.0, 4.9, 5.0, 9.0, 99_999_999.0, 1e8, 1e300, None]
+    got = intervals.range_label(spark.createDataFrame([(x,) for x in rows], "d double"), spans, "d", "lo", "hi", 10.0, ["f"]).collect()
+    want = [(x, f) for x in rows for f in ([s.f for s in spans.collect() if x is not None and s.lo <= x < s.hi] or [None])]
+    assert sorted(map(str, got)) == sorted(f"Row(d={x!r}, f={f!r})" for x, f in want)
