@@ -9,6 +9,7 @@ and results are the same. Without a block, one window per key does it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,12 @@ def _by(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def _joined(df: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on equal values; nulls are equal to each other, as in windows and groups."""
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on], F.lit(True))
+    return df.join(right.withColumnsRenamed({c: f"_on_{c}" for c in on}), same).drop(*[f"_on_{c}" for c in on])
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", block: Column | None = None) -> DataFrame:
     """Row number by key and order, from 1."""
     if block is None:
@@ -29,7 +36,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     counts = df.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return df.join(counts, [*keys, "_block"]).withColumn(name, F.col("_before") + F.row_number().over(_by([*keys, "_block"], order))).drop("_block", "_before")
+    return _joined(df, counts, [*keys, "_block"]).withColumn(name, F.col("_before") + F.row_number().over(_by([*keys, "_block"], order))).drop("_block", "_before")
 
 
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], context: int, block: Column | None) -> tuple[DataFrame, list[str]]:
@@ -57,7 +64,7 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(*keys, "_block", *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in columns])
     upto = _by([*keys, "_block"], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.join(carried, [*keys, "_block"])
+    out = _joined(df, carried, [*keys, "_block"])
     return out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_carry_{c}")) for c in columns}).select(*[c for c in df.columns if c != "_block"])
 
 
@@ -94,7 +101,7 @@ def drop_warmup(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows:
 def split_by_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], share: float = 0.8, name: str = "split", block: Column | None = None) -> DataFrame:
     """`train` for the first whole share of each key's rows, `test` for the rest."""
     totals = df.groupBy(*keys).agg(F.count("*").alias("_total"))
-    placed = numbered(df, keys, order, "_at", block).join(totals, [*keys])
+    placed = _joined(numbered(df, keys, order, "_at", block), totals, keys)
     cut = (F.col("_total") * share).cast("long")
     return placed.withColumn(name, F.when(F.col("_at") <= cut, F.lit("train")).otherwise(F.lit("test"))).drop("_at", "_total")
 
@@ -102,7 +109,7 @@ def split_by_position(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def tiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 4, name: str = "quartile", block: Column | None = None) -> DataFrame:
     """ntile(n), from row numbers and counts: the first (count mod n) tiles have one row more."""
     totals = df.groupBy(*keys).agg(F.count("*").alias("_total"))
-    placed = numbered(df, keys, order, "_at", block).join(totals, [*keys])
+    placed = _joined(numbered(df, keys, order, "_at", block), totals, keys)
     size, more = F.floor(F.col("_total") / n), F.col("_total") % n
     large = more * (size + 1)
     at = F.col("_at") - 1

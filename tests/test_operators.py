@@ -217,3 +217,14 @@ def test_long_and_open_ended_intervals_without_key(spark):
     got = intervals.range_label(spark.createDataFrame([(x,) for x in rows], "d double"), spans, "d", "lo", "hi", 10.0, ["f"]).collect()
     want = [(x, f) for x in rows for f in ([s.f for s in spans.collect() if x is not None and s.lo <= x < s.hi] or [None])]
     assert sorted(map(str, got)) == sorted(f"Row(d={x!r}, f={f!r})" for x, f in want)
+
+
+def test_null_keys_and_null_order_values_stay(spark, small_chunks):
+    made = [(k, None if i == 3 else i, float(i) if i % 3 else None) for k in ("a", None) for i in range(250)]
+    df, block, by = spark.createDataFrame(made, "k string, t int, v double").repartition(3).cache(), F.floor(F.col("t") / 60), (["k"], ["t"])
+    assert windows.numbered(df, *by, block=block).count() == windows.split_by_position(df, *by).count() == windows.tiles(df, *by).count() == len(made)
+    assert same(windows.numbered(df, *by), windows.numbered(df, *by, block=block))
+    assert same(windows.forward_fill(df, *by, ["v"]), windows.forward_fill(df, *by, ["v"], block))
+    assert same(windows.lagged(df, *by, ["v"]), windows.lagged(df, *by, ["v"], block=block))
+    for f in (windows.split_by_position, windows.tiles):
+        assert same(f(df, *by), f(df, *by, block=block))
