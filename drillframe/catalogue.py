@@ -693,7 +693,8 @@ def q_retrospective(spark, d):
 
 @query()
 def q_resample_stream(spark, d):
-    """Half-minute means over the events as a stream, run to the end of what is there."""
+    """Half-minute means over the events as a stream. Buckets that the watermark, two minutes behind the latest time,
+    has not passed stay open and are not emitted."""
     from drillframe.streaming import resample_stream
 
     at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
