@@ -3,34 +3,44 @@
 A message's text may hold calls, `<tool_call>{"id": ..., "name": ..., "arguments": {...}}</tool_call>`; a message of
 role `tool` whose text is `{"tool_call_id": ..., "content": ...}` is a result. Calls and results meet in a hash join on
 conversation and identifier. A call whose arguments name an earlier result, `{"$result": "<id>"}`, comes after that
-call: levels are found by joining what waits with what is done, round by round, each written to the shared folder, so
-that no conversation is ever gathered in one task. Arguments are validated against the tool's JSON schema. Each message
-comes out as canonical JSON: keys sorted, no blanks, its calls by level and identifier with what was found on them.
+call: its level is one more than the highest of the calls it needs. Calls are ordered in chunks of about CHUNK, which
+hold many small conversations or a part of a large one; only where calls need calls of other chunks do further rounds
+follow, in which levels pass from chunk to chunk. A conversation of up to CHUNK calls takes one round, however deep its
+chains. Arguments are validated against the tool's JSON schema. Each message comes out as canonical JSON: keys sorted, no blanks, whole
+numbers without a fraction, its calls by level and identifier with what was found on them.
 
 Schemas take the keywords type, properties, required, additionalProperties, items, enum, minimum, maximum, minLength
 and maxLength. A name without a schema is unknown_tool.
 
-Edge cases: a null text or role counts as empty; text that isn't JSON is plain text; a call without id or name, or
-with broken JSON, is listed as malformed and takes no part in linking; of calls with the same conversation and id the
-first (by turn and place) is linked and the others are duplicates; likewise for results; results without a call are
-orphans; calls that wait for each other, or for a call that isn't there, have level -1 and come last; repeated rows
-come out once each; null conv_id or turn link with nothing; an empty table gives an empty result; further columns of
-the input are ignored, whatever their names.
+Edge cases: a null text or role counts as empty; text that isn't JSON is plain text, and so is JSON that holds NaN,
+an infinity, a number beyond a double's or of over 4,300 digits, or more than DEPTH levels; lone surrogates become
+U+FFFD; identifiers are strings or whole numbers; a call without id or name, or with broken JSON, is listed as malformed
+and takes no part in linking; of calls with the same conversation and id the first (by turn, place, name and arguments)
+is linked and the others are duplicates; of results only the first turn's is linked, others are orphans, as are results
+without a call; calls that wait for each other, or for a call that isn't there, have level -1 and come last; repeated
+rows come out once each; null conv_id or turn link with nothing; an empty table gives an empty result; further columns
+of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import plain_text, stored
 
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
+_SURROGATE = re.compile("[\ud800-\udfff]")
+#: Levels of JSON, and calls ordered in one task.
+DEPTH, CHUNK = 100, 50_000
 
 #: A small set of tools, used where no other is given.
 SCHEMAS = {
@@ -39,19 +49,54 @@ SCHEMAS = {
 }
 
 CALL_TYPE = "struct<place:int,id:string,name:string,arguments:string,verdict:string,needs:array<string>>"
+LINK_TYPE = "array<struct<place:int,id:string,result_turn:long,level:int>>"
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+def _finite(text: str) -> float | int:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is beyond a double")
+    return int(value) if value.is_integer() and abs(value) < 1e15 else value
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def _plain(value, depth: int = 0):
+    """The value with lone surrogates replaced; ValueError if it is nested too deep."""
+    if depth > DEPTH:
+        raise ValueError("nested too deep")
+    if isinstance(value, str):
+        return _SURROGATE.sub("\ufffd", value)
+    if isinstance(value, dict):
+        return {_plain(k): _plain(v, depth + 1) for k, v in value.items()}
+    return [_plain(v, depth + 1) for v in value] if isinstance(value, list) else value
+
+
+def parse(text: str):
+    """Strict JSON; ValueError for anything else."""
+    try:
+        return _plain(json.loads(text, parse_float=_finite, parse_constant=_no_constant))
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def _is(value, kind: str) -> bool:
     if kind in ("integer", "number"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        return not isinstance(value, bool) and (isinstance(value, int) or isinstance(value, float) and (kind == "number" or value.is_integer()))
     return isinstance(value, _TYPES[kind])
 
 
+def _identifier(value) -> str | None:
+    return str(value) if isinstance(value, (str, int)) and not isinstance(value, bool) else None
+
+
 def violation(value, schema: dict, path: str = "$") -> str | None:
     """The first thing in value that the schema doesn't allow; a reference to another call's result may be anything."""
     if isinstance(value, dict) and set(value) == {"$result"}:
@@ -84,50 +129,101 @@ def violation(value, schema: dict, path: str = "$") -> str | None:
 def references(value) -> set[str]:
     """Identifiers of the calls whose results the arguments name."""
     if isinstance(value, dict):
-        if set(value) == {"$result"}:
-            return {str(value["$result"])}
+        if set(value) == {"$result"} and (named := _identifier(value["$result"])) is not None:
+            return {named}
         return set().union(*map(references, value.values()))
     return set().union(*map(references, value)) if isinstance(value, list) else set()
 
 
+def read_call(body: str, schemas: dict) -> dict:
+    """What a call says; without id and name, or with broken JSON, it is malformed."""
+    call = {"id": None, "name": None, "arguments": "null", "verdict": "malformed", "needs": []}
+    try:
+        found = parse(body)
+    except ValueError:
+        return call
+    if not isinstance(found, dict) or (id := _identifier(found.get("id"))) is None or not isinstance(found.get("name"), str):
+        return call
+    name, arguments = found["name"], found.get("arguments", {})
+    wrong = violation(arguments, schemas[name]) if name in schemas else "unknown_tool"
+    return {"id": id, "name": name, "arguments": canonical(arguments), "verdict": wrong or "valid", "needs": sorted(references(arguments))}
+
+
+def read_result(text: str) -> dict | None:
+    """The result that a tool's message is, or None."""
+    try:
+        found = parse(text)
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) and _identifier(found.get("tool_call_id")) is not None else None
+
+
 def read_message(role: str, text: str, schemas: dict) -> tuple[list[dict], str | None]:
     """The calls in a message, and the identifier that it is the result of."""
-    calls = []
-    for place, body in enumerate(_CALL.findall(text) if "<tool_call>" in text else ()):
-        call = {"place": place, "id": None, "name": None, "arguments": "null", "verdict": "malformed", "needs": []}
-        try:
-            found = json.loads(body)
-            if isinstance(found, dict) and found.get("id") is not None and isinstance(found.get("name"), str):
-                arguments = found.get("arguments", {})
-                wrong = violation(arguments, schemas[found["name"]]) if found["name"] in schemas else "unknown_tool"
-                call |= {"id": str(found["id"]), "name": found["name"], "arguments": canonical(arguments), "verdict": wrong or "valid", "needs": sorted(references(arguments))}
-        except (ValueError, RecursionError):
-            pass
-        calls.append(call)
-    answers = None
-    if role == "tool":
-        try:
-            found = json.loads(text)
-            answers = str(found["tool_call_id"]) if isinstance(found, dict) and found.get("tool_call_id") is not None else None
-        except (ValueError, RecursionError):
-            pass
-    return calls, answers
-
-
-def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level): 0 for calls that need nothing, one more than the highest of those needed for others."""
-    needs = calls.select("conv_id", "id", F.explode(F.array_distinct("needs")).alias("need"))
-    done = stored(calls.where(F.size("needs") == 0).select("conv_id", "id", F.lit(0).alias("level")))
-    waiting = stored(needs)
-    while waiting.limit(1).count():
-        met = waiting.join(done.select("conv_id", F.col("id").alias("need"), "level"), ["conv_id", "need"], "left")
-        ready = met.groupBy("conv_id", "id").agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
-        ready = stored(ready.select("conv_id", "id", (F.col("level") + 1).alias("level")))
-        if not ready.limit(1).count():
-            break
-        done = stored(done.unionByName(ready))
-        waiting = stored(waiting.join(ready.select("conv_id", "id"), ["conv_id", "id"], "left_anti"))
-    return done
+    calls = [{"place": n} | read_call(body, schemas) for n, body in enumerate(_CALL.findall(text) if "<tool_call>" in text else ())]
+    result = read_result(text) if role == "tool" and text.lstrip().startswith("{") else None
+    return calls, None if result is None else _identifier(result["tool_call_id"])
+
+
+def order_chunk(rows: pd.DataFrame) -> pd.DataFrame:
+    """conv_id, id and level of the calls of a chunk that can be ordered. rows: conv_id, id, needs, and the identifiers
+    and levels of needed calls that are settled. Linear in calls and needs."""
+    level, needs_of, left, dependants, ready = {}, {}, {}, {}, []
+    for conv, ids, known in zip(rows["conv_id"], rows["known"], rows["known_levels"]):
+        level |= {(conv, n): k for n, k in zip(ids, known)}
+    for conv, id, needs in zip(rows["conv_id"], rows["id"], rows["needs"]):
+        call = conv, id
+        needs_of[call] = {(conv, n) for n in needs}
+        waits = [n for n in needs_of[call] if n not in level]
+        left[call] = len(waits)
+        for n in waits:
+            dependants.setdefault(n, []).append(call)
+        if not waits:
+            ready.append(call)
+    made = []
+    while ready:
+        call = ready.pop()
+        level[call] = 1 + max((level[n] for n in needs_of[call]), default=-1)
+        made.append((*call, level[call]))
+        for d in dependants.get(call, ()):
+            left[d] -= 1
+            if not left[d]:
+                ready.append(d)
+    convs, ids, found = zip(*made) if made else ((), (), ())
+    return pd.DataFrame({"conv_id": np.array(convs, rows["conv_id"].dtype), "id": np.array(ids, object), "level": np.array(found, np.int32)})
+
+
+def levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, id, level): 0 for calls that need nothing, one more than the highest of those needed for others.
+
+    calls: conv_id, id (unique), turn, needs. Conversations of up to CHUNK calls are dealt to chunks of about as many
+    whole ones. Larger ones are cut into equal ranges of turns, dealt by identifier where a range holds more than CHUNK
+    calls: no task holds a conversation of any size.
+    """
+    spans = calls.groupBy("conv_id").agg(F.min("turn").alias("low"), F.max("turn").alias("high"), F.count("*").alias("n"))
+    width = F.greatest(F.ceil((F.col("high") - F.col("low") + 1) * F.lit(CHUNK) / F.col("n")), F.lit(1))
+    placed = calls.join(spans, "conv_id").withColumns({"large": F.col("n") > CHUNK, "block": F.floor((F.col("turn") - F.col("low")) / width)})
+    parts = placed.where("large").groupBy("conv_id", "block").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    groups = max(1, calls.count() // CHUNK)
+    part = F.when(F.col("large"), F.xxhash64("conv_id", "block", F.pmod(F.xxhash64("id"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("conv_id"), F.lit(groups)))
+    placed = placed.join(parts, ["conv_id", "block"], "left").select("conv_id", "id", "needs", F.struct("large", part.alias("part")).alias("chunk"))
+    placed = stored(placed)
+    needs = placed.where(F.size("needs") > 0).select("conv_id", "id", "chunk", F.explode("needs").alias("need"))
+    target = placed.where("chunk.large").select("conv_id", F.col("id").alias("need"), F.col("chunk").alias("need_chunk"))
+    across = not needs.where("chunk.large").join(target, ["conv_id", "need"]).where("chunk <> need_chunk").isEmpty()
+    nothing = F.array().cast("array<struct<id:string,level:int>>")
+    waiting, done = placed.withColumn("settled", nothing), None
+    while True:
+        told = {"known": F.transform("settled", lambda k: k["id"]), "known_levels": F.transform("settled", lambda k: k["level"])}
+        kind = placed.schema["conv_id"].dataType.simpleString()
+        fresh = stored(waiting.withColumns(told).drop("settled").groupBy("chunk").applyInPandas(order_chunk, f"conv_id {kind}, id string, level int"))
+        done = fresh if done is None else done.unionByName(fresh)
+        if not across or fresh.isEmpty():
+            return done
+        open_calls = placed.join(done, ["conv_id", "id"], "left_anti").where("chunk.large")
+        met = needs.join(done.withColumnsRenamed({"id": "need"}), ["conv_id", "need"])
+        settled = met.groupBy("conv_id", "id").agg(F.collect_list(F.struct(F.col("need").alias("id"), "level")).alias("settled"))
+        waiting = stored(open_calls.join(settled, ["conv_id", "id"], "left").withColumn("settled", F.coalesce("settled", nothing)))
 
 
 def format_chat(conversations: DataFrame, schemas: dict | None = None) -> DataFrame:
@@ -144,23 +240,23 @@ def format_chat(conversations: DataFrame, schemas: dict | None = None) -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c for c, _ in read], call), pa.array([a for _, a in read], pa.string())], ["conv_id", "turn", "role", "text", "calls", "answers"])
 
     read = base.mapInArrow(reading, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, calls array<{CALL_TYPE}>, answers string")
-    linking = stored(read.where((F.size("calls") > 0) | F.col("answers").isNotNull()))
-    # Rows are told apart by their values; repeated rows get the same links.
-    calls = linking.select("conv_id", "turn", F.explode("calls").alias("c")).select("conv_id", "turn", "c.*").where("id IS NOT NULL").distinct()
-    first = Window.partitionBy("conv_id", "id").orderBy("turn", "place", "name", "arguments")
-    calls = stored(calls.withColumn("nth", F.row_number().over(first)))
-    results = linking.where("answers IS NOT NULL").groupBy("conv_id", F.col("answers").alias("id")).agg(F.min("turn").alias("result_turn"))
-    primary = calls.where("nth = 1")
-    linked = primary.join(results, ["conv_id", "id"], "left").join(_levels(primary), ["conv_id", "id"], "left")
-    linked = stored(linked.select("conv_id", "turn", "place", "id", "result_turn", F.coalesce("level", F.lit(-1)).alias("level")))
-
-    per_call = linked.groupBy("conv_id", "turn").agg(F.collect_list(F.struct("place", "id", "result_turn", "level")).alias("links"))
+    # Messages are told apart by their text's hash: repeated rows get the same links.
+    linking = stored(read.where((F.size("calls") > 0) | F.col("answers").isNotNull()).withColumn("mark", F.xxhash64("text")))
+    there = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    calls = linking.where(there).select("conv_id", "turn", "mark", F.explode("calls").alias("c")).select("conv_id", "turn", "mark", "c.*").where("id IS NOT NULL")
+    first = F.min(F.struct("turn", "place", "name", "arguments", "mark", "needs")).alias("c")
+    primary = stored(calls.groupBy("conv_id", "id").agg(first).select("conv_id", "id", "c.*"))
+    results = linking.where(there & F.col("answers").isNotNull()).groupBy("conv_id", F.col("answers").alias("id")).agg(F.min("turn").alias("result_turn"))
+    linked = primary.join(results, ["conv_id", "id"], "left").join(levels(primary), ["conv_id", "id"], "left")
+    linked = stored(linked.select("conv_id", "turn", "mark", "place", "id", "result_turn", F.coalesce("level", F.lit(-1)).alias("level")))
+
+    per_call = linked.groupBy("conv_id", "turn", "mark").agg(F.collect_list(F.struct("place", "id", "result_turn", "level")).alias("links"))
     asked = linked.select("conv_id", F.col("id").alias("answers"), F.col("turn").alias("call_turn"), F.col("result_turn").alias("turn"))
-    joined = linking.join(per_call, ["conv_id", "turn"], "left").join(asked, ["conv_id", "answers", "turn"], "left")
-    empty = F.array().cast("array<struct<place:int,id:string,result_turn:long,level:int>>")
+    joined = linking.join(per_call, ["conv_id", "turn", "mark"], "left").join(asked, ["conv_id", "answers", "turn"], "left")
+    empty = F.array().cast(LINK_TYPE)
     names = ["conv_id", "turn", "role", "text", "calls", "answers", "links", "call_turn"]
     plain = read.where((F.size("calls") == 0) & F.col("answers").isNull()).withColumns({"links": empty, "call_turn": F.lit(None).cast("long")})
-    joined = joined.withColumns({"links": F.coalesce(F.col("links").cast("array<struct<place:int,id:string,result_turn:long,level:int>>"), empty), "call_turn": F.col("call_turn").cast("long")})
+    joined = joined.withColumns({"links": F.coalesce(F.col("links").cast(LINK_TYPE), empty), "call_turn": F.col("call_turn").cast("long")})
 
     def writing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,7 +276,7 @@ def write_message(row: dict) -> tuple[int, int, int, int | None, str]:
     for c in row["calls"]:
         link = links.get((c["place"], c["id"]), {})
         state = c["verdict"] if c["id"] is None or link else "duplicate"
-        listed.append({"id": c["id"], "name": c["name"], "arguments": json.loads(c["arguments"]), "verdict": state, "level": link.get("level", -1), "result_turn": link.get("result_turn")})
+        listed.append({"id": c["id"], "name": c["name"], "arguments": parse(c["arguments"]), "verdict": state, "level": link.get("level", -1), "result_turn": link.get("result_turn")})
     listed.sort(key=lambda c: (c["level"] < 0, c["level"], c["id"] or "", c["name"] or ""))
     message = {"role": row["role"], "content": _CALL.sub("", row["text"]) if row["calls"] else row["text"]}
     answers = None
@@ -188,6 +284,6 @@ def write_message(row: dict) -> tuple[int, int, int, int | None, str]:
         message["tool_calls"] = listed
     if row["answers"] is not None:
         answers = -1 if row["call_turn"] is None else row["call_turn"]
-        message |= {"content": json.loads(row["text"]).get("content"), "tool_call_id": row["answers"], "call_turn": row["call_turn"]}
+        message |= {"content": read_result(row["text"]).get("content"), "tool_call_id": row["answers"], "call_turn": row["call_turn"]}
     linked = sum(c["result_turn"] is not None for c in listed)
     return len(listed), linked, sum(c["verdict"] != "valid" for c in listed), answers, canonical(message)
