@@ -5,7 +5,8 @@
 2. The index holds a posting (trigram, row key) for every text that contains a trigram of the rules' vocabulary.
 3. Postings meet the clauses and are intersected by counting: a clause whose trigrams are all posted makes its rule a
    candidate for the row.
-4. Candidates are verified with the regular expression itself, which also gives the spans.
+4. Candidates come to the texts, which stay in place, and are verified with the regular expression itself, which also
+   gives the spans, in time that is linear in the text and nearly so in the number of matches.
 
 Edge cases: a null text counts as empty; an empty text has no spans, and the digest of no spans is that of the empty
 string; rows with equal ids or texts are scanned alike and each keeps its row (the key of a row is a hash of id and
@@ -15,6 +16,7 @@ of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -27,7 +29,7 @@ except ImportError:  # pragma: no cover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text
+from .common import plain_text, stored
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,8 @@ RULES = BASE_RULES + ADDED_RULES
 MAX_CLAUSES = 64
 #: Most strings followed through one part of a pattern; beyond, the part counts as unknown.
 MAX_STRINGS = 16
+#: Most candidates that are broadcast (under 64 MB); beyond, bitmaps of 4 KB each, 16 MB in all, and bits of one.
+BROADCAST_ROWS, MAPS, MAP_BITS = 1_000_000, 4096, 32_768
 
 
 def _strings(node) -> list[str] | None:
@@ -154,35 +158,69 @@ def _no_spans() -> Column:
     return F.array().cast("array<struct<at:int,to:int,kind:string>>")
 
 
-def _matches(text: Column, rule: Rule) -> Column:
-    """array<struct<at, to, kind>> of the rule's matches, in code points.
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once: what stands in a lambda but isn't its variable is computed anew each time."""
+    return F.transform(F.array(value), then)[0]
 
-    split() gives the text between the matches and regexp_extract_all() the matches: their lengths add up to positions.
+
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima of an array, by doubling distances: its size times the logarithm of that, not its square.
+
+    merge must take a null for what lies before the first value.
+    """
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    back = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    return F.aggregate(rounds, values, lambda acc, k: F.transform(acc, lambda x, i: merge(x, F.get(acc, i - back(k)))))
+
+
+def _matches(text: Column, rule: Rule, size: Callable[[Column], Column] = F.length) -> Column:
+    """array<struct<at, to, kind>> of the rule's matches, in code points, or in bytes if size is octet_length.
+
+    split() gives the text between the matches and regexp_extract_all() the matches: their sizes add up to positions.
     """
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+    tested = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else F.lit(None).cast("array<int>")
 
     def placed(parts: Column) -> Column:
-        start = lambda k: F.aggregate(F.slice(parts["gaps"], F.lit(1), k + 1), F.lit(0), lambda a, s: a + F.length(s)) + F.aggregate(F.slice(parts["whole"], F.lit(1), k), F.lit(0), lambda a, s: a + F.length(s))
-        return F.transform(parts["whole"], lambda m, k: F.struct(start(k).alias("at"), m.alias("found"), F.get(parts["tested"], k).alias("tested")))
+        sizes = F.zip_with(parts["gaps"], parts["whole"], lambda g, m: F.struct((size(g) + F.coalesce(size(m), F.lit(0))).alias("step"), size(m).alias("own")))
+        return _let(F.filter(sizes, lambda x: x["own"].isNotNull()), lambda xs: with_ends(parts, xs))
+
+    def with_ends(parts: Column, xs: Column) -> Column:
+        ends = _let(F.transform(xs, lambda x: x["step"]), lambda steps: _running(steps, lambda a, b: a + F.coalesce(b, F.lit(0))))
+        enough = lambda k: F.get(parts["tested"], k) >= rule.least if rule.group else F.lit(True)
+        span = lambda x, k, es: F.struct((F.get(es, k) - x["own"]).alias("at"), F.get(es, k).alias("to"), F.when(enough(k), F.lit(rule.kind)).alias("kind"))
+        return F.filter(_let(ends, lambda es: F.transform(xs, lambda x, k: span(x, k, es))), lambda x: x["kind"].isNotNull())
 
     parts = F.struct(whole.alias("whole"), tested.alias("tested"), F.split(text, rule.pattern, -1).alias("gaps"))
-    spans = F.filter(F.transform(F.array(parts), placed)[0], lambda x: F.length(x["tested"]) >= rule.least)
-    spans = F.transform(spans, lambda x: F.struct(x["at"].alias("at"), (x["at"] + F.length(x["found"])).alias("to"), F.lit(rule.kind).alias("kind")))
-    return F.when(text.rlike(rule.pattern), spans).otherwise(_no_spans())
+    return F.when(text.rlike(rule.pattern), _let(parts, placed)).otherwise(_no_spans())
+
+
+def _flagged(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the kinds of their candidates, null if there are none. Texts stay where they are: few candidates are
+    broadcast; of many, a bitmap of fixed size is, and only texts whose bit is set are shuffled to meet them."""
+    found = stored(found)
+    if found.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), "row_key", "left")
+    place = lambda df: df.withColumns({"map_no": F.pmod("row_key", F.lit(MAPS)).cast("int"), "map_bit": F.pmod(F.call_function("shiftright", "row_key", F.lit(20)), F.lit(MAP_BITS))})
+    maps = place(found).groupBy("map_no").agg(F.bitmap_construct_agg("map_bit").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", (F.col("map_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (F.col("map_bit") % 8).cast("int")) == 1, F.lit(False))
+    marked = place(rows).join(F.broadcast(maps), "map_no", "left").withColumn("maybe", is_set).drop("map", "map_no", "map_bit")
+    met = marked.where("maybe").join(found, "row_key", "left")
+    return met.unionByName(marked.where("NOT maybe").withColumn("kinds", F.lit(None).cast("array<string>"))).drop("maybe")
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, rules=RULES, size: Callable[[Column], Column] = F.length) -> DataFrame:
     """rest and text of each row, and the spans (at, to, kind) of each rule in a column of its kind's name."""
     queries = queries_of(rules)
     vocabulary = sorted({g for q in queries.values() if q for c in q for g in c})
     rows = keyed(docs)
-    flagged = rows.join(candidates(build_index(rows, vocabulary), rules), "row_key", "left")
+    flagged = _flagged(rows, candidates(build_index(rows, vocabulary), rules))
 
     def spans(rule: Rule) -> Column:
         if queries[rule.kind] is None:
-            return _matches(F.col("text"), rule)
-        return F.when(F.array_contains("kinds", rule.kind), _matches(F.col("text"), rule)).otherwise(_no_spans())
+            return _matches(F.col("text"), rule, size)
+        return F.when(F.array_contains("kinds", rule.kind), _matches(F.col("text"), rule, size)).otherwise(_no_spans())
 
     return flagged.select("rest", "text", *[spans(r).alias(r.kind) for r in rules])
 
@@ -207,16 +245,21 @@ def secret_scan(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with each span replaced by the mark, spans that overlap as one, and n_chars counted anew where it exists."""
-    found = scan(docs, rules).withColumn("spans", F.sort_array(F.concat(*[r.kind for r in rules])))
+    """docs with each span replaced by the mark, spans that overlap as one, and n_chars counted anew where it exists.
+
+    Positions are in bytes here: of bytes, a piece is cut out without counting from the text's beginning.
+    """
+    found = scan(docs, rules, F.octet_length).withColumn("spans", F.sort_array(F.concat(*[r.kind for r in rules])))
+    piece = lambda data, at, to: F.substring(data, at + 1, to - at).cast("string")
 
-    def replaced(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["at"] - acc["at"])
-        out = F.when(x["at"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], x["to"]).alias("at"), out.alias("out"))
+    def kept(x: Column) -> Column:
+        """The text before each span that doesn't lie in earlier ones, and the text after all."""
+        before = lambda k: F.coalesce(F.get(x["reach"], k - 1), F.lit(0))
+        gaps = F.transform(x["spans"], lambda s, k: F.when(s["at"] >= before(k), piece(x["data"], before(k), s["at"])))
+        return F.concat(F.array_compact(gaps), F.array(piece(x["data"], F.element_at(x["reach"], -1), F.octet_length(x["data"]))))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate("spans", start, replaced, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    reach = _let(F.transform("spans", lambda s: s["to"]), lambda ends: _running(ends, F.greatest))
+    text = F.array_join(_let(F.struct("spans", reach.alias("reach"), F.col("text").cast("binary").alias("data")), kept), mark)
     found = found.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(text))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return found.select(*[own.get(c, F.col("rest")[c] if c != "text" else None).alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -60,6 +61,39 @@ def test_redaction(spark):
     assert got == {1: ('é [secret]" and [secret]!', 25, "x"), 2: ("nothing", 7, "y"), 3: ("", 0, None)}
 
 
+def test_overlaps_are_cut_out_as_one(spark):
+    upper, texts = "F" * 39, {}
+    texts["é" + upper + "AKIA" + "Q" * 20 + "ü"] = "é[secret]ü"
+    texts["token=" + "ab" * 12 + " " + "cd" * 12] = "[secret] [secret]"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.text for r in secrets.redact(docs).collect()} == set(texts.values())
+
+
+def test_many_candidates_meet_their_texts_by_bitmap(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents")
+    want = {r.doc_id: r for r in secrets.secret_scan(docs).collect()}
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: r for r in secrets.secret_scan(docs).collect()} == want
+    monkeypatch.setattr(secrets, "MAPS", 1)
+    monkeypatch.setattr(secrets, "MAP_BITS", 8)
+    assert {r.doc_id: r for r in secrets.secret_scan(docs).collect()} == want
+
+
+def test_many_matches_take_little_more_than_linear_time(spark):
+    def took(n):
+        text = "".join(f"é token={i:09d} and {i:024x}; " for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        r, cut = secrets.secret_scan(docs).first(), secrets.redact(docs).first().text
+        assert (r.n_assign, r.n_hex) == (n, n) and r.spans.endswith(f"hex:{len(text) - 26}:{len(text) - 2}")
+        assert cut == "é [secret] and [secret]; " * n
+        return time.time() - start
+
+    took(10)
+    short, long = took(4000), took(40_000)
+    assert long < 20 * max(short, 1)
+
+
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_trigram_queries_lose_nothing(rule):
     examples = {
