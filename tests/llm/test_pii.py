@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from drillframe.llm import pii
+from drillframe.llm import pii, pii_forms
 from drillframe.llm.common import table
 from drillframe.llm.queries import op6_pii
 
@@ -36,8 +36,33 @@ def test_long_runs_take_linear_time():
         list(pii.islands(text))
 
 
+def slow_field_spans(text, field):
+    """The best segmentation of every island, by trying all segments and types from each boundary on."""
+    found = []
+    for start, stop in pii.islands(text):
+        cuts, segments = pii._candidates(text, start, stop)
+        best, after = 0.0, {len(cuts) - 1: (0.0, [])}
+        for i in range(len(cuts) - 2, -1, -1):
+            options = [after[i + 1]]
+            for a, b, features in segments:
+                if a == i:
+                    for kind in range(len(pii.KINDS)):
+                        score = sum(field.weights[kind, f] for f in features) - pii.MARGIN
+                        if score > 0:
+                            options.append((score + after[b][0], [(cuts[a], cuts[b], kind), *after[b][1]]))
+            after[i] = max(options, key=lambda x: x[0])
+        found += after[0][1]
+    return found
+
+
+def slow_spans(text, field):
+    base = slow_base(text)
+    return sorted(base + [(s, e, k) for s, e, k in slow_field_spans(text, field) if not any(s < y and x < e for x, y, _ in base)], key=lambda x: (x[0], x[2]))
+
+
 def test_query_equals_brute_force(spark, sf):
-    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    docs = table(spark, sf, "documents")
+    texts, field = {r.doc_id: r.text for r in docs.collect()}, pii.fit(docs)
     got = op6_pii(spark, sf).collect()
     assert len(got) == len(texts)
     for r in got:
@@ -45,7 +70,45 @@ def test_query_equals_brute_force(spark, sf):
         listed = [f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in base]
         assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, _, k in base) for i in range(4)]
-        assert set(listed) <= set(r.spans.split(",")) | {""} and set(listed) - {""} <= set(r.spans.split(","))
+        assert r.spans == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in slow_spans(texts[r.doc_id], field))
+
+
+def test_query_finds_planted_spans(spark, sf, tmp_path):
+    """Forms written here, apart from those that the field is trained on, put into texts of the corpus."""
+    rng = random.Random(5)
+    n = lambda k, first="23456789": rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(k - 1))
+    card = lambda: pii_forms.checked(n(15, "345"))
+    four = lambda c, by: by.join(c[i : i + 4] for i in range(0, 16, 4))
+    planted = {
+        "phone": [lambda: f"({n(3)}) {n(3)}-{n(4)}", lambda: f"{n(3)}-{n(3)}-{n(4)}", lambda: f"{n(3)}.{n(3)}.{n(4)}", lambda: f"0{n(2)}/{n(7)}", lambda: f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}", lambda: f"1-{n(3)}-{n(3)}-{n(4)}"],
+        "card": [lambda: four(card(), "."), lambda: four(card(), "  "), lambda: four(card(), "/"), lambda: four(card(), " - ")],
+        "email": [lambda: f"anna.{n(2)}[at]mail.example.org", lambda: "max_muster(at)beispiel.de", lambda: "jane.doe [at] example [dot] com", lambda: "info @ firm.net"],
+        "ip": [lambda: f"10[.]{rng.randint(0, 255)}[.]3[.]77", lambda: f"192 . 168 . {rng.randint(0, 255)} . 14", lambda: f"2001:db8:85a3:0:0:8a2e:370:{n(4)}", lambda: f"fe80::{n(3)}:ff:fe23:4567"],
+    }
+    others = [lambda: "2024-05-17", lambda: "17.05.2024 12:30:00", lambda: f"{n(1)},{n(3)}.{n(2)}", lambda: f"no. {n(9)}", lambda: f"{n(4)}-{n(2)}-{n(2)}", lambda: "1.2.10", lambda: f"{n(2)} {n(2)} {n(2)}", lambda: four(card()[:-1] + "x", " ")[:-1] + "0", lambda: "550e8400-e29b-41d4-a716-446655440000", lambda: f"{n(12)}", lambda: "978-3-16-148410-0", lambda: "3 (1999)"]
+    rows, want, clean = [], {}, []
+    for i in range(1600):
+        kind = pii.KINDS[i % 4]
+        left, right = rng.choice(("the one thed ", "ly and\n", "eine der ", "", "ab ", "word: ")), rng.choice((" of that", ". And", "", ", on", " der"))
+        span = rng.choice(planted[kind])()
+        want[i] = f"{kind}:{len(left)}:{len(left) + len(span)}"
+        rows.append((i, left + span + right))
+        rows.append((10_000 + i, left + rng.choice(others)() + right))
+    out = {r.doc_id: [x for x in r.spans.split(",") if x] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), pii.fit(table(spark, sf, "documents"))).collect()}
+    texts = dict(rows)
+    for kind in pii.KINDS:
+        mine = [i for i, x in want.items() if x.startswith(kind) and not pii.base_spans(texts[i])]
+        hit = sum(want[i] in out[i] for i in mine)
+        extra = sum(x.startswith(kind) and x != want.get(i) for i, xs in out.items() if not pii.base_spans(texts[i]) for x in xs)
+        assert hit / len(mine) >= 0.9, (kind, hit, len(mine), [(texts[i], out[i]) for i in mine if want[i] not in out[i]][:5])
+        assert hit / (hit + extra) >= 0.9, (kind, hit, extra, [(texts[i], xs) for i, xs in out.items() if any(x.startswith(kind) and x != want.get(i) for x in xs)][:8])
+
+
+def test_sampled_islands_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"mail u{i}@x.org " + "1 " * 3000 + "\n" + "\n".join("4539148803436467" for _ in range(9))) for i in range(20)], "doc_id long, text string")
+    got = pii.sampled_islands(docs, 10, 2)
+    assert len(got) == 20 and all(len(t) <= pii.ISLAND_CHARS for t, _ in got)
+    assert all(t[s:e] in ("4539148803436467", t.split(" ")[0]) for t, spans in got for s, e, _ in spans)
 
 
 def test_odd_rows(spark):
@@ -56,49 +119,46 @@ def test_odd_rows(spark):
     assert pii.find_pii(no_docs(spark)).count() == 0
 
 
-def trained():
-    rng = random.Random(7)
-    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-
-    def card():
-        body = n(15)
-        return next(body + str(c) for c in range(10) if pii.luhn(body + str(c)))
-
-    texts = []
-    for _ in range(60):
-        texts += [f"see u{n(2)}.x@mail{n(1)}.example.com now", f"at {rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.9 up", f"pay {card()} soon", f"ring +1 ({n(3)}) 555-{n(4)} or", f"order {n(9)} of {n(4)}-{n(2)}-{n(2)} costs {n(3)}.{n(2)} v{n(1)}.{n(2)}"]
-    examples = [(t, pii.base_spans(t)) for t in texts]
-    return pii.SemiMarkov().train([*examples, *[v for t, s in examples for v in pii.variants(t, s)]])
-
-
 def test_field_adds_what_the_patterns_miss():
-    field = trained()
+    field = pii.SemiMarkov().train(pii_forms.examples(800))
     base, both = pii.all_spans("ring (980) 555-6268 today", field)
     assert base == [] and both == [(5, 19, 3)]
+    # The pattern takes card and date together and finds the checksum wrong.
+    assert pii.all_spans("card 4539148803436467 12/27", field) == ([], [(5, 21, 2)])
     assert pii.all_spans("order 12345 of 2024-01-02 costs 19.99", field) == ([], [])
 
 
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
-    starts, ends = [0, 0, 1, 2, 1], [1, 2, 3, 3, 2]
-    scores = rng.normal(size=(5, len(pii.KINDS)))
+    starts, ends, own = np.array([0, 0, 1, 2, 1, 0, 1]), np.array([1, 2, 3, 3, 2, 2, 2]), np.array([0, 0, 0, 0, 0, 1, 1])
+    size = np.array([4, 3])
+    scores = rng.normal(size=(len(pii.KINDS), 7))
 
-    def paths(at):
-        if at == 3:
+    def paths(island, at):
+        if at == size[island] - 1:
             yield []
             return
-        yield from paths(at + 1)
-        for k in range(5):
-            if starts[k] == at:
+        yield from paths(island, at + 1)
+        for k in range(7):
+            if own[k] == island and starts[k] == at:
                 for kind in range(len(pii.KINDS)):
-                    for rest in paths(ends[k]):
-                        yield [(k, kind), *rest]
-
-    weight = np.zeros_like(scores)
-    total = 0.0
-    for path in paths(0):
-        w = np.exp(sum(scores[p] for p in path))
-        total += w
-        for p in path:
-            weight[p] += w
-    assert np.allclose(pii.SemiMarkov._marginals(4, starts, ends, scores), weight / total)
+                    for rest in paths(island, ends[k]):
+                        yield [(kind, k), *rest]
+
+    want = np.zeros_like(scores)
+    for island in (0, 1):
+        weight, total = np.zeros_like(scores), 0.0
+        for path in paths(island, 0):
+            w = np.exp(sum(scores[p] for p in path))
+            total += w
+            for p in path:
+                weight[p] += w
+        want += weight / total
+    assert np.allclose(pii.SemiMarkov._marginals(size, own, starts, ends, scores), want)
+
+
+def test_islands_take_their_neighbours_along():
+    cut = lambda t: [t[s:e] for s, e in pii.islands(t)]
+    assert cut("so jane.doe [at] example [dot] com, he said") == ["jane.doe [at] example [dot] com,"]
+    assert cut("a @ b.c and 12 / 34  5 x 6") == ["a @ b.c", "12 / 34  5", "6"]
+    assert cut("@") == ["@"] and cut(" @ ") == ["@"] and cut("x\n@ \n1") == ["@", "1"] and cut("") == []
