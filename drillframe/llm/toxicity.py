@@ -1,13 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon tags words as insult, threat, target, negation or reporting verb. Four transducers are composed over the tags
-of a clause: negation takes insults and threats in its scope back, reported speech marks those that somebody else is
-said to have uttered, and target marks those aimed at somebody near by, before or after. Each tag that comes out has a
-weight, a clause scores the sum over its tags, and a document's score is a logistic function of its clauses' sum.
+A lexicon tags words as insult, verb of harm, target, negation, reporting verb or intent; punctuation is tagged too.
+Transducers are composed over the tags of a text, read forwards and then backwards:
 
-English words are given; further stems and words, of any language, are learned from labelled rows, as are the logistic
-function's two numbers. What is learned from is a bounded sample (SAMPLE_ROWS), scored is every whole text: an
-Aho-Corasick automaton finds insult and threat words, and only clauses that hold one are run through the grammar.
+- negation takes insults and threats in its scope back, unless it is a "not only";
+- reported speech marks those that somebody other than the writer is said to have uttered: what follows a reporting verb
+  to the end of the clause, and whole quotations before or after one, over colons and sentence ends within the quotation;
+- target marks insults near somebody they are aimed at, before or after, and makes a verb of harm a threat only if its
+  object is somebody; intent before it makes the threat a stated one. Verbs of harm without such an object count for next
+  to nothing.
+
+Each tag that comes out has a weight, and a document's score is a logistic function of the weighted sum over its matched
+clauses. A paragraph's end resets all.
+
+English words are given; further stems and words, of any language, are learned from labelled rows, as are the weights of
+the composed tags (drawn to the given ones, which stand where labels tell nothing) and the logistic function's two
+numbers. What is learned from is a bounded sample (SAMPLE_ROWS), scored is every whole text: an Aho-Corasick automaton
+finds insults and verbs of harm, and only texts that hold one are run through the grammar.
 
 Edge cases: a null, empty or blank text has no clauses and the lowest score; repeated rows score alike and each keeps
 its row; without labelled rows of both kinds only the given words and default numbers are used; an empty table gives
@@ -38,28 +47,39 @@ LEAST_ODDS, SURE_ODDS = 2.0, 5.0
 #: Rows of label 0 that a form of a stem must stand in to be an exception to it.
 LEAST_ROWS = 3
 
-INSULTS = "idiot moron scum trash loser stupid pathetic worthless disgusting clown imbecile dumbass bastard".split()
-THREATS = "kill murder strangle stab hurt destroy".split()
-TARGETS = "you your you're he him she her they them these those du dich ihr sie tu toi vous te usted ustedes ellos".split()
-NEGATIONS = "not no never neither nor isn't aren't wasn't don't nicht kein keine nie pas jamais ni nunca".split()
-REPORTS = "said says say called calls wrote claimed told reported quoted sagte schrieb nannte dit disait écrit dijo llamó escribió".split()
-
-#: Tags. I insult, H threat, T target, N negation, R reporting verb, Q quotation mark, C comma or dash, W any other word.
-#: The transducers add: i and h (taken back), r (reported), A and B (aimed insult and threat).
-WEIGHTS = {"I": 1.0, "H": 0.6, "A": 1.4, "B": 1.4, "i": 0.15, "h": 0.05, "r": 0.4}
+#: The given words, by tag.
+LEXICON = {
+    "I": "idiot idiots moron morons scum trash loser losers stupid pathetic worthless disgusting clown imbecile dumbass bastard",
+    "H": "kill murder strangle stab hurt destroy beat shoot burn töten umbringen tuer matar",
+    "T": "you you're yourself yourselves u he him she her they them these those du dich ihr euch sie tu toi vous te tú usted ustedes ellos",
+    "Y": "your dein deine ton ta tes votre vos",
+    "N": "not no never neither nor isn't aren't wasn't weren't don't doesn't didn't won't cannot can't nicht kein keine keinen nie pas jamais ni nunca ningún",
+    "K": "only just merely nur seulement solo sólo",
+    "R": "said says say saying called calls calling wrote writes claimed claims told reported reports quoted shouted yelled replied sagte schrieb nannte rief dit disait écrit cria dijo llamó escribió gritó",
+    "M": "i we ich wir je j'ai nous yo nosotros",
+    "F": "will i'll we'll gonna going shall must want werde werden vais va voy",
+}
+MARKS = {**dict.fromkeys("\"“”„«»", "Q"), **dict.fromkeys((",", "-", "--", "–", "—"), "C"), ":": "L", **dict.fromkeys(".!?;…", "E"), "\n": "P"}
+
+#: Weights of the tags that come out. I insult, A aimed insult, B threat, X threat with stated intent, i insult taken back,
+#: r reported insult or threat, h verb of harm that is no threat.
+WEIGHTS = {"I": 1.0, "A": 1.4, "B": 1.4, "X": 1.8, "i": 0.1, "r": 0.12, "h": 0.03}
+SCORED = "".join(WEIGHTS)
+#: All tags: those of the lexicon and of marks, W for any other word, those of WEIGHTS, and G, an intended harm on its way.
+ALL_TAGS = "IHTYNKRMFQCLEPWABXirhG"
 
 
 class Transducer:
     """A letter-to-letter transducer. step(state, tag) -> (state, tag); start is state 0. Steps are tabulated once."""
 
-    def __init__(self, step, states: int, tags: str):
+    def __init__(self, step, states: int, tags: str = ALL_TAGS):
         self.table = {(s, t): step(s, t) for s in range(states) for t in tags}
         self.states, self.tags = states, tags
 
     def __call__(self, tags: str) -> str:
-        state, out = 0, []
+        state, out, table = 0, [], self.table
         for t in tags:
-            state, t = self.table[state, t]
+            state, t = table[state, t]
             out.append(t)
         return "".join(out)
 
@@ -75,58 +95,78 @@ class Transducer:
         return Transducer(step, self.states * other.states, self.tags)
 
 
-def _negation(state: int, tag: str) -> tuple[int, str]:
-    """The three words after a negation are taken back; a comma ends its scope."""
-    if tag == "N":
-        return 3, tag
-    if tag == "C":
-        return 0, tag
-    return max(0, state - 1), {"I": "i", "H": "h"}.get(tag, tag) if state else tag
+def near(first: str, words: int, becomes: dict[str, str], ends: str = "EP"):
+    """A step that changes tags in the `words` words after a tag of `first`; marks of `ends` end its scope."""
+
+    def step(state: int, tag: str) -> tuple[int, str]:
+        if tag in first:
+            return words, tag
+        if tag in ends:
+            return 0, tag
+        return max(0, state - (tag not in "QCL")), becomes.get(tag, tag) if state else tag
+
+    return step
+
 
+#: The three words after a negation are taken back; a comma, a sentence's end and "only" end its scope.
+negation = near("N", 3, {"I": "i", "H": "h"}, "CEPK")
 
-def _reported(state: int, tag: str) -> tuple[int, str]:
-    """State 1: after a reporting verb. State 2: within quotation marks that follow one."""
+
+def reported(state: int, tag: str) -> tuple[int, str]:
+    """State 1: after the writer's own pronoun. 2: after a reporting verb. 3: within the quotation that follows one."""
+    if state == 3:
+        return (0 if tag in "QP" else 3), "r" if tag in "IH" else tag
+    if tag == "R":
+        return (0 if state == 1 else 2), tag
+    if tag == "Q":
+        return (3 if state == 2 else 0), tag
+    if tag in "EP" or state < 2:
+        return int(tag == "M"), tag
+    return 2, "r" if tag in "IH" else tag
+
+
+def reported_after(state: int, tag: str) -> tuple[int, str]:
+    """Read backwards. States 1 to 3: a reporting verb within so many words. 4: within the quotation before it."""
+    if state == 4:
+        return (0 if tag in "QP" else 4), "r" if tag in "IHABXGh" else tag
     if tag == "R":
-        return max(1, state), tag
+        return 3, tag
     if tag == "Q":
-        return (2 if state == 1 else 0), tag
-    return state, "r" if state and tag in "IH" else tag
+        return (4 if state else 0), tag
+    return (0 if tag in "EPM" else max(0, state - (tag not in "CL"))), tag
 
 
-def _aimed(state: int, tag: str) -> tuple[int, str]:
-    """Insults and threats in the four words after a target are aimed."""
-    if tag == "T":
-        return 4, tag
-    return max(0, state - 1), {"I": "A", "H": "B"}.get(tag, tag) if state else tag
+def harmless(state: int, tag: str) -> tuple[int, str]:
+    """Verbs of harm that nothing has made a threat."""
+    return 0, "h" if tag in "HG" else tag
 
 
-ALL_TAGS = "IHTNRQCWihrAB"
-FORWARD = Transducer(_negation, 4, ALL_TAGS).then(Transducer(_reported, 3, ALL_TAGS)).then(Transducer(_aimed, 5, ALL_TAGS))
-#: Read from the end, for targets that follow.
-BACKWARD = Transducer(_aimed, 5, ALL_TAGS)
+FORWARD = Transducer(negation, 4).then(Transducer(reported, 4)).then(Transducer(near("TY", 4, {"I": "A"}), 5)).then(Transducer(near("F", 4, {"H": "G"}), 5))
+#: Read from the end, for targets and reporting verbs that follow.
+BACKWARD = Transducer(reported_after, 5).then(Transducer(near("T", 4, {"I": "A"}), 5)).then(Transducer(near("T", 3, {"H": "B", "G": "X"}), 4)).then(Transducer(harmless, 1))
 
-_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-_TOKEN = re.compile(_WORD.pattern + "|[\"“”«»,]|--?")
-_CLAUSE_END = re.compile(r"[.!?;:\n]")
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_TOKEN = re.compile(_WORD.pattern + r"|[\"“”„«»,:.!?;…\n–—]|--?")
 
 
-def clause_tags(tags: str) -> str:
+def composed(tags: str) -> str:
+    """The tags of a text after all transducers."""
     return BACKWARD(FORWARD(tags)[::-1])[::-1]
 
 
 @dataclass
 class Grammar:
-    """words: whole words, stems: beginnings of words, with their tag and lexical weight."""
+    """words: whole words, stems: beginnings of words, with their tag and lexical weight. weights: of composed tags."""
 
     words: dict[str, tuple[str, float]] = field(default_factory=dict)
     stems: dict[str, tuple[str, float]] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     slope: float = 4.0
     bias: float = -3.0
 
     @classmethod
     def given(cls) -> Grammar:
-        tagged = {w: (t, 1.0) for t, ws in (("I", INSULTS), ("H", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in ws}
-        return cls(words=tagged)
+        return cls(words={w: (t, 1.0) for t, ws in LEXICON.items() for w in ws.split()})
 
     def tag(self, word: str) -> tuple[str, float]:
         found = self.words.get(word)
@@ -143,27 +183,41 @@ class Grammar:
         found.make_automaton()
         return found
 
-    def clause_score(self, clause: str) -> float:
-        marks = {"\"": "Q", "“": "Q", "”": "Q", "«": "Q", "»": "Q", ",": "C", "-": "C", "--": "C"}
-        tagged = [(marks[t], 1.0) if t in marks else self.tag(t) for t in _TOKEN.findall(clause)]
-        return sum(WEIGHTS.get(t, 0.0) * w for t, (_, w) in zip(clause_tags("".join(t for t, _ in tagged)), tagged))
-
-    def strength(self, text: str, automaton: ahocorasick.Automaton) -> float:
-        """The sum of the scores of the clauses that hold an insult or a threat."""
-        low, total, done = text.lower(), 0.0, 0
-        for last, (size, whole) in automaton.iter(low):
-            start = last - size + 1
-            if start < done or (start and low[start - 1].isalnum()) or (whole and last + 1 < len(low) and low[last + 1].isalnum()):
-                continue
-            ahead = _CLAUSE_END.search(low, last + 1)
-            end = ahead.start() if ahead else len(low)
-            begin = max((low.rfind(c, done, start) + 1 for c in ".!?;:\n"), default=done)
-            total += self.clause_score(low[max(begin, done) : end])
-            done = end
-        return total
-
-    def score(self, strength: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * math.log1p(strength)))))
+    def sums(self, text: str, automaton: ahocorasick.Automaton, known: dict | None = None) -> dict[str, float]:
+        """The sum of lexical weights by composed tag; empty if the text holds no insult and no verb of harm."""
+        low = text.lower().replace("’", "'")
+        if not any(not (last + 1 > size and low[last - size].isalnum()) and not (whole and last + 1 < len(low) and low[last + 1].isalnum()) for last, (size, whole) in automaton.iter(low)):
+            return {}
+        known = {} if known is None else known
+        tagged = []
+        for t in _TOKEN.findall(low):
+            if t not in known:
+                known[t] = (MARKS[t], 1.0) if t in MARKS else self.tag(t)
+            tagged.append(known[t])
+        out: dict[str, float] = {}
+        for t, (_, w) in zip(composed("".join([t for t, _ in tagged])), tagged):
+            if t in WEIGHTS:
+                out[t] = out.get(t, 0.0) + w
+        return out
+
+    def strength(self, sums: dict[str, float]) -> float:
+        return sum(self.weights[t] * x for t, x in sums.items())
+
+    def score(self, sums: dict[str, float]) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * math.log1p(self.strength(sums))))))
+
+    def score_all(self, texts: list[str], automaton: ahocorasick.Automaton) -> list[float]:
+        known: dict[str, tuple[str, float]] = {}
+        out = []
+        for t in texts:
+            out.append(self.score(self.sums(t, automaton, known)))
+            if len(known) > REMEMBERED:
+                known.clear()
+        return out
+
+
+#: Words whose tags a worker remembers.
+REMEMBERED = 200_000
 
 
 def _features(text: str) -> set[str]:
@@ -219,19 +273,25 @@ def except_forms(grammar: Grammar, rows: list[tuple[str, int]]) -> None:
         grammar.stems[stem] = ("I", round(max(0.0, min(1.0, odds / SURE_ODDS)), 3))
 
 
-def fit_logistic(grammar: Grammar, rows: list[tuple[str, int]]) -> None:
-    """Slope and bias on log(1 + strength) by Newton steps with a weak pull to the defaults."""
-    automaton = grammar.automaton()
-    x = np.log1p([grammar.strength(t, automaton) for t, _ in rows])
+def fit_weights(grammar: Grammar, rows: list[tuple[str, int]], steps: int = 300) -> None:
+    """Slope, bias and the weights of composed tags, by ascent on the likelihood with a pull to the given numbers."""
+    automaton, known = grammar.automaton(), {}
+    sums = [grammar.sums(t, automaton, known) for t, _ in rows]
+    x = np.array([[s.get(t, 0.0) for t in SCORED] for s in sums])
     y = np.array([label for _, label in rows], float)
-    design, start = np.stack([x, np.ones(len(x))], 1), np.array([grammar.slope, grammar.bias])
-    w = start.copy()
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        slope = design.T @ (p - y) + 0.5 * (w - start)
-        curve = (design * (p * (1 - p))[:, None]).T @ design + 0.5 * np.eye(2)
-        w -= np.clip(np.linalg.solve(curve, slope), -2, 2)
-    grammar.slope, grammar.bias = float(w[0]), float(w[1])
+    given = np.array([grammar.slope, grammar.bias, *[math.log(WEIGHTS[t]) for t in SCORED]])
+    pull = np.array([0.5, 0.5, *[16.0] * len(SCORED)])
+    at, mean, spread = given.copy(), np.zeros(len(given)), np.zeros(len(given))
+    for turn in range(1, steps + 1):
+        weights = np.exp(at[2:])
+        total = x @ weights
+        logs = np.log1p(total)
+        away = y - 1 / (1 + np.exp(-np.clip(at[0] * logs + at[1], -30, 30)))
+        slope = np.array([away @ logs, away.sum(), *((away * at[0] / (1 + total)) @ x * weights)]) - pull * (at - given)
+        mean, spread = 0.9 * mean + 0.1 * slope, 0.99 * spread + 0.01 * slope**2
+        at += 0.1 * (1 - turn / (steps + 1)) * (mean / (1 - 0.9**turn)) / (np.sqrt(spread / (1 - 0.99**turn)) + 1e-8)
+    grammar.slope, grammar.bias = float(at[0]), float(at[1])
+    grammar.weights = {t: float(np.exp(w)) for t, w in zip(SCORED, at[2:])}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Grammar:
@@ -239,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Grammar:
     grammar, sample = Grammar.given(), labelled_sample(docs, labels, "toxic", rows)
     if len({y for _, y in sample}) == 2:
         learn_lexicon(grammar, sample)
-        fit_logistic(grammar, sample)
+        fit_weights(grammar, sample)
     return grammar
 
 
@@ -250,7 +310,7 @@ def scores(docs: DataFrame, grammar: Grammar) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = grammar.automaton()
         for b in batches:
-            score = [grammar.score(grammar.strength(t.as_py(), automaton)) for t in b["text"]]
+            score = grammar.score_all(b["text"].to_pylist(), automaton)
             yield pa.RecordBatch.from_arrays([b["rest"], b["text"], pa.array(score, pa.float64())], ["rest", "text", "score"])
 
     return rows.mapInArrow(mapped, f"rest {rows.schema['rest'].dataType.simpleString()}, text string, score double")

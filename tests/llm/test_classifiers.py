@@ -54,27 +54,65 @@ def test_sample_sees_no_held_out_row_and_keeps_its_bound(spark):
     assert all(zlib.crc32(t.encode()) % 5 and y == int(t) % 2 for t, y in got)
 
 
-@pytest.mark.parametrize("clause, tags", [
-    ("IWW", "IWW"), ("NWI", "NWi"), ("NWWWI", "NWWWI"), ("NCI", "NCI"), ("TWI", "TWA"), ("ITW", "ATW"), ("RWI", "RWr"), ("RQIQI", "RQrQI"),
-    ("RWQIWQWH", "RWQrWQWH"), ("NTI", "NTi"), ("TWWWWI", "TWWWWI"), ("HWT", "BWT"),
+@pytest.mark.parametrize("tags, want", [
+    ("IWW", "IWW"), ("NWI", "NWi"), ("NWWWI", "NWWWI"), ("NCI", "NCI"), ("NKI", "NKI"), ("NEI", "NEI"), ("TWI", "TWA"), ("ITW", "ATW"), ("YI", "YA"), ("TEI", "TEI"), ("TWWWWI", "TWWWWI"),
+    ("RWI", "RWr"), ("RQIQI", "RQrQI"), ("RLQTIQ", "RLQTrQ"), ("RQWETIQTI", "RQWETrQTA"), ("RQIPTI", "RQrPTA"), ("REI", "REI"), ("MRTI", "MRTA"), ("QTICQTR", "QTrCQTR"), ("QIEQMR", "QIEQMR"), ("QIQETR", "QIQETR"),
+    ("H", "h"), ("HWW", "hWW"), ("HT", "BT"), ("HWWT", "BWWT"), ("HWWWT", "hWWWT"), ("FHT", "FXT"), ("FHW", "FhW"), ("NHT", "NhT"), ("THW", "ThW"), ("HET", "hET"), ("RTFHT", "RTFrT"),
 ])
-def test_transducers(clause, tags):
-    assert toxicity.clause_tags(clause) == tags
+def test_transducers(tags, want):
+    assert toxicity.composed(tags) == want
 
 
 def test_composition_equals_one_after_the_other():
     rng = np.random.default_rng(0)
-    parts = [toxicity.Transducer(f, n, toxicity.ALL_TAGS) for f, n in ((toxicity._negation, 4), (toxicity._reported, 3), (toxicity._aimed, 5))]
+    steps = ((toxicity.negation, 4), (toxicity.reported, 4), (toxicity.near("TY", 4, {"I": "A"}), 5), (toxicity.near("F", 4, {"H": "G"}), 5))
     for _ in range(300):
-        tags = "".join(rng.choice(list("IHTNRQCW"), 12))
-        assert toxicity.FORWARD(tags) == parts[2](parts[1](parts[0](tags)))
+        tags = "".join(rng.choice(list("IHTYNKRMFQCLEPW"), 14))
+        want = tags
+        for step, n in steps:
+            want = toxicity.Transducer(step, n)(want)
+        assert toxicity.FORWARD(tags) == want
 
 
-def test_clauses_weigh_context():
+#: Written for this test, not learned from: sentence and whether it is an attack.
+SENTENCES = [
+    ("You are an idiot.", 1), ("Shut up, you worthless moron!", 1), ("People like you are scum.", 1), ("They are pathetic and disgusting.", 1), ("You are not only stupid but pathetic.", 1), ("I said you are an idiot.", 1),
+    ("I will kill you.", 1), ("We are going to hurt them.", 1), ("Someone should stab him!", 1), ("I'll destroy you, loser.", 1), ("Wait till I murder you", 1), ("Du bist ein idiot.", 1), ("Tu es stupid, un vrai clown.", 1), ("He said \"hi\". You idiot!", 1),
+    ("He said: \"you idiot\"", 0), ("He said \"hi. you idiot\" and left.", 0), ("\"You idiot,\" he said.", 0), ("\"Get lost. You are scum!\" they shouted at the door.", 0), ("She called him a moron.", 0), ("The paper reported that he is a loser.", 0), ("He told us: “You are worthless.”", 0),
+    ("They said they will kill you.", 0), ("You are not an idiot.", 0), ("They were never stupid.", 0), ("Nobody isn't pathetic here, not you.", 0), ("I would never hurt you.", 0), ("We don't want to kill them.", 0), ("Du bist kein idiot.", 0), ("Tu n'es pas stupid.", 0),
+    ("Kill the process.", 0), ("Kill the thread before you restart.", 0), ("This will kill the performance.", 0), ("Do not destroy the build folder.", 0), ("The frost will hurt the roses.", 0), ("Stab the potatoes with a fork.", 0), ("Nothing here.", 0), ("An idiotic plan in the Scumbria hills.", 0),
+]
+
+
+def right_of(grammar, at):
+    automaton = grammar.automaton()
+    return [(s >= at) == bool(y) for (_, y), s in zip(SENTENCES, grammar.score_all([t for t, _ in SENTENCES], automaton))]
+
+
+def test_grammar_decides_on_written_sentences(spark, monkeypatch):
+    """Without its transducers the grammar is a list of words, and fails on reported, negated and harmless clauses."""
+    fitted = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    for grammar in (toxicity.Grammar.given(), fitted):
+        wrong = [t for (t, _), ok in zip(SENTENCES, right_of(grammar, 0.5)) if not ok]
+        assert len(wrong) <= 2, wrong
+    plain = lambda tags: tags.replace("H", "B")
+    monkeypatch.setattr(toxicity, "composed", plain)
+    assert sum(right_of(fitted, 0.5)) <= len(SENTENCES) - 15
+
+
+def test_quotations_over_colons_and_sentences():
     g = toxicity.Grammar.given()
-    s = lambda t: g.strength(t, g.automaton())
-    assert s("You are an idiot.") > s("What an idiot.") > s("He said the idiot left.") > s("That is not an idiot.") > s("Nothing here.") == 0
+    s = lambda t: g.strength(g.sums(t, g.automaton()))
+    assert s("You are an idiot.") > s("What an idiot.") > s("He said the idiot left.") >= s("That is not an idiot.") > s("Nothing here.") == 0
     assert s("idiotic") == 0 and s("Idiot! Moron!") == pytest.approx(2 * s("idiot"))
+    assert s('He said "a\nYou idiot') == s("You idiot")
+
+
+def test_weights_are_learned_and_stay_where_labels_tell_nothing():
+    rows = [(f"you are an idiot {i}", 1) for i in range(80)] + [(f"that is not an idiot {i}", 0) for i in range(80)] + [(f"so an idiot {i}", i % 2) for i in range(40)]
+    grammar = toxicity.Grammar.given()
+    toxicity.fit_weights(grammar, rows)
+    assert grammar.weights["A"] > toxicity.WEIGHTS["A"] and grammar.weights["X"] == pytest.approx(toxicity.WEIGHTS["X"], rel=1e-3)
 
 
 def test_network_trains_and_covers_whole_texts():
