@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Temporary folder of each local session without a shared one, by application.
+_local: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="drillframe-")
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a session that runs on this machine alone, as in tests, gets a temporary folder, which goes when
+    Python ends. On a cluster such a folder would lie on each machine's own disk: ValueError.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="drillframe-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return _local[app]
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that this application alone writes to."""
+    return f"{shared_folder(spark).rstrip('/')}/drillframe/{spark.conf.get('spark.app.id', 'app')}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back: computed once, and safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has stored; what reads it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,6 +14,8 @@ SETTINGS = {
 }
 
 
-def session(name: str = "drillframe", master: str | None = None, **settings: str) -> SparkSession:
-    builder = SparkSession.builder.appName(name).config(map=SETTINGS | settings)
+def session(name: str = "drillframe", master: str | None = None, shared: str | None = None, **settings: str) -> SparkSession:
+    """shared: the folder that driver and executors share, for intermediate tables; needed on a cluster."""
+    own = SETTINGS | ({"spark.checkpoint.dir": shared} if shared else {}) | settings
+    builder = SparkSession.builder.appName(name).config(map=own)
     return (builder.master(master) if master else builder).getOrCreate()
