@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drillframe.operators.durable import stored
+
+__all__ = ["SPACES", "SPACE_RUN", "held_out", "labelled_sample", "plain_text", "stored", "table"]
+
 #: The contract's white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -17,23 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="drillframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/drillframe/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plain_text(name: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(name), F.lit(""))
