@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import stats
+from .durable import stored
+
 
 def _grouped(df: DataFrame, by: Sequence[str] | None):
     return df.groupBy(*by) if by else df.groupBy()
@@ -41,8 +44,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def describe(df: DataFrame, column: str, by: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, least, exact quartiles, most."""
-    quartiles = [F.percentile(column, q).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    return _grouped(df, by).agg(F.count(column).alias("n_rows"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"), *quartiles, F.max(column).alias("most"))
+    rows = stored(df.select(*(by or []), column))
+    made = _grouped(rows, by).agg(F.count(column).alias("n_rows"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("most"))
+    found = stats.with_quantiles(made, stats.exact_quantiles(rows, by or [], [column], [0.25, 0.5, 0.75]), by or [])
+    q = F.col(f"{column}_q")
+    return found.select(*(by or []), "n_rows", "mean", "std", "least", *[q[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "most")
 
 
 def vector_stats(df: DataFrame, column: str) -> DataFrame:
@@ -60,8 +66,10 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
 
 
 def residual_stats(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    d = F.col(actual) - F.col(predicted)
-    return df.agg(F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.percentile(d, 0.05).alias("p5"), F.percentile(d, 0.95).alias("p95"))
+    rows = stored(df.select((F.col(actual) - F.col(predicted)).alias("d")))
+    made = rows.agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"))
+    found = stats.with_quantiles(made, stats.exact_quantiles(rows, [], ["d"], [0.05, 0.95]), [])
+    return found.select("mean", "std", F.col("d_q")[0].alias("p5"), F.col("d_q")[1].alias("p95"))
 
 
 def share_of(condition: Column) -> Column:

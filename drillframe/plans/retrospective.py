@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from drillframe.functions import hour
 from drillframe.operators import audits, stats, windows
+from drillframe.operators.durable import stored
 from drillframe.plans import features
 
 UNDER, FLOOR = 0.70, 0.5
@@ -41,10 +42,12 @@ def underperforming(hours: DataFrame, n: int = 30, under: float = UNDER) -> Data
 
 
 def key_summary(hours: DataFrame, key: str = "well_name", under: float = UNDER) -> DataFrame:
-    return hours.groupBy(key).agg(
-        F.count("ts_hour").alias("hours_analysed"), F.avg("efficiency").alias("mean_efficiency"), audits.share_of(F.col("efficiency") < under).alias("pct_underperf"),
-        F.percentile("actual_rop", 0.5).alias("median_actual_rop"), F.percentile("pred_rop", 0.5).alias("median_pred_rop"),
-    )
+    """Hours, efficiency and exact medians of each key, the least efficient first."""
+    rows = stored(hours.select(key, "ts_hour", "efficiency", "actual_rop", "pred_rop"))
+    made = rows.groupBy(key).agg(F.count("ts_hour").alias("hours_analysed"), F.avg("efficiency").alias("mean_efficiency"), audits.share_of(F.col("efficiency") < under).alias("pct_underperf"))
+    found = stats.with_quantiles(made, stats.exact_quantiles(rows, [key], ["actual_rop", "pred_rop"], [0.5]), [key])
+    medians = [F.col(f"{c}_q")[0].alias(f"median_{c}") for c in ("actual_rop", "pred_rop")]
+    return found.select(key, "hours_analysed", "mean_efficiency", "pct_underperf", *medians).orderBy("mean_efficiency", key)
 
 
 def scored_table(df: DataFrame) -> DataFrame:

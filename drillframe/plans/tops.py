@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drillframe.functions import bridge_name, decode_entities, first_match, lookup
 from drillframe.functions.scalars import FEET_PER_METRE
-from drillframe.operators import windows
+from drillframe.operators import stats, windows
 
 #: What a lower-cased name contains, and the formation that it then is. The first match counts.
 FORMATION_RULES = [
@@ -88,4 +88,7 @@ def coverage(intervals: DataFrame, drilled: DataFrame) -> DataFrame:
 
 
 def field_medians(best: DataFrame) -> DataFrame:
-    return best.groupBy("formation").agg(F.percentile("md_m", 0.5).alias("md_m"), F.count_distinct("well_common_name").alias("n_wells"))
+    """Exact median depth of each formation and the number of wells that have it."""
+    made = best.groupBy("formation").agg(F.count_distinct("well_common_name").alias("n_wells"))
+    found = stats.with_quantiles(made, stats.exact_quantiles(best, ["formation"], ["md_m"], [0.5]), ["formation"])
+    return found.select("formation", F.col("md_m_q")[0].alias("md_m"), "n_wells")

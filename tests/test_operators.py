@@ -228,3 +228,34 @@ def test_null_keys_and_null_order_values_stay(spark, small_chunks):
     assert same(windows.lagged(df, *by, ["v"]), windows.lagged(df, *by, ["v"], block=block))
     for f in (windows.split_by_position, windows.tiles):
         assert same(f(df, *by), f(df, *by, block=block))
+
+
+@pytest.mark.parametrize("accuracy", [1_000_000, 100])
+def test_exact_quantiles(spark, monkeypatch, accuracy):
+    """Equal to Spark's own, which holds a group's values in one task; also where the approximation is coarse."""
+    monkeypatch.setattr(stats, "ACCURACY", accuracy)
+    made = [(k, 1, None if i % 11 == 0 else float((i * 7919) % 5003) / 7, float(i % 3)) for k, n in (("a", 4000), ("b", 3), ("c", 2), ("d", 1), (None, 57)) for i in range(n)] + [("e", 1, None, None), ("f", 1, 2.0, None)]
+    df, shares = spark.createDataFrame(made, "k string, j int, v double, w double"), [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = {r.k: (r.v_q, r.w_q) for r in stats.exact_quantiles(df, ["k", "j"], ["v", "w"], shares).collect()}
+    want = {r.k: (r.v, r.w) for r in df.groupBy("k", "j").agg(F.percentile("v", shares).alias("v"), F.percentile("w", shares).alias("w")).collect() if r.v or r.w}
+    assert set(got) == set(want)
+    for k, pair in want.items():
+        for mine, theirs in zip(got[k], pair):
+            assert mine == (None if theirs is None else pytest.approx(theirs))
+    whole = stats.exact_quantiles(df, [], ["v"], [0.3]).first().v_q[0]
+    assert whole == pytest.approx(df.agg(F.percentile("v", 0.3)).first()[0])
+
+
+def test_no_plan_holds_a_group_of_values(spark, sf):
+    from drillframe import catalogue
+
+    for name in ("q_describe", "q_residual_quantiles", "q_key_summary", "q_qcut_heatmap"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, v double")
+    assert stats.exact_quantiles(df, ["k"], ["v"], [0.5]).count() == 0
+    r = audits.describe(df, "v").first()
+    assert (r.n_rows, r.mean, r.p50) == (0, None, None)
