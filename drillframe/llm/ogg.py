@@ -1,9 +1,10 @@
 """Media columns: payloads stored as Ogg, read back with checksums verified, and features of the samples.
 
-A file holds one or more logical streams, told apart by serial number, whose pages may alternate. A page has a header
-(sequence number, granule position, checksum), a table of lacing values and the bytes of its segments. A packet is a
-run of segments that ends with one shorter than 255 bytes, and may go on over pages. Here a packet is a frame of 8-bit
-samples and the granule position counts the samples up to the page's last finished packet, so that a packet's time
+A file holds one or more logical streams, told apart by serial number, whose pages may alternate; the first page of each
+holds its identification header alone, and all first pages come before any other. A page has a header (sequence number,
+granule position, checksum), a table of lacing values and the bytes of its segments. A packet is a run of segments that
+ends with one shorter than 255 bytes, and may go on over pages. Here a packet is a frame of 8-bit samples and the granule
+position counts the samples up to the page's last finished packet, so that a packet's time
 follows from the positions around it.
 
 Edge cases: a null text counts as empty; an empty text is stored as one frame of padding; repeated rows are stored
@@ -28,6 +29,8 @@ from .common import plain_text
 
 FRAME, RATE, SERIAL, INFO_SERIAL = 576, 16_000, 1, 2
 _HEADER = struct.Struct("<4sBBqIIIB")
+#: Identification headers, a stream's first packet: a name, then rate and frame size.
+SOUND_HEADER, INFO_HEADER = struct.pack("<8sII", b"\x01u8frame", RATE, FRAME), b"\x01rowinfo"
 _MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
@@ -45,29 +48,36 @@ def _page(serial: int, number: int, granule: int, kind: int, lacing: bytes, body
 
 
 def pages(serial: int, packets: list[bytes], granules: list[int]) -> list[bytes]:
-    """The pages of one stream. granules: the position after each packet."""
-    laced = [(s, n) for n, p in enumerate(packets) for s in [255] * (len(p) // 255) + [len(p) % 255]]
-    data, out, at = b"".join(packets), [], 0
-    for number, first in enumerate(range(0, len(laced), 255)):
-        part = laced[first : first + 255]
-        ended = [n for s, n in part if s < 255]
-        size = sum(s for s, _ in part)
-        kind = (first > 0 and laced[first - 1][0] == 255) | 2 * (first == 0) | 4 * (first + 255 >= len(laced))
-        out.append(_page(serial, number, granules[ended[-1]] if ended else -1, kind, bytes(s for s, _ in part), data[at : at + size]))
-        at += size
+    """The pages of one stream: the first packet, its header, alone on the first page. granules: the position after
+    each packet."""
+    out, last = [], len(packets) - 1
+    for first_packet, group in ((0, packets[:1]), (1, packets[1:])):
+        laced = [(s, n) for n, p in enumerate(group, first_packet) for s in [255] * (len(p) // 255) + [len(p) % 255]]
+        data, at = b"".join(group), 0
+        for first in range(0, len(laced), 255):
+            part = laced[first : first + 255]
+            ended = [n for s, n in part if s < 255]
+            size = sum(s for s, _ in part)
+            ends = first + 255 >= len(laced) and bool(ended) and ended[-1] == last
+            kind = (first > 0 and laced[first - 1][0] == 255) | 2 * (not out) | 4 * ends
+            out.append(_page(serial, len(out), granules[ended[-1]] if ended else -1, kind, bytes(s for s, _ in part), data[at : at + size]))
+            at += size
     return out
 
 
 def write(payload: bytes, info: bytes, frame: int = FRAME) -> bytes:
-    """A file of two streams: the payload's frames, and one packet of information after the first page."""
+    """A file of two streams, first pages first: the payload's frames, and a packet of information ahead of them."""
     frames = [payload[i : i + frame] for i in range(0, len(payload), frame)]
     ends = np.cumsum([len(x) for x in frames]).tolist()
-    sound = pages(SERIAL, frames, ends)
-    return b"".join([sound[0], *pages(INFO_SERIAL, [info], [0]), *sound[1:]])
+    sound = pages(SERIAL, [SOUND_HEADER, *frames], [0, *ends])
+    other = pages(INFO_SERIAL, [INFO_HEADER, info], [0, 0])
+    return b"".join([sound[0], other[0], *other[1:], *sound[1:]])
 
 
 @dataclass
 class Stream:
+    #: The identification header, then all other packets.
+    header: bytes = b""
     packets: list[bytes] = field(default_factory=list)
     #: (packets finished so far, granule position) of each page that finishes one.
     marks: list[tuple[int, int]] = field(default_factory=list)
@@ -76,7 +86,7 @@ class Stream:
 
 
 def read(data: bytes) -> dict[int, Stream]:
-    """The logical streams by serial number; every page's checksum and number are verified."""
+    """The logical streams by serial number; every page's checksum, number and place are verified."""
     streams: dict[int, Stream] = {}
     open_parts: dict[int, list[bytes]] = {}
     at = 0
@@ -91,19 +101,26 @@ def read(data: bytes) -> dict[int, Stream]:
             raise ValueError(f"no whole page at {at}")
         if checksum(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : end]) != crc:
             raise ValueError(f"page at {at} has a wrong checksum")
+        if kind & 2 and (serial in streams or any(s.next_page > 1 for s in streams.values())):
+            raise ValueError(f"page at {at} is out of order: first pages come before all others")
         stream, parts = streams.setdefault(serial, Stream()), open_parts.setdefault(serial, [])
         if number != stream.next_page or bool(kind & 2) != (number == 0) or bool(kind & 1) != bool(parts) or stream.ended:
             raise ValueError(f"page at {at} is out of order in stream {serial}")
-        finished, run = len(stream.packets), 0
+        packets, run = [], 0
         for s in lacing:
             run += s
             if s < 255:
-                stream.packets.append(b"".join([*parts, data[body : body + run]]))
+                packets.append(b"".join([*parts, data[body : body + run]]))
                 body, run = body + run, 0
                 parts.clear()
-        if run:
+        if run or (lacing and lacing[-1] == 255):
             parts.append(data[body : body + run])
-        if len(stream.packets) > finished:
+        if number == 0:
+            if len(packets) != 1 or parts:
+                raise ValueError(f"page at {at} holds more or less than a header")
+            stream.header = packets[0]
+        elif packets:
+            stream.packets += packets
             stream.marks.append((len(stream.packets), granule))
         stream.next_page, stream.ended, at = number + 1, bool(kind & 4), end
     if any(open_parts.values()) or not all(s.ended for s in streams.values()):

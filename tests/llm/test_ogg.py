@@ -50,12 +50,30 @@ def test_round_trip(n):
     assert times == [576 * (i + 1) / ogg.RATE for i in range(len(payload) // 576)]
 
 
+def test_first_pages_hold_headers_alone_and_come_first():
+    made = ogg.write(ogg.padded(b"x" * 200_000), b"info")
+    streams = ogg.read(made)
+    assert (streams[ogg.SERIAL].header, streams[ogg.INFO_SERIAL].header) == (ogg.SOUND_HEADER, ogg.INFO_HEADER)
+    at, kinds = 0, []
+    while at < len(made):
+        kind, n = made[at + 5], made[at + 26]
+        kinds.append(kind & 2)
+        at += 27 + n + sum(made[at + 27 : at + 27 + n])
+    assert kinds[:2] == [2, 2] and not any(kinds[2:])
+    one, two = ogg.pages(1, [b"h", b"data"], [0, 4]), ogg.pages(2, [b"h", b"data"], [0, 4])
+    assert len(ogg.read(b"".join([one[0], two[0], two[1], one[1]]))) == 2
+    with pytest.raises(ValueError, match="first pages"):
+        ogg.read(b"".join([one[0], one[1], two[0], two[1]]))
+    assert ogg.read(b"".join(ogg.pages(3, [b"only"], [0])))[3].packets == []
+
+
 def test_packets_over_pages_and_damage():
     assert ogg.checksum(b"OggS hello") == slow_checksum(b"OggS hello")
-    packets = [os.urandom(n) for n in (0, 255, 510, 70_000, 3, 140_000)]
-    made = ogg.pages(9, packets, [1, 2, 3, 4, 5, 6])
-    assert [struct.unpack_from("<q", p, 6)[0] for p in made][1:3] != [-1, -1] and len(made) > 3
-    assert ogg.read(b"".join(made))[9].packets == packets
+    packets = [b"head", *[os.urandom(n) for n in (0, 255, 510, 70_000, 3, 140_000, 65_025, 255)]]
+    made = ogg.pages(9, packets, list(range(9)))
+    assert struct.unpack_from("<q", made[2], 6)[0] == -1 or len(made) > 4
+    stream = ogg.read(b"".join(made))[9]
+    assert [stream.header, *stream.packets] == packets
     broken = bytearray(b"".join(made))
     broken[400] ^= 1
     with pytest.raises(ValueError, match="checksum"):
