@@ -7,7 +7,7 @@ left; indexes of single, pair and triple length sums, checked against the counts
 where no combination does, the longest length that fits goes in (best fit) and the rest of the gap is tried again.
 Each entry is used as often as the counts allow, which exhausts a length, so a recipe has a few entries per length.
 Pieces then take the recipe's places by their rank among equal lengths. Ranks come from counts of hashed cells and
-row numbers within a cell, so that a length shared by any part of the corpus is spread over many tasks.
+row numbers within a cell, so that a length, or a row, that any part of the corpus repeats is spread over many tasks.
 
 Edge cases: a null text counts as empty; an empty text is the end id alone; repeated rows are packed once each; ids
 may be null or repeated; an empty table gives an empty result; further columns of the input are ignored, whatever
@@ -20,8 +20,10 @@ import json
 import struct
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -92,13 +94,14 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, text_hash, piece, start, length and ids_crc32 of each piece of each document."""
+    """doc_id, text_hash, piece, start, length, ids_crc32 and nth of each piece of each document; nth counts the rows of
+    a task, so that equal rows differ in it."""
     path = path or public_tokenizers.path(TOKENIZER)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), plain_text().alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_ids(path)
+        known, seen = word_ids(path), 0
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b["text"]):
@@ -110,67 +113,101 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     start.append(k // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+            nth = np.arange(seen, seen + len(at), dtype=np.int64)
+            seen += len(at)
             at = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].take(at), b["text_hash"].take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "text_hash", "piece", "start", "length", "ids_crc32"],
+                [b["doc_id"].take(at), b["text_hash"].take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(nth)],
+                ["doc_id", "text_hash", "piece", "start", "length", "ids_crc32", "nth"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(mapped, f"doc_id {kind}, text_hash long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(mapped, f"doc_id {kind}, text_hash long, piece int, start long, length long, ids_crc32 long, nth long")
 
 
 class Complements:
-    """Combinations of one, two or three lengths by their sum, valid under the counts that remain."""
+    """Indexes of single, pair and triple length sums, under counts that only fall. counts is shared with the caller.
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.pair_of: dict[int, tuple[int, int]] = {}
-        self.triple_of: dict[int, tuple[int, int, int]] = {}
+    Pairs of lengths lie sorted by their sum, and of each sum the first that may still be used is kept: a pair of which
+    a length has run out never comes back. A triple is a length and a pair of the rest; of each sum the first such
+    length that may still do is kept likewise. What a sequence has taken already (`used`) is passed over, not dropped.
+    """
 
-    def _there(self, combination, used: Counter) -> bool:
-        need = used + Counter(combination)
-        return all(self.counts[x] >= n for x, n in need.items() if x in combination)
+    def __init__(self, counts: list[int]):
+        self.counts, self.asked = counts, 0
+        capacity = len(counts) - 1
+        self.lengths = np.flatnonzero(counts)[::-1].tolist()
+        there = np.flatnonzero(counts)
+        upto = np.searchsorted(there, np.minimum(there, capacity - there), "right")
+        high = np.repeat(there, upto)
+        low = there[np.arange(len(high)) - np.repeat(np.cumsum(upto) - upto, upto)]
+        order = np.argsort((high + low).astype(np.int32), kind="stable")
+        self.high = high[order][::-1].astype(np.int32)
+        totals = (high + low)[order]
+        edges = np.searchsorted(totals, np.arange(capacity + 2), "left")
+        #: Of each sum: the place of the first pair that may do, and the place behind its last.
+        self.first = (len(high) - edges[1:]).tolist()
+        self.end = (len(high) - edges[:-1]).tolist()
+        #: Of each sum: the place in `lengths` of the first largest member of a triple that may do.
+        self.first_high = [0] * (capacity + 1)
+
+    def _left(self, length: int, used: Counter) -> int:
+        return self.counts[length] - used[length]
+
+    def _forget(self) -> None:
+        """Leaves lengths out that have run out, once they are a tenth of all."""
+        self.asked += 1
+        if self.asked * 10 > len(self.lengths):
+            self.asked, counts = 0, self.counts
+            if sum(not counts[x] for x in self.lengths) * 10 > len(self.lengths):
+                self.lengths = [x for x in self.lengths if counts[x]]
+                self.first_high = [0] * len(counts)
 
     def pair(self, total: int, used: Counter) -> tuple[int, int] | None:
-        known = self.pair_of.get(total)
-        if known and self._there(known, used):
-            return known
-        there = self.counts[1:total] > 0
-        for low in np.flatnonzero(there & there[::-1])[: (total + 1) // 2] + 1:
-            if self._there(found := (int(total - low), int(low)), used):
-                self.pair_of[total] = found
-                return found
+        counts, leading, end = self.counts, True, self.end[total]
+        for at in range(self.first[total], end, 32):
+            for i, a in enumerate(self.high[at : min(at + 32, end)].tolist(), at):
+                b = total - a
+                need = 2 if a == b else 1
+                if counts[a] < need or counts[b] < need:
+                    if leading:
+                        self.first[total] = i + 1
+                    continue
+                leading = False
+                if self._left(a, used) >= need and self._left(b, used) >= need:
+                    return a, b
         return None
 
     def triple(self, total: int, used: Counter) -> tuple[int, int, int] | None:
-        known = self.triple_of.get(total)
-        if known and self._there(known, used):
-            return known
-        for high in np.flatnonzero(self.counts[: max(total - 1, 0)] > 0)[::-1]:
+        leading, counts, first, end = True, self.counts, self.first, self.end
+        self._forget()
+        for i in range(self.first_high[total], len(self.lengths)):
+            high = self.lengths[i]
             if 3 * high < total:
                 break
-            rest = self.pair(int(total - high), used + Counter([int(high)]))
-            if rest and self._there(found := (int(high), *rest), used):
-                self.triple_of[total] = found
-                return found
+            rest = total - high
+            gone = rest < 2 or not counts[high] or first[rest] >= end[rest]
+            if not gone and self._left(high, used) > 0 and (found := self.pair(rest, used + Counter([high]))):
+                return high, *found
+            if leading and (gone or first[rest] >= end[rest]):
+                self.first_high[total] = i + 1
+            else:
+                leading = False
         return None
 
     def exact(self, gap: int, used: Counter) -> tuple[int, ...] | None:
-        if self._there((gap,), used):
+        if self._left(gap, used) > 0:
             return (gap,)
         return self.pair(gap, used) or self.triple(gap, used)
 
     def best_fit(self, gap: int, used: Counter) -> int | None:
-        for x in np.flatnonzero(self.counts[: gap + 1] > 0)[::-1]:
-            if self._there((int(x),), used):
-                return int(x)
-        return None
+        at = bisect_left(self.lengths, -gap, key=lambda x: -x)
+        return next((x for x in islice(self.lengths, at, None) if self._left(x, used) > 0), None)
 
 
 def recipe(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths that share a sequence, times) for all pieces of the histogram."""
-    counts = np.zeros(capacity + 1, np.int64)
+    counts = [0] * (capacity + 1)
     for length, n in histogram.items():
         counts[length] = n
     index, made = Complements(counts), []
@@ -213,10 +250,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     key, first, sequence, offset = places(recipe(histogram, capacity))
     cells = max(16, min(sum(histogram.values()) // CELL, 65_536))
-    cut = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_hash", "piece"), F.lit(cells)).cast("int"))
+    cut = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_hash", "piece", "nth"), F.lit(cells)).cast("int"))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy("length", "cell").agg(F.count("*").alias("n")).select("length", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "cell").orderBy("doc_id", "text_hash", "piece")
+    own = Window.partitionBy("length", "cell").orderBy("doc_id", "text_hash", "piece", "nth")
     ranked = cut.join(starts, ["length", "cell"]).withColumn("rank", F.col("before") + F.row_number().over(own) - 1)
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
 

@@ -64,8 +64,8 @@ def test_recipe_uses_every_piece_once_and_fills_exactly():
 
 
 def test_complements_find_what_there_is():
-    counts = np.zeros(101, np.int64)
-    counts[[10, 20, 70]] = [2, 1, 1]
+    counts = [0] * 101
+    counts[10], counts[20], counts[70] = 2, 1, 1
     index = packing.Complements(counts)
     assert index.exact(70, Counter()) == (70,)
     assert sum(index.exact(30, Counter())) == 30
@@ -73,3 +73,35 @@ def test_complements_find_what_there_is():
     assert sorted(index.exact(40, Counter())) == [10, 10, 20]
     assert index.exact(40, Counter([10])) is None
     assert index.best_fit(69, Counter()) == 20
+
+
+def test_indexes_equal_a_search_as_counts_fall():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        counts = rng.integers(0, 3, 61).tolist()
+        counts[0] = 0
+        index = packing.Complements(counts)
+        for _ in range(40):
+            gap = int(rng.integers(1, 61))
+            used = Counter(rng.choice(61, rng.integers(0, 3)).tolist())
+            left = {x: int(counts[x]) - used[x] for x in range(1, 61)}
+            sums = {a: (a,) for a in left if left[a] > 0}
+            fits = lambda *xs: all(left[x] >= n for x, n in Counter(xs).items())
+            pair = any(fits(a, gap - a) for a in range(1, gap))
+            triple = any(fits(a, b, gap - a - b) for a in range(1, gap) for b in range(1, gap - a))
+            assert (index.pair(gap, used) is not None) == pair and (index.triple(gap, used) is not None) == triple
+            found = index.exact(gap, used)
+            assert (found is not None) == (gap in sums or pair or triple)
+            if found:
+                assert sum(found) == gap and fits(*found)
+                if rng.random() < 0.5:
+                    for x in found:
+                        counts[x] -= 1
+
+
+def test_repeated_rows_are_dealt_to_many_cells(spark):
+    docs = spark.createDataFrame([(1, "the same text")] * 3000, "doc_id long, text string").repartition(3)
+    got = packing.pack(docs).collect()
+    check(got, [(1, "the same text")] * 3000)
+    cut = packing.pieces(docs)
+    assert cut.select("nth").distinct().count() >= 900
