@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drillframe.operators.durable import stored
 
-__all__ = ["SPACES", "SPACE_RUN", "held_out", "labelled_sample", "plain_text", "stored", "table"]
+__all__ = ["SPACES", "SPACE_RUN", "held_out", "labelled_sample", "meet", "plain_text", "stored", "table"]
 
 #: The contract's white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,6 +23,29 @@ def plain_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Most rows that meet() broadcasts (under 64 MB); beyond, bitmaps of 4 KB each, 16 MB in all, and bits of one.
+BROADCAST_ROWS, MAPS, MAP_BITS = 1_000_000, 4096, 32_768
+
+
+def meet(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """rows left-joined with found, of which there is one row a key; the first column of `on` is a hash, a long.
+
+    The rows, which hold texts, stay where they are: few found rows are broadcast; of many, a bitmap of fixed size is,
+    and only rows whose bit is set are shuffled to meet them.
+    """
+    found = stored(found)
+    if found.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), on, "left")
+    more = [f for f in found.schema if f.name not in on]
+    place = lambda df: df.withColumns({"map_no": F.pmod(on[0], F.lit(MAPS)).cast("int"), "map_bit": F.pmod(F.call_function("shiftright", on[0], F.lit(20)), F.lit(MAP_BITS))})
+    maps = place(found).groupBy("map_no").agg(F.bitmap_construct_agg("map_bit").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", (F.col("map_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (F.col("map_bit") % 8).cast("int")) == 1, F.lit(False))
+    marked = place(rows).join(F.broadcast(maps), "map_no", "left").withColumn("maybe", is_set).drop("map", "map_no", "map_bit")
+    apart = marked.where("NOT maybe").withColumns({f.name: F.lit(None).cast(f.dataType) for f in more})
+    return marked.where("maybe").join(found, on, "left").unionByName(apart).drop("maybe")
+
+
 def held_out() -> Column:
     """True in the fifth of rows whose labels no fit may see."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))

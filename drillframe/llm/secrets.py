@@ -29,7 +29,7 @@ except ImportError:  # pragma: no cover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text, stored
+from .common import meet, plain_text
 
 
 @dataclass(frozen=True)
@@ -68,8 +68,6 @@ RULES = BASE_RULES + ADDED_RULES
 MAX_CLAUSES = 64
 #: Most strings followed through one part of a pattern; beyond, the part counts as unknown.
 MAX_STRINGS = 16
-#: Most candidates that are broadcast (under 64 MB); beyond, bitmaps of 4 KB each, 16 MB in all, and bits of one.
-BROADCAST_ROWS, MAPS, MAP_BITS = 1_000_000, 4096, 32_768
 
 
 def _strings(node) -> list[str] | None:
@@ -195,27 +193,12 @@ def _matches(text: Column, rule: Rule, size: Callable[[Column], Column] = F.leng
     return F.when(text.rlike(rule.pattern), _let(parts, placed)).otherwise(_no_spans())
 
 
-def _flagged(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with the kinds of their candidates, null if there are none. Texts stay where they are: few candidates are
-    broadcast; of many, a bitmap of fixed size is, and only texts whose bit is set are shuffled to meet them."""
-    found = stored(found)
-    if found.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(found), "row_key", "left")
-    place = lambda df: df.withColumns({"map_no": F.pmod("row_key", F.lit(MAPS)).cast("int"), "map_bit": F.pmod(F.call_function("shiftright", "row_key", F.lit(20)), F.lit(MAP_BITS))})
-    maps = place(found).groupBy("map_no").agg(F.bitmap_construct_agg("map_bit").alias("map"))
-    byte = F.conv(F.hex(F.substring("map", (F.col("map_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.coalesce(F.getbit(byte, (F.col("map_bit") % 8).cast("int")) == 1, F.lit(False))
-    marked = place(rows).join(F.broadcast(maps), "map_no", "left").withColumn("maybe", is_set).drop("map", "map_no", "map_bit")
-    met = marked.where("maybe").join(found, "row_key", "left")
-    return met.unionByName(marked.where("NOT maybe").withColumn("kinds", F.lit(None).cast("array<string>"))).drop("maybe")
-
-
 def scan(docs: DataFrame, rules=RULES, size: Callable[[Column], Column] = F.length) -> DataFrame:
     """rest and text of each row, and the spans (at, to, kind) of each rule in a column of its kind's name."""
     queries = queries_of(rules)
     vocabulary = sorted({g for q in queries.values() if q for c in q for g in c})
     rows = keyed(docs)
-    flagged = _flagged(rows, candidates(build_index(rows, vocabulary), rules))
+    flagged = meet(rows, candidates(build_index(rows, vocabulary), rules), ["row_key"])
 
     def spans(rule: Rule) -> Column:
         if queries[rule.kind] is None:

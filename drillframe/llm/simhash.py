@@ -21,10 +21,10 @@ from itertools import batched, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text, stored
+from .common import meet, plain_text, stored
 
 SEED, WIDTH, RADIUS = 42, 3, 3
 #: Fingerprints in a tile.
@@ -49,16 +49,21 @@ def fingerprint(data: bytes, width: int = WIDTH) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def marks() -> dict[str, Column]:
+    """Two hashes that tell rows apart by id and text."""
+    return {"mark": F.xxhash64("doc_id", "text"), "mark_too": F.xxhash64(F.lit(1), "text", "doc_id")}
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and fp (the fingerprint as a signed long) of each row."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), plain_text().cast("binary").alias("data"))
+    """doc_id, the row's marks and fp (the fingerprint as a signed long) of each row."""
+    rows = docs.select("doc_id", *[c.alias(n) for n, c in marks().items()], plain_text().cast("binary").alias("data"))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(x.as_py()) for x in b["data"]), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(fp)], ["doc_id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["mark"], b["mark_too"], pa.array(fp)], ["doc_id", "mark", "mark_too", "fp"])
 
-    return rows.mapInArrow(mapped, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
+    return rows.mapInArrow(mapped, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, mark_too long, fp long")
 
 
 def _blocks(count: int, radius: int) -> int:
@@ -161,9 +166,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_hash, fp, component_id (smallest doc_id) and keeper (smallest doc_id and text_hash) of each row."""
+    """doc_id, marks, fp, component_id (smallest doc_id) and keeper (smallest doc_id and marks) of each row."""
     rows = stored(fingerprints(docs))
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("first_row")))
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "mark", "mark_too")).alias("first_row")))
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", "first_row", F.coalesce("root", "fp").alias("root"))
     own = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("keeper"))
@@ -176,9 +181,17 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row left of each component: the one with the smallest doc_id."""
-    keep = classes(docs).select(F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.text_hash").alias("keep_hash")).distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("text_hash"))
-    same = packed["row.doc_id"].eqNullSafe(keep.keep_id) & (packed.text_hash == keep.keep_hash)
-    kept = packed.join(keep, same, "left_semi").select("row", F.col("row.doc_id").alias("id"), "text_hash")
-    return kept.dropDuplicates(["id", "text_hash"]).select("row.*")
+    """docs with one row left of each component: the one with the smallest doc_id.
+
+    Rows are chosen by their marks alone. Only marks of rows that go, and of those that stand several times, meet the
+    texts; of the latter, equal rows are made one.
+    """
+    here = F.struct("mark", "mark_too")
+    rows = classes(docs).groupBy("mark", "mark_too").agg(F.count("*").alias("n"), F.first("keeper").alias("keeper"))
+    chosen = F.struct("keeper.mark", "keeper.mark_too") == here
+    special = rows.where(~chosen | (F.col("n") > 1)).select("mark", "mark_too", chosen.alias("stays"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in marks().items()])
+    met = meet(packed, special, ["mark", "mark_too"])
+    once = met.where("stays IS NULL").select("row")
+    several = met.where("stays").dropDuplicates(["mark", "mark_too"]).select("row")
+    return once.unionByName(several).select("row.*")

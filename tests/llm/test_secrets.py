@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from drillframe.llm import secrets
+from drillframe.llm import common, secrets
 from drillframe.llm.common import table
 from drillframe.llm.queries import op8_secrets, oracle_sql
 
@@ -72,10 +72,10 @@ def test_overlaps_are_cut_out_as_one(spark):
 def test_many_candidates_meet_their_texts_by_bitmap(spark, sf, monkeypatch):
     docs = table(spark, sf, "documents")
     want = {r.doc_id: r for r in secrets.secret_scan(docs).collect()}
-    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert {r.doc_id: r for r in secrets.secret_scan(docs).collect()} == want
-    monkeypatch.setattr(secrets, "MAPS", 1)
-    monkeypatch.setattr(secrets, "MAP_BITS", 8)
+    monkeypatch.setattr(common, "MAPS", 1)
+    monkeypatch.setattr(common, "MAP_BITS", 8)
     assert {r.doc_id: r for r in secrets.secret_scan(docs).collect()} == want
 
 
