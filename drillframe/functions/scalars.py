@@ -121,3 +121,8 @@ def on_bottom(wob: str = "wob", rpm: str = "rpm", rop: str = "rop") -> Column:
 def on_bottom_any_speed(wob: str = "wob", rpm: str = "rpm", rop: str = "rop") -> Column:
     """Drilling, at whatever rotation, as long as it is known."""
     return (F.col(wob) > 2) & (F.col(rop) > 1) & F.col(wob).isNotNull() & F.col(rpm).isNotNull() & F.col(rop).isNotNull()
+
+
+def thousands(value: Column | str, digits: int = 0) -> Column:
+    """A number as reports print it: thousands apart by commas, so many decimal places."""
+    return F.format_number(_col(value), digits)

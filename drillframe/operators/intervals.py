@@ -12,8 +12,9 @@ SALTS = 16
 
 
 def small_enough(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
-    """Whether the optimizer puts the table under `most` bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+    """Whether the optimizer puts the table under `most` bytes. A Connect session can't ask it: then no."""
+    plan = getattr(df, "_jdf", None)
+    return plan is not None and int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
 
 
 def _sized(df: DataFrame) -> DataFrame:

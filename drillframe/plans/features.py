@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from drillframe.functions import in_window, is_month_start, sum_as_zero
 from drillframe.operators import audits, intervals, stats, windows
 
+#: The channels of a row, those that are imputed and clipped, those that are rolled and lagged, and frames.
 CHANNELS = ("rop", "wob", "rpm", "spp", "flow_in", "torque", "hkld", "dmea", "bpos", "spm1", "spm2", "spm3", "mwti")
 PUMPS = ("spm1", "spm2", "spm3")
-#: Imputed and clipped.
 BASE = ("wob", "rpm", "spp", "flow_in", "torque", "hkld", "mwti", "spm_total")
 ROLLED, LAGGED = ("wob", "rpm", "spp", "flow_in", "torque"), ("wob", "rpm")
 SHORT, LONG, OFFSETS = 10, 60, (1, 5)

@@ -8,7 +8,7 @@ from pyspark import SparkContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillframe.operators.durable import shared_folder
@@ -92,8 +92,9 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).drop("features")
 
 
-def importances(model: PipelineModel, n: int = 25):
-    """(feature, importance) pairs, largest first: one a feature, whatever the data."""
+def importances(model: PipelineModel, n: int = 25) -> DataFrame:
+    """place, feature and importance of the n features that tell most: one row a feature, whatever the data."""
     assembler, trees = model.stages[0], model.stages[1]
-    found = zip(assembler.getInputCols(), trees.featureImportances.toArray().tolist())
-    return sorted(found, key=lambda x: (-x[1], x[0]))[:n]
+    found = sorted(zip(assembler.getInputCols(), trees.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
+    rows = [(i, f, x) for i, (f, x) in enumerate(found[:n], 1)]
+    return SparkSession.active().createDataFrame(rows, "place int, feature string, importance double").orderBy("place")

@@ -57,10 +57,11 @@ def canonical_formation(name):
 
 
 def best_tops(tops: DataFrame, wells: DataFrame) -> DataFrame:
-    """well_common_name, formation and md_m: of each well id and formation the best phase, then the shallowest."""
+    """well_common_name, formation and md_m: of each well id and formation the best phase, then the shallowest. Of lines
+    for one well id the last names it."""
     named = tops.where("md_ft > 0").select("well_id", canonical_formation("formation_name_raw").alias("formation"), "md_ft", lookup("phase", PHASE_RANK).alias("rank")).where("formation IS NOT NULL")
     best = windows.first_of(named, ["well_id", "formation"], [F.desc("rank"), F.asc("md_ft")])
-    names = wells.groupBy("well_id").agg(F.max("well_common_name").alias("well_common_name"))
+    names = wells.groupBy("well_id").agg(F.max_by("well_common_name", "line_at").alias("well_common_name"))
     return best.join(names, "well_id", "left").select("well_common_name", "formation", (F.col("md_ft") / FEET_PER_METRE).alias("md_m"))
 
 

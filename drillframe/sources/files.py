@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +16,28 @@ from drillframe.functions import object_at
 OBJECT_TYPES = ("log", "trajectory", "mudLog", "message", "bhaRun")
 
 
-def extract_archive(path: str, target: str) -> dict[str, float]:
-    """Unpacks a zip archive to a folder that all executors can read; a deployment step that runs where it is called."""
+def extract_archive(spark: SparkSession, path: str, target: str) -> dict[str, float]:
+    """Unpacks a zip archive, that all executors can open, to a folder that all can write to. The driver reads the list
+    of entries only; tasks unpack them."""
     with zipfile.ZipFile(path) as archive:
-        entries = archive.infolist()
-        archive.extractall(target)
-    return {"entries": len(entries), "megabytes": sum(e.file_size for e in entries) / 1e6}
+        entries = [(e.filename, e.file_size) for e in archive.infolist() if not e.is_dir()]
 
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with zipfile.ZipFile(path) as archive:
+            for rows in batches:
+                for name in rows["entry"]:
+                    archive.extract(name, target)
+                yield rows
 
-def choose_root(path: str) -> str:
-    """The folder itself, or the only folder in it."""
-    inside = sorted(Path(path).iterdir())
-    return str(inside[0]) if len(inside) == 1 and inside[0].is_dir() else str(path)
+    made = spark.createDataFrame(entries, "entry string, bytes long").repartition("entry").mapInPandas(unpack, "entry string, bytes long")
+    total = made.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return {"entries": total["n"], "megabytes": total["bytes"] / 1e6}
+
+
+def choose_root(spark: SparkSession, path: str) -> str:
+    """The folder itself, or the only folder in it; any path that Spark can list."""
+    inside = top_entries(file_index(spark, path, "*"), path).limit(2).collect()
+    return f"{path.rstrip('/')}/{inside[0]['entry']}" if len(inside) == 1 and inside[0]["kind"] == "dir" else path
 
 
 def file_index(spark: SparkSession, root: str, pattern: str = "*.xml") -> DataFrame:
@@ -34,10 +46,14 @@ def file_index(spark: SparkSession, root: str, pattern: str = "*.xml") -> DataFr
     return found.select("path", "length", "modificationTime")
 
 
+#: Scheme and host of a path.
+_PLACE = r"^[A-Za-z0-9+.-]+:(//[^/]*)?"
+
+
 def top_entries(files: DataFrame, root: str) -> DataFrame:
     """The entries at the top of root, with kind dir or file, number of files and bytes."""
-    inside = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    rest = F.split(F.substring(inside, F.lit(len(root.rstrip("/")) + 2), F.length(inside)), "/")
+    below = len(re.sub(_PLACE, "", root).rstrip("/")) + 2
+    rest = F.split(F.substring(F.regexp_replace("path", _PLACE, ""), below, 1 << 30), "/")
     kind = F.when(F.size(rest) > 1, "dir").otherwise("file")
     return files.groupBy(rest[0].alias("entry"), kind.alias("kind")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
 

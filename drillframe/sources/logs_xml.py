@@ -7,10 +7,13 @@ mnemonicList, else by its logCurveInfo, else by the last file before it in the s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drillframe.functions import cell, in_window, is_month_start, object_at
+from drillframe.operators.durable import stored
 
 #: Canonical channel and the source mnemonics that stand for it, in order of preference.
 CHANNELS = {
@@ -35,18 +38,40 @@ LEAST_CHANNELS, LEAST_ROWS, FIRST_DAY, END_DAY = 3, 100, "2007-01-01", "2010-01-
 SCHEMA = """indexType string, mnemonicList string,
   logCurveInfo array<struct<mnemonic:string, unit:string, curveDescription:string>>,
   logHeader struct<indexType:string, mnemonicList:string>,
-  logData struct<mnemonicList:string, data:array<string>>"""
+  logData struct<mnemonicList:string, data:array<string>>, _corrupt string"""
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per log element, with its file. A default namespace needs no prefix; broken files give no rows."""
-    raw = spark.read.format("xml").option("rowTag", "log").option("mode", "DROPMALFORMED").option("ignoreNamespace", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").schema(SCHEMA).load(path)
+    """One row per log element, with its file. A default namespace needs no prefix. An element that can't be read gives a
+    row with an error; with_unreadable() adds rows for files without any whole element."""
+    options = {"rowTag": "log", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": True, "recursiveFileLookup": True, "pathGlobFilter": "*.xml"}
+    raw = spark.read.format("xml").options(**options).schema(SCHEMA).load(path)
     listed = F.coalesce("mnemonicList", "logHeader.mnemonicList", "logData.mnemonicList")
     curves = F.transform("logCurveInfo", lambda c: F.struct(F.trim(c["mnemonic"]).alias("mnemonic"), F.trim(c["unit"]).alias("unit"), F.trim(c["curveDescription"]).alias("description")))
-    out = raw.select(F.col("_metadata.file_path").alias("path"), F.lower(F.trim(F.coalesce("indexType", "logHeader.indexType", F.lit("unknown")))).alias("index_type"), _names(listed).alias("listed"), curves.alias("curves"), F.col("logData.data").alias("data"))
+    out = raw.select(
+        F.col("_metadata.file_path").alias("path"), F.lower(F.trim(F.coalesce("indexType", "logHeader.indexType", F.lit("unknown")))).alias("index_type"), _names(listed).alias("listed"),
+        curves.alias("curves"), F.col("logData.data").alias("data"), F.when(F.col("_corrupt").isNotNull(), F.lit("malformed log element")).alias("error"),
+    )
+    return _placed(out)
+
+
+def _placed(out: DataFrame) -> DataFrame:
+    """With what the path says: well, log object, chunk and file."""
     names = {"well": 7, "bore": 6, "index": 4, "log": 3, "chunk": 2, "file": 1}
     out = out.select("*", *[object_at("path", n).alias(c) for c, n in names.items()])
-    return out.select("path", "well", F.concat_ws("/", "well", "bore", "index", "log").alias("log_obj"), F.col("chunk").try_cast("long").alias("chunk"), "file", "index_type", "listed", "curves", "data")
+    return out.select("path", "well", F.concat_ws("/", "well", "bore", "index", "log").alias("log_obj"), F.col("chunk").try_cast("long").alias("chunk"), "file", "index_type", "listed", "curves", "data", "error")
+
+
+def with_unreadable(logs: DataFrame, files: DataFrame) -> DataFrame:
+    """logs and a row with an error for each of the files (column path) that gave none: empty, cut short or something
+    else. Files are matched by their path without scheme and host."""
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "")
+    found = logs.select(bare("path").alias("_bare")).distinct()
+    missing = files.select("path", bare("path").alias("_bare")).join(found, "_bare", "left_anti")
+    kinds = {f.name: f.dataType for f in logs.schema}
+    given = {"index_type": F.lit("unknown"), "error": F.lit("no whole log element")}
+    rows = missing.select("path", *[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in ("index_type", "listed", "curves", "data", "error")])
+    return logs.unionByName(_placed(rows))
 
 
 def _names(listed: Column) -> Column:
@@ -54,12 +79,15 @@ def _names(listed: Column) -> Column:
 
 
 def log_channels(logs: DataFrame) -> DataFrame:
-    """path, mnemonic, unit and description of each curve; a file without curves gives one row with nulls."""
-    return logs.select("path", "well", F.explode_outer("curves").alias("c")).select("path", "well", "c.*")
+    """path, mnemonic, unit, description and error of each curve; a file without curves, or that can't be read, gives one
+    row with nulls."""
+    return logs.select("path", "well", "error", F.explode_outer("curves").alias("c")).select("path", "well", "c.*", "error")
 
 
 def log_header(logs: DataFrame) -> DataFrame:
-    return logs.select("path", "log_obj", "index_type", F.transform("curves", lambda c: c["mnemonic"]).alias("mnemonics"))
+    """Index type and mnemonics of each file; the index type of one that can't be read is its error."""
+    kind = F.coalesce(F.concat(F.lit("error: "), "error"), "index_type").alias("index_type")
+    return logs.select("path", "log_obj", kind, F.transform("curves", lambda c: c["mnemonic"]).alias("mnemonics"))
 
 
 def log_sample(logs: DataFrame, n: int = 5) -> DataFrame:
@@ -88,8 +116,13 @@ def shared_mnemonics(channels: DataFrame, least: int = 3) -> DataFrame:
     return channels.groupBy("mnemonic").agg(F.array_sort(F.collect_set("well")).alias("wells")).where(F.size("wells") >= least)
 
 
-def parse_logs(logs: DataFrame, channels: dict[str, tuple[str, ...]] = CHANNELS, least_channels: int = LEAST_CHANNELS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """ts, the channels and well_name: every row of every log object with channels and rows enough."""
+def parse_logs(logs: DataFrame, channels: dict[str, tuple[str, ...]] = CHANNELS, least_channels: int = LEAST_CHANNELS, least_rows: int = LEAST_ROWS, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """ts, the channels and well_name: every row of every log object with channels and rows enough, by object and time.
+
+    `keep` stores what is read several times: the logs, so that XML is read once and headers alone are read again, and
+    the parsed rows, which are counted before they are given out.
+    """
+    logs = keep(logs.where("error IS NULL"))
     # The first file of an object settles which mnemonic stands for a channel.
     order = F.struct("chunk", "file")
     names = F.transform("curves", lambda c: c["mnemonic"])
@@ -106,6 +139,6 @@ def parse_logs(logs: DataFrame, channels: dict[str, tuple[str, ...]] = CHANNELS,
     rows = logs.select("path", "well", "log_obj", F.explode("data").alias("line")).join(files, "path").withColumn("cells", F.split("line", ","))
     place = lambda c: F.array_position("_columns", F.col("_chosen")[c]).cast("int") - 1
     parsed = rows.select("log_obj", F.trim(F.get("cells", F.lit(0))).try_cast("timestamp").alias("ts"), *[F.when(place(c) >= 0, cell(F.col("cells"), place(c))).alias(c) for c in channels], F.col("well").alias("well_name"))
-    kept = parsed.where(F.col("ts").isNotNull() & in_window("ts", FIRST_DAY, END_DAY) & ~is_month_start("ts"))
+    kept = keep(parsed.where(F.col("ts").isNotNull() & in_window("ts", FIRST_DAY, END_DAY) & ~is_month_start("ts")))
     enough = kept.groupBy("log_obj").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_rows)
-    return kept.join(enough, "log_obj", "left_semi").drop("log_obj")
+    return kept.join(enough, "log_obj", "left_semi").orderBy("log_obj", "ts").drop("log_obj")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,12 +16,21 @@ def append_table(df: DataFrame, name: str, partition_by: list[str] | None = None
 
 
 def replace_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> None:
-    """Replaces the table, even by rows that are read from it: they are written aside first and then swapped in."""
-    spark, aside = df.sparkSession, f"{name}_next"
-    spark.sql(f"DROP TABLE IF EXISTS {aside}")
-    _writer(df, partition_by).saveAsTable(aside)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+    """Replaces the table, even by rows that are read from it: they are written under a name of their own first, then the
+    old table is renamed and the new one takes its name. The old one is dropped last, so that a stop in between loses
+    nothing."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex[:12]
+    fresh, old = f"{name}_{mark}_new", f"{name}_{mark}_old"
+    _writer(df, partition_by).saveAsTable(fresh)
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+
+def write_sorted(df: DataFrame, name: str, order: list[str], partition_by: list[str] | None = None) -> None:
+    """A table whose files hold the rows in global order: ranges of it are dealt to tasks, none of which sorts all."""
+    replace_table(df.orderBy(*order), name, partition_by)
 
 
 def drop_table(spark: SparkSession, name: str) -> None:

@@ -11,12 +11,14 @@ def _attribute(name: str):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+    """value, and line_at, by which lines stand in their order: of files by name, in a file by place."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"))
+    return spark.read.text(path).select("value", at.alias("line_at"))
 
 
 def wells(lines: DataFrame) -> DataFrame:
-    """well_id and well_common_name."""
-    return lines.where(F.col("value").like("%<CD_WELL %")).select(_attribute("well_id").alias("well_id"), _attribute("well_common_name").alias("well_common_name"))
+    """well_id, well_common_name and line_at."""
+    return lines.where(F.col("value").like("%<CD_WELL %")).select(_attribute("well_id").alias("well_id"), _attribute("well_common_name").alias("well_common_name"), "line_at")
 
 
 def tops(lines: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 """The resampling and audits that make sense on streams, with watermarks."""
 
-from .resample import hourly_stream, resample_stream
+from .resample import hourly_stream, resample_stream, with_open_tail
 
-__all__ = ["hourly_stream", "resample_stream"]
+__all__ = ["hourly_stream", "resample_stream", "with_open_tail"]

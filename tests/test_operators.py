@@ -205,6 +205,8 @@ def test_fit_goes_on_past_small_gains(spark):
     settings = {"maxIter": 12, "maxDepth": 2, "minInstancesPerNode": 5, "validation": 0.2, "patience": 4}
     fitted = model.fit(df, ["x"], settings=settings)
     assert model.n_trees(fitted) > 2
+    top = model.importances(fitted).collect()
+    assert [(r.place, r.feature) for r in top] == [(1, "x")] and top[0].importance == pytest.approx(1)
     cut, rows = model.first_trees(fitted.stages[1], 1), fitted.stages[0].transform(df.limit(5))
     assert cut.getNumTrees == 1 and cut.getPredictionCol() == "pred_rop"
     assert [r.pred_rop for r in cut.transform(rows).collect()] == [fitted.stages[1].trees[0].predict(r.features) for r in rows.collect()]

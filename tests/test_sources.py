@@ -30,6 +30,7 @@ def tree(root):
     put("F-2/bore/log/_meta/00001.xml", "<x/>")
     put("F-2/bore/log/1/objB/1/Meta.xml", "<x/>")
     put("F-2/bore/log/1/objB/1/00002.xml", "<logs><log>broken")
+    put("F-2/bore/log/1/objB/1/00003.xml", "<logs><log><indexType>a</b></log></logs>")
 
 
 def test_logs(spark, tmp_path):
@@ -41,8 +42,7 @@ def test_logs(spark, tmp_path):
     assert (first.rop, first.wob, first.rpm, first.spp) == (7.0, 2.5, None, None)
     assert (second.rop, second.wob) == (8.0, 7.0)
     assert (third.rop, third.wob) == (6.0, 5.0)
-    heads = {r.path.rsplit("/", 5)[-1]: r for r in logs_xml.log_header(logs).collect()}
-    assert {r.index_type for r in heads.values()} == {"date time"}
+    assert {r.index_type for r in logs_xml.log_header(logs).collect()} == {"date time", "error: malformed log element"}
     sample = logs_xml.log_sample(logs, 2).where("size(listed) = 3").first()
     assert sample.listed == ["TIME", "SWOB", "ROP"] and len(sample.rows) == 2
     assert {r.n_curves for r in logs_xml.log_structure(logs).collect()} >= {0, 5}
@@ -51,27 +51,66 @@ def test_logs(spark, tmp_path):
     assert {r.keyword: r.mnemonics for r in logs_xml.keyword_wells(channels, ["ROP", "ZZ"]).collect()} == {"ROP": ["ROP", "ROP5"]}
 
 
+def test_broken_files_give_error_rows(spark, tmp_path):
+    tree(tmp_path)
+    (tmp_path / "F-2/bore/log/1/objB/1/00004.xml").write_text("<other/>")
+    found = files.data_files(files.file_index(spark, str(tmp_path)))
+    logs = logs_xml.with_unreadable(logs_xml.read_logs(spark, str(tmp_path)), found)
+    errors = {r.path.rsplit("/", 1)[-1]: (r.well, r.error) for r in logs_xml.log_channels(logs).where("error IS NOT NULL").collect()}
+    assert errors == {"00002.xml": ("F-2", "malformed log element"), "00003.xml": ("F-2", "malformed log element"), "00004.xml": ("F-2", "no whole log element")}
+    assert {r.index_type for r in logs_xml.log_header(logs).where("index_type LIKE 'error%'").collect()} == {"error: no whole log element", "error: malformed log element"}
+    assert logs_xml.log_channels(logs).where("error IS NULL AND mnemonic IS NOT NULL").count() == 11
+    assert logs_xml.parse_logs(logs).count() == 111
+
+
+def test_logs_are_parsed_in_one_scan_of_xml_and_in_order(spark, tmp_path):
+    from drillframe.operators.durable import stored
+
+    tree(tmp_path)
+    scans = []
+
+    def keep(df):
+        scans.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan xml"))
+        return stored(df)
+
+    out = logs_xml.parse_logs(logs_xml.read_logs(spark, str(tmp_path)), keep=keep)
+    assert scans == [1, 0] and "FileScan xml" not in out._jdf.queryExecution().executedPlan().toString()
+    ts = [r.ts for r in out.collect()]
+    assert ts == sorted(ts) and len(ts) == 111
+
+
 def test_file_tree(spark, tmp_path):
     tree(tmp_path)
     found = files.file_index(spark, str(tmp_path)).cache()
-    assert files.data_files(found).count() == 6
+    assert files.data_files(found).count() == 7
     objects = {r.log_obj: r for r in files.log_objects(found).collect()}
     assert objects["F-1/bore/1/objA"].first_path.endswith("objA/1/00001.xml") and objects["F-1/bore/1/objA"].n_files == 3
     assert {(r.entry, r.kind) for r in files.top_entries(found, str(tmp_path)).collect()} == {("F-1", "dir"), ("F-2", "dir")}
-    assert files.totals(found).first().n_files == 7  # Spark lists no folders that begin with an underscore
+    assert files.totals(found).first().n_files == 8  # Spark lists no folders that begin with an underscore
     assert files.largest_files(files.log_files(found)).count() == 2
 
 
-def test_archive(tmp_path):
+def test_top_entries_of_any_file_system(spark):
+    for place in ("hdfs://host:8020", "s3a://bucket", "file:", ""):
+        paths = spark.createDataFrame([(f"{place}/data/root/{x}", 2) for x in ("a/1.xml", "a/b/2.xml", "c.xml")], "path string, length long")
+        for root in (f"{place}/data/root", "hdfs:///data/root/", "/data/root"):
+            assert {tuple(r) for r in files.top_entries(paths, root).collect()} == {("a", "dir", 2, 4), ("c.xml", "file", 1, 2)}
+
+
+def test_archive(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("top/", "")
         z.writestr("top/a.xml", "<x/>")
-        z.writestr("top/b.xml", "<y/>")
-    assert files.extract_archive(str(tmp_path / "a.zip"), str(tmp_path / "out"))["entries"] == 2
-    assert files.choose_root(str(tmp_path / "out")).endswith("top")
+        z.writestr("top/b/c.xml", "<y/>")
+    assert files.extract_archive(spark, str(tmp_path / "a.zip"), str(tmp_path / "out")) == {"entries": 2, "megabytes": 8e-6}
+    assert (tmp_path / "out/top/b/c.xml").read_text() == "<y/>"
+    assert files.choose_root(spark, str(tmp_path / "out")).endswith("/out/top")
+    assert files.choose_root(spark, str(tmp_path / "out/top")).endswith("/out/top")
 
 
 def test_tops(spark, tmp_path):
     lines = [
+        '<CD_WELL well_id="w1" well_common_name="F-99"/>',
         '<CD_WELL well_id="w1" well_common_name="F-15"/>',
         '<CD_WELL well_id="w2" well_common_name="F-15"/>',
         '<CD_WELLBORE_FORMATION well_id="w1" formation_name="Utsira Fm" prognosed_md="3000" phase="PLAN"/>',
@@ -83,7 +122,7 @@ def test_tops(spark, tmp_path):
     ]
     (tmp_path / "edm.xml").write_text("\n".join(lines))
     read = tops_text.read_lines(spark, str(tmp_path / "edm.xml"))
-    assert tops_text.wells(read).count() == 2 and tops_text.tops(read).count() == 5
+    assert tops_text.wells(read).count() == 3 and tops_text.tops(read).count() == 5
     best = tops_plan.best_tops(tops_text.tops(read), tops_text.wells(read))
     drilled = spark.createDataFrame([("15/9-F-15S", 1500.0), ("15/9-F-15", 9000.0), ("X", 20_000.0)], "well_name string, dmea double")
     made = tops_plan.formation_intervals(best, drilled).cache()
@@ -102,4 +141,8 @@ def test_tables(spark):
     assert tables.read_table(spark, "own_rows").count() == 10
     tables.replace_table(tables.read_table(spark, "own_rows").where("id < 2"), "own_rows")
     assert tables.read_table(spark, "own_rows").count() == 4
+    tables.write_sorted(spark.range(2000).selectExpr("id * 7919 % 2003 AS x").repartition(6), "own_rows", ["x"])
+    assert [r.tableName for r in spark.sql("SHOW TABLES LIKE 'own_rows*'").collect()] == ["own_rows"]
+    spans = tables.read_table(spark, "own_rows").selectExpr("_metadata.file_name AS f", "_metadata.row_index AS i", "x").collect()
+    assert [r.x for r in sorted(spans, key=lambda r: (r.f, r.i))] == sorted(r.x for r in spans)
     tables.drop_table(spark, "own_rows")
