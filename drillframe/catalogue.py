@@ -13,11 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drillframe.functions import band, bridge_name, cell, decode_entities, first_match, hour, in_window, is_month_start, keyword_hit, lookup, on_bottom, parse_time, sum_as_zero
+from drillframe.functions import band, bridge_name, cell, decode_entities, first_match, hour, in_window, is_month_start, keyword_hit, lookup, on_bottom, parse_time, sum_as_zero, thousands
 from drillframe.operators import audits, intervals, stats, windows
-from drillframe.operators.durable import shared_folder, stored
+from drillframe.operators.durable import own_folder, stored
 from drillframe.plans import benchmarks, features, model, retrospective
-from drillframe.plans.tops import FORMATION_RULES
+from drillframe.plans.tops import FORMATION_RULES, ORDINAL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -691,16 +691,263 @@ def q_retrospective(spark, d):
     return retrospective.scored_table(retrospective.efficiency(model.predict(fitted, kept)))
 
 
-@query()
+@query("SELECT well_name, time_bucket(INTERVAL 30 SECONDS, ts) AS ts, avg(v) AS v FROM (SELECT event_type AS well_name, ts, floor(value * 8) / 8 AS v FROM events) GROUP BY 1, 2")
 def q_resample_stream(spark, d):
-    """Half-minute means over the events as a stream. Buckets that the watermark, two minutes behind the latest time,
-    has not passed stay open and are not emitted."""
-    from drillframe.streaming import resample_stream
-
-    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    schema = t(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    means = resample_stream(rows, "event_type", "ts", ["value"])
+    """Half-minute means over the events as a stream. The buckets that the watermark, two minutes behind the latest time,
+    leaves open are closed from the last rows."""
+    from drillframe.streaming import resample_stream, with_open_tail
+
+    at = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    shaped = lambda df: df.select(F.col("event_type").alias("well_name"), F.col("ts").cast("timestamp").alias("ts"), (F.floor(F.col("value") * 8) / 8).alias("v"))
+    rows = shaped(spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/events.parquet*"))
+    means = resample_stream(rows, "well_name", "ts", ["v"])
     run = means.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(means.schema).parquet(f"{at}/rows")
+    whole = with_open_tail(spark.read.schema(means.schema).parquet(f"{at}/rows"), shaped(t(spark, d, "events")), "well_name", "ts", ["v"])
+    return whole.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# Nulls in keys and in the order
+
+_HOLES = "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE well_name END AS k, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts END AS t, wob, rop FROM s"
+
+
+def holes(spark, d):
+    each = lambda n, c: F.when(F.col("event_id") % n != 0, F.col(c))
+    return series(spark, d).select("event_id", each(9, "well_name").alias("k"), each(10, "ts").alias("t"), "wob", "rop")
+
+
+@query(f"SELECT event_id, last_value(wob IGNORE NULLS) OVER (PARTITION BY k ORDER BY t NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING) AS wob FROM ({_HOLES})")
+def q_forward_fill_nulls(spark, d):
+    return windows.forward_fill(holes(spark, d), ["k"], ["t", "event_id"], ["wob"], F.to_date("t")).select("event_id", "wob")
+
+
+@query(f"SELECT event_id, lag(wob, 5) OVER w AS wob_lag5, round(avg(rop) OVER (PARTITION BY k ORDER BY t NULLS FIRST, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS rop_mean, row_number() OVER w AS rn FROM ({_HOLES}) WINDOW w AS (PARTITION BY k ORDER BY t NULLS FIRST, event_id)")
+def q_prior_rows_nulls(spark, d):
+    out = windows.prior_rows(holes(spark, d), ["k"], ["t", "event_id"], {"rop_mean": ("rop", 10)}, lags={"wob_lag5": ("wob", 5)}, number="rn", block=F.to_date("t"))
+    return r6(out.select("event_id", "wob_lag5", "rop_mean", "rn"))
+
+
+@query(f"SELECT event_id, CASE WHEN rn <= trunc(n * 0.8) THEN 'train' ELSE 'test' END AS split, quartile FROM (SELECT event_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY k) AS n, ntile(4) OVER w AS quartile FROM ({_HOLES}) WINDOW w AS (PARTITION BY k ORDER BY t NULLS FIRST, event_id))")
+def q_split_and_tiles_nulls(spark, d):
+    by = (["k"], ["t", "event_id"])
+    out = windows.tiles(windows.split_by_position(holes(spark, d), *by, block=F.to_date("t")), *by, block=F.to_date("t"))
+    return out.select("event_id", "split", "quartile")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE wob END AS wob FROM s")
+def q_nan_to_null(spark, d):
+    rows = series(spark, d).select("event_id", F.when(F.col("event_id") % 6 == 0, F.lit(float("nan"))).otherwise(F.col("wob")).alias("wob"))
+    return stats.nan_to_null(rows, ["wob"])
+
+
+@query("SELECT l_suppkey, format('{:,}', count(*) * 12345) AS n, format('{:,}', CAST(floor(sum(l_quantity)) AS BIGINT)) AS quantity FROM lineitem GROUP BY 1")
+def q_report_format(spark, d):
+    made = t(spark, d, "lineitem").groupBy("l_suppkey").agg((F.count("*") * 12345).alias("n"), F.floor(F.sum("l_quantity")).alias("quantity"))
+    return made.select("l_suppkey", thousands("n").alias("n"), thousands("quantity").alias("quantity"))
+
+
+_RATIO_BANDS = (2.5, 1.5, 1.1, 0.9, 0.7)
+
+
+@query("SELECT event_id, CASE WHEN x IS NULL THEN 'none' WHEN x >= 2.5 THEN 'b0' WHEN x >= 1.5 THEN 'b1' WHEN x >= 1.1 THEN 'b2' WHEN x >= 0.9 THEN 'b3' WHEN x >= 0.7 THEN 'b4' ELSE 'b5' END AS band FROM (SELECT event_id, rop / 50 AS x FROM s)")
+def q_ratio_band(spark, d):
+    return series(spark, d).select("event_id", band(F.col("rop") / 50, _RATIO_BANDS, [f"b{i}" for i in range(6)], "none").alias("band"))
+
+
+_GRID_IN = f"""WITH {_BENCH}, z AS (SELECT * FROM ob WHERE formation_id IN (12, 21, 33, 45)),
+  e AS (SELECT formation_id, list_distinct(quantile_cont(wob, [0, 0.2, 0.4, 0.6, 0.8, 1])) AS we, list_distinct(quantile_cont(rpm, [0, 0.2, 0.4, 0.6, 0.8, 1])) AS re FROM z GROUP BY 1 HAVING count(*) >= 4),
+  g AS (SELECT formation_id, rop, greatest(len(list_filter(we, lambda x: x < wob)) - 1, 0) AS x_bin, greatest(len(list_filter(re, lambda x: x < rpm)) - 1, 0) AS y_bin FROM z JOIN e USING (formation_id))
+  SELECT formation_id, CAST(x_bin AS BIGINT) AS x_bin, CAST(y_bin AS BIGINT) AS y_bin, round(median(rop), 6) AS median, count(*) AS n_rows FROM g GROUP BY 1, 2, 3"""
+
+
+@query(_GRID_IN)
+def q_formation_grid(spark, d):
+    grid = benchmarks.formation_grid(bench_rows(spark, d), (12, 21, 33, 45), 4)
+    return r6(grid.withColumns({c: F.col(c).cast("long") for c in ("x_bin", "y_bin")}))
+
+
+# Trees of files, out of line items: well/bore/log/index/object/chunk/file
+
+_PATHS = """paths AS (SELECT '/data/' || l_returnflag || '/' || l_linestatus || '/' || (CASE WHEN l_orderkey % 17 = 0 THEN '_log' ELSE 'log' END) || '/1/obj' || (l_suppkey % 5) || '/' || l_linenumber || '/'
+  || (CASE WHEN l_orderkey % 13 = 0 THEN 'Meta' ELSE lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || '_' || l_partkey END) || '.xml' AS path, CAST(l_quantity AS BIGINT) * 1000 AS length FROM lineitem)"""
+_DATA = "f AS (SELECT path, length, string_split(path, '/') AS x FROM paths WHERE NOT contains(path, '/_') AND regexp_matches(path, '/[0-9][^/]*\\.xml$'))"
+
+
+def paths(spark, d):
+    kind = F.when(F.col("l_orderkey") % 17 == 0, "_log").otherwise("log")
+    name = F.when(F.col("l_orderkey") % 13 == 0, "Meta").otherwise(F.concat_ws("_", F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), "l_partkey"))
+    path = F.concat_ws("/", F.lit("/data"), "l_returnflag", "l_linestatus", kind, F.lit("1"), F.concat(F.lit("obj"), (F.col("l_suppkey") % 5).cast("string")), "l_linenumber", F.concat(name, F.lit(".xml")))
+    return t(spark, d, "lineitem").select(path.alias("path"), (F.col("l_quantity").cast("long") * 1000).alias("length"))
+
+
+@query(f"WITH {_PATHS} SELECT string_split(path, '/')[3] AS entry, 'dir' AS kind, count(*) AS n_files, sum(length)::BIGINT AS bytes FROM paths GROUP BY 1")
+def q_top_entries(spark, d):
+    from drillframe.sources.files import top_entries
+
+    return top_entries(paths(spark, d), "/data")
+
+
+@query(f"WITH {_PATHS}, {_DATA} SELECT count(*) AS n_files, sum(length)::BIGINT AS bytes, round(sum(length) / 1e9, 6) AS gigabytes FROM f")
+def q_data_files(spark, d):
+    from drillframe.sources.files import data_files, totals
+
+    return r6(totals(data_files(paths(spark, d))))
+
+
+@query(f"WITH {_PATHS}, {_DATA} SELECT x[3] AS well, x[4] AS bore, x[6] AS \"index\", x[3] || '/' || x[4] || '/' || x[6] || '/' || x[7] AS log_obj, arg_min(path, {{'c': CAST(x[8] AS BIGINT), 'f': x[9]}}) AS first_path, round(sum(length) / 1e6, 6) AS megabytes, count(*) AS n_files FROM f GROUP BY ALL")
+def q_log_objects(spark, d):
+    from drillframe.sources.files import log_objects
+
+    return r6(log_objects(paths(spark, d)))
+
+
+# Lines of text with an element each, out of parts: wells by size, tops by name
+
+_NAMES = ("Utsira Fm", "T. Hugin Fm VOLVE", "Bl&#xF8;d&#xF8;ks Fm", "Ty Fm", "Hordaland", "&aring;sgard", "Top Tor", "HEATHER", "Skade")
+_LINES = "lines AS (SELECT p_partkey AS n, '<CD_WELL well_id=\"w' || (p_partkey % 20) || '\" well_common_name=\"F-' || (p_size % 7) || '\"/>' AS value FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, '<CD_WELLBORE_FORMATION well_id=\"w' || (p_partkey % 20) || '\" formation_name=\"' || CASE p_size % 9 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END || '\" prognosed_md=\"' || CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 12 = 0 THEN '-5' ELSE CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) END || '\" phase=\"' || CASE p_partkey % 4 WHEN 0 THEN 'ACTUAL' WHEN 1 THEN 'PLAN' WHEN 2 THEN 'PROTOTYPE' ELSE 'OTHER' END || '\"/>' FROM part)"
+_FOUND = """wl AS (SELECT regexp_extract(value, 'well_id="([^"]+)"', 1) AS well_id, regexp_extract(value, 'well_common_name="([^"]+)"', 1) AS well_common_name, n FROM lines WHERE contains(value, '<CD_WELL ')),
+  tp AS (SELECT regexp_extract(value, 'well_id="([^"]+)"', 1) AS well_id, regexp_extract(value, 'formation_name="([^"]+)"', 1) AS formation_name_raw, TRY_CAST(regexp_extract(value, 'prognosed_md="([^"]+)"', 1) AS DOUBLE) AS md_ft, regexp_extract(value, 'phase="([^"]+)"', 1) AS phase FROM lines WHERE contains(value, 'CD_WELLBORE_FORMATION') AND regexp_extract(value, 'prognosed_md="([^"]+)"', 1) <> '')"""
+_BEST = f"""{_FOUND}, nm AS (SELECT well_id, md_ft, CASE phase WHEN 'ACTUAL' THEN 3 WHEN 'PLAN' THEN 2 WHEN 'PROTOTYPE' THEN 1 ELSE 0 END AS rank, {_RULES} AS formation
+    FROM (SELECT *, replace(replace(replace(replace(replace(replace(lower(formation_name_raw), '&#xf8;', 'o'), '&#xc5;', 'a'), '&#xe6;', 'ae'), '&#xf6;', 'o'), '&oslash;', 'o'), '&aring;', 'a') AS n FROM tp) WHERE md_ft > 0),
+  bt AS (SELECT well_id, formation, md_ft FROM (SELECT *, row_number() OVER (PARTITION BY well_id, formation ORDER BY rank DESC, md_ft) AS rn FROM nm WHERE formation IS NOT NULL) WHERE rn = 1),
+  best AS (SELECT w.well_common_name, formation, md_ft / 3.28084::DOUBLE AS md_m FROM bt LEFT JOIN (SELECT well_id, arg_max(well_common_name, n) AS well_common_name FROM wl GROUP BY 1) w USING (well_id))"""
+
+
+def lines(spark, d):
+    """As tops_text.read_lines gives them; the part's key stands for the place in the file."""
+    part = t(spark, d, "part")
+    quoted = lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
+    number = lambda c: c.cast("string")
+    well = quoted("well_id", F.concat(F.lit("w"), number(F.col("p_partkey") % 20)))
+    wells = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("<CD_WELL"), well, quoted("well_common_name", F.concat(F.lit("F-"), number(F.col("p_size") % 7))), F.lit("/>")).alias("value"), F.col("p_partkey").alias("line_at"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_size") % 9 + 1).cast("int"))
+    depth = F.when(F.col("p_partkey") % 11 == 0, "").when(F.col("p_partkey") % 12 == 0, "-5").otherwise(number(F.floor("p_retailprice")))
+    phase = F.element_at(F.array(*map(F.lit, ("ACTUAL", "PLAN", "PROTOTYPE", "OTHER"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    tops = part.select(F.concat(F.lit("<CD_WELLBORE_FORMATION"), well, quoted("formation_name", name), quoted("prognosed_md", depth), quoted("phase", phase), F.lit("/>")).alias("value"), F.col("p_partkey").alias("line_at"))
+    return wells.unionByName(tops)
+
+
+def best_tops(spark, d):
+    from drillframe.plans import tops as plan
+    from drillframe.sources import tops_text
+
+    made = lines(spark, d)
+    return plan.best_tops(tops_text.tops(made), tops_text.wells(made))
+
+
+@query(f"WITH {_LINES}, {_FOUND} SELECT well_id, formation_name_raw, md_ft, phase, count(*) AS n_rows FROM tp GROUP BY ALL")
+def q_tops_lines(spark, d):
+    from drillframe.sources import tops_text
+
+    return tops_text.tops(lines(spark, d)).groupBy("well_id", "formation_name_raw", "md_ft", "phase").agg(F.count("*").alias("n_rows"))
+
+
+@query(f"WITH {_LINES}, {_BEST} SELECT well_common_name, formation, round(md_m, 6) AS md_m FROM best")
+def q_best_tops(spark, d):
+    return r6(best_tops(spark, d))
+
+
+@query(f"WITH {_LINES}, {_BEST} SELECT formation, round(median(md_m), 6) AS md_m, count(DISTINCT well_common_name) AS n_wells FROM best GROUP BY 1")
+def q_field_medians(spark, d):
+    from drillframe.plans.tops import field_medians
+
+    return r6(field_medians(best_tops(spark, d)))
+
+
+_ORDINALS = " ".join(f"WHEN '{n}' THEN {i}" for n, i in ORDINAL.items())
+
+
+@query(f"WITH {_LINES}, {_BEST}, dr AS (SELECT DISTINCT '15/9-F-' || (c_custkey % 9) || 'X' AS well_name FROM customer), b AS (SELECT well_name, formation, min(md_m) AS md FROM dr JOIN best ON regexp_extract(well_name, 'F-([0-9]+)', 0) = well_common_name GROUP BY 1, 2) SELECT well_name, round(md, 3) AS md_from_m, round(lead(md, 1, 99999.0) OVER (PARTITION BY well_name ORDER BY md, formation), 3) AS md_to_m, formation, CAST(CASE formation {_ORDINALS} ELSE 0 END AS BIGINT) AS formation_id FROM b")
+def q_formation_intervals(spark, d):
+    from drillframe.plans.tops import formation_intervals
+
+    drilled = t(spark, d, "customer").select(F.concat(F.lit("15/9-F-"), (F.col("c_custkey") % 9).cast("string"), F.lit("X")).alias("well_name"))
+    return formation_intervals(best_tops(spark, d), drilled)
+
+
+# XML logs, out of events: an object a user group, a file a hundred events, and three ways to say which column is which
+
+_CURVES = "CASE WHEN c % 3 = 0 THEN ['TIME', 'ROP5', 'ROP', 'SWOB', 'RPM'] END"
+_LOGS = f"""le AS (SELECT *, user_id % 6 AS o, event_id // 100 AS c FROM eighths),
+  lf AS (SELECT DISTINCT o, c, {_CURVES} AS curves, CASE WHEN c % 3 = 1 THEN ['TIME', 'RPM', 'SWOB', 'ROP'] END AS listed FROM le)"""
+_LOG_PATH = "'w' || (o % 2) || '/b/log/1/obj' || o || '/' || c || '/1.xml'"
+
+
+def logs(spark, d):
+    """As logs_xml.read_logs gives them: index type, listed mnemonics, curves and rows of text by file."""
+    e = t(spark, d, "events").select("event_id", "ts", (F.floor(F.col("value") * 8) / 8).alias("v"), (F.col("user_id") % 6).alias("o"), F.floor(F.col("event_id") / 100).alias("c"))
+    time = F.when(F.col("event_id") % 19 == 0, "never").when(F.col("event_id") % 23 == 0, "2008-03-01 00:00:00").otherwise(F.date_format(F.col("ts") - F.expr("INTERVAL 16 YEARS"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    v, rpm = F.col("v").cast("string"), (F.col("event_id") % 50).cast("string")
+    wob = F.when(F.col("event_id") % 4 == 0, "null").otherwise(F.concat(F.lit(" "), (F.col("v") / 8).cast("string")))
+    line = F.when(F.col("c") % 3 == 0, F.concat_ws(",", time, F.lit("9"), v, wob, rpm)).otherwise(F.concat_ws(",", time, rpm, wob, v))
+    files = e.groupBy("o", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]).alias("data"))
+    names = lambda *xs: F.array(*map(F.lit, xs))
+    curve = lambda m: F.struct(m.alias("mnemonic"), F.lit("u").alias("unit"), F.concat(m, F.lit(" curve")).alias("description"))
+    well, obj = F.concat(F.lit("w"), (F.col("o") % 2).cast("string")), F.concat(F.lit("obj"), F.col("o").cast("string"))
+    return files.select(
+        F.concat_ws("/", well, F.lit("b/log/1"), obj, F.col("c").cast("string"), F.lit("1.xml")).alias("path"), well.alias("well"), F.concat_ws("/", well, F.lit("b/1"), obj).alias("log_obj"), "c",
+        F.lit("1.xml").alias("file"), F.lit("date time").alias("index_type"), F.when(F.col("c") % 3 == 1, names("TIME", "RPM", "SWOB", "ROP")).alias("listed"),
+        F.when(F.col("c") % 3 == 0, F.transform(names("TIME", "ROP5", "ROP", "SWOB", "RPM"), curve)).alias("curves"), "data", F.lit(None).cast("string").alias("error"),
+    ).withColumnRenamed("c", "chunk")
+
+
+@query(f"WITH {_LOGS} SELECT {_LOG_PATH} AS path, m AS mnemonic, CASE WHEN m IS NOT NULL THEN 'u' END AS unit, m || ' curve' AS description FROM (SELECT o, c, unnest(coalesce(curves, [NULL])) AS m FROM lf)")
+def q_log_channels(spark, d):
+    from drillframe.sources.logs_xml import log_channels
+
+    return log_channels(logs(spark, d)).select("path", "mnemonic", "unit", "description")
+
+
+@query(f"WITH {_LOGS} SELECT {_LOG_PATH} AS path, 'date time' AS index_type, array_to_string(curves, ',') AS mnemonics, array_to_string(listed, ',') AS listed FROM lf")
+def q_log_header(spark, d):
+    from drillframe.sources.logs_xml import log_header, log_sample
+
+    made = logs(spark, d)
+    return log_header(made).join(log_sample(made, 2), "path").select("path", "index_type", F.array_join("mnemonics", ",").alias("mnemonics"), F.when(F.col("listed").isNotNull(), F.array_join("listed", ",")).alias("listed"))
+
+
+@query(f"WITH {_LOGS} SELECT {_LOG_PATH} AS path, CASE WHEN c % 3 = 0 THEN 5 ELSE 0 END::BIGINT AS n_curves, count(*) AS n_data, c % 3 = 1 AS has_list FROM le GROUP BY o, c")
+def q_log_structure(spark, d):
+    from drillframe.sources.logs_xml import log_structure
+
+    found = log_structure(logs(spark, d))
+    return found.select("path", F.col("n_curves").cast("long").alias("n_curves"), F.col("n_data").cast("long").alias("n_data"), "has_list")
+
+
+_PARSED = f"""WITH {_LOGS}, h AS (SELECT o, c, last_value(CASE WHEN c % 3 < 2 THEN c % 3 END IGNORE NULLS) OVER (PARTITION BY o ORDER BY c ROWS UNBOUNDED PRECEDING) AS way, first_value(c % 3) OVER (PARTITION BY o ORDER BY c) AS opens FROM lf),
+  r AS (SELECT le.o, CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 0 THEN TIMESTAMP '2008-03-01' ELSE ts - INTERVAL 16 YEAR END AS ts, le.c % 3 = 0 AS long_rows, way, event_id, v,
+    CASE WHEN event_id % 4 = 0 THEN NULL ELSE v / 8 END AS wob, CAST(event_id % 50 AS DOUBLE) AS rpm FROM le JOIN h ON le.o = h.o AND le.c = h.c WHERE opens = 0),
+  p AS (SELECT o, ts, CASE WHEN long_rows THEN v WHEN way = 0 THEN wob ELSE v END AS rop, CASE WHEN long_rows THEN wob WHEN way = 0 THEN v ELSE wob END AS wob, CASE WHEN long_rows THEN rpm WHEN way = 1 THEN rpm END AS rpm
+    FROM r WHERE ts >= TIMESTAMP '2007-01-01' AND ts < TIMESTAMP '2010-01-01' AND NOT (day(ts) = 1 AND date_trunc('day', ts) = ts))
+  SELECT 'w' || (o % 2) AS well_name, ts, rop, wob, rpm, CAST(NULL AS DOUBLE) AS spp FROM p WHERE o IN (SELECT o FROM p GROUP BY 1 HAVING count(*) >= 20)"""
+
+
+@query(_PARSED)
+def q_parse_logs(spark, d):
+    from drillframe.sources.logs_xml import parse_logs
+
+    made = parse_logs(logs(spark, d), least_rows=20)
+    return made.select("well_name", F.col("ts").cast("timestamp_ntz").alias("ts"), "rop", "wob", "rpm", "spp")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 5 = 0")
+def q_table_round_trip(spark, d):
+    """Appended twice, replaced by rows of itself, read, dropped."""
+    from drillframe.sources import tables
+
+    rows, name = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), f"q_table_{uuid.uuid4().hex[:12]}"
+    tables.append_table(rows.where("o_orderkey % 2 = 0"), name, ["o_orderpriority"])
+    tables.append_table(rows.where("o_orderkey % 5 = 0"), name, ["o_orderpriority"])
+    tables.replace_table(tables.read_table(spark, name).where("o_custkey % 3 <> 0"), name)
+    found = stored(tables.read_table(spark, name))
+    tables.drop_table(spark, name)
+    return found
+
+
+@query()
+def q_importances(spark, d):
+    """The features that tell most, of a small model on the feature matrix; no SQL can express it."""
+    train, _ = matrices(spark, d)
+    names = [c for c, k in train.dtypes if k in ("double", "bigint", "int") and c not in ("rop", "event_id")]
+    return model.importances(model.fit(train, names, settings=model.ACROSS | {"maxIter": 5, "maxDepth": 3}))

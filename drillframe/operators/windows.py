@@ -122,6 +122,7 @@ def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at = 1").drop("_at")
 
 
-def lead_intervals(df: DataFrame, key: str, start: str, end: str, last: float) -> DataFrame:
-    """Half-open intervals from a key's sorted starts; the last one ends at `last`."""
-    return df.withColumn(end, F.lead(start, 1, last).over(Window.partitionBy(key).orderBy(start)))
+def lead_intervals(df: DataFrame, key: str, start: str, end: str, last: float, ties: Sequence[str] = ()) -> DataFrame:
+    """Half-open intervals from a key's sorted starts; the last one ends at `last`. Of equal starts all but the last by
+    `ties` are empty."""
+    return df.withColumn(end, F.lead(start, 1, last).over(Window.partitionBy(key).orderBy(start, *ties)))

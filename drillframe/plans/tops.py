@@ -53,7 +53,8 @@ OPEN_END = 99_999.0
 
 def canonical_formation(name):
     """The formation that a raw name stands for, or null."""
-    return first_match(decode_entities(name), FORMATION_RULES)
+    # Within a lambda the decoded name is made once, not once a rule.
+    return F.transform(F.array(decode_entities(name)), lambda n: first_match(n, FORMATION_RULES))[0]
 
 
 def best_tops(tops: DataFrame, wells: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def formation_intervals(best: DataFrame, drilled: DataFrame) -> DataFrame:
     shallowest = best.groupBy("well_common_name", "formation").agg(F.min("md_m").alias("md_m"))
     bridged = drilled.select("well_name").distinct().withColumn("well_common_name", bridge_name("well_name"))
     named = bridged.join(shallowest, "well_common_name")
-    spans = windows.lead_intervals(named, "well_name", "md_m", "md_to", OPEN_END)
+    spans = windows.lead_intervals(named, "well_name", "md_m", "md_to", OPEN_END, ["formation"])
     return spans.select("well_name", F.round("md_m", 3).alias("md_from_m"), F.round("md_to", 3).alias("md_to_m"), "formation", lookup("formation", ORDINAL).cast("long").alias("formation_id"))
 
 

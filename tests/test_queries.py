@@ -13,26 +13,12 @@ def test_query_equals_sql(spark, sf, name):
     assert compare(catalogue.QUERIES[name](spark, sf), sf, catalogue.SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", ["q_model_predictions", "q_retrospective", "q_resample_stream"])
+@pytest.mark.parametrize("name", ["q_importances"])
 def test_query_gives_rows(spark, sf, name):
     df = catalogue.QUERIES[name](spark, sf)
     assert df.count() > 0
 
 
-def test_resample_stream_equals_batch(spark, sf):
-    from pyspark.sql import functions as F
-
-    from drillframe.operators import audits
-
-    stream = catalogue.QUERIES["q_resample_stream"](spark, sf)
-    batch = audits.resample(catalogue.t(spark, sf, "events"), "event_type", "ts", ["value"])
-    batch = {(r.event_type, r.ts): r.value for r in batch.collect()}
-    got = {(r.event_type, r.ts): r.value for r in stream.withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()}
-    last = max(ts for _, ts in batch)
-    assert all(batch[k] == pytest.approx(v) for k, v in got.items())
-    assert all(k in got for k in batch if (last - k[1]).total_seconds() > 300)
-
-
 @pytest.mark.parametrize("name, settings", [("q_model_predictions", model.ACROSS), ("q_retrospective", model.WITHIN)])
 def test_models_are_fitted_with_their_own_settings(spark, sf, monkeypatch, name, settings):
     asked, fit = [], model.fit
