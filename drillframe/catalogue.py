@@ -295,6 +295,13 @@ def q_range_join_open_end(spark, d):
     return intervals.range_label(series(spark, d), spans, "dmea", "md_from_m", "md_to_m", 10.0, ["formation"]).select("event_id", "formation")
 
 
+@query("SELECT event_id, v.well_name AS top_well, formation FROM s LEFT JOIN tops v ON s.dmea >= v.md_from_m AND s.dmea < v.md_to_m")
+def q_range_join_all_tops(spark, d):
+    """All intervals of all wells, which overlap: a row for each that holds the value."""
+    spans = tops(spark, d).withColumnRenamed("well_name", "top_well")
+    return intervals.range_label(series(spark, d), spans, "dmea", "md_from_m", "md_to_m", 10.0, ["top_well", "formation"]).select("event_id", "top_well", "formation")
+
+
 # Ordered operators
 
 
@@ -570,7 +577,7 @@ def q_indexed_cells(spark, d):
 @query("SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS carried FROM events")
 def q_map_carry_forward(spark, d):
     rows = t(spark, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 3 == 0, F.from_json("props", "map<string,int>")).alias("m"))
-    filled = windows.forward_fill(rows, ["user_id"], ["ts"], ["m"])
+    filled = windows.forward_fill(rows, ["user_id"], ["ts"], ["m"], day())
     return filled.select("event_id", F.when(F.col("m").isNotNull(), F.concat(F.lit('{"k": '), F.col("m")["k"].cast("string"), F.lit("}"))).alias("carried"))
 
 

@@ -69,5 +69,6 @@ def feature_matrices(train: DataFrame, test: DataFrame, tops: DataFrame, exclude
     medians = stats.medians(own, BASE)
     whole = stats.fill_with(filled, medians, BASE)
     bounds = stats.bounds(stats.fill_with(own, medians, BASE), BASE)
-    out = window_features(stats.clip(whole, bounds, BASE), block)
-    return out.where(~F.col("_test")).drop("_test"), out.where("_test").drop("_test")
+    # Each part on its own: who asks for one doesn't pay for the windows of both.
+    parts = (whole.where(~F.col("_test")), whole.where("_test"))
+    return tuple(window_features(stats.clip(part.drop("_test"), bounds, BASE), block) for part in parts)

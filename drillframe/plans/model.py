@@ -29,7 +29,7 @@ def fit(train: DataFrame, features: Sequence[str], label: str = "rop", settings:
 
     The learner's own early stopping ends at the first round that gains less than validationTol, or nothing, and knows
     no patience. Trees are therefore fitted on the other rows only, and cut afterwards: first twice the patience, then,
-    while it has not run out, four times as many, up to maxIter. The seed gives the same first trees each time. Without
+    while it has not run out, twice as many, up to maxIter. The seed gives the same first trees each time. Without
     validation rows all maxIter trees are kept.
     """
     chosen = dict(ACROSS if settings is None else settings)
@@ -38,7 +38,7 @@ def fit(train: DataFrame, features: Sequence[str], label: str = "rop", settings:
     if context.getCheckpointDir() is None:  # else the lineage of hundreds of rounds grows without end
         context.setCheckpointDir(shared_folder(train.sparkSession))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    trees = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="pred_rop", stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, **chosen)
+    trees = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="pred_rop", stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxMemoryInMB=1024, seed=42, **chosen)
     rows = assembler.transform(holdout(train, share)).select("features", label, "is_validation").persist()
     try:
         own, held = rows.where("NOT is_validation"), rows.where("is_validation")
@@ -51,7 +51,7 @@ def fit(train: DataFrame, features: Sequence[str], label: str = "rop", settings:
             best, ended = best_round(fitted.evaluateEachIteration(held, "squared"), patience)
             if ended or n == most:
                 return PipelineModel([assembler, first_trees(fitted, best)])
-            n = min(4 * n, most)
+            n = min(2 * n, most)
     finally:
         rows.unpersist()
 

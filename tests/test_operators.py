@@ -261,3 +261,32 @@ def test_quantiles_of_nothing(spark):
     assert stats.exact_quantiles(df, ["k"], ["v"], [0.5]).count() == 0
     r = audits.describe(df, "v").first()
     assert (r.n_rows, r.mean, r.p50) == (0, None, None)
+
+
+class Settings(dict):
+    """As much of a session as tells where to store."""
+
+    @property
+    def conf(self):
+        return self
+
+
+def test_no_temporary_folder_on_a_cluster():
+    from drillframe.operators import durable
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable.shared_folder(Settings({"spark.master": "spark://host:7077"}))
+    assert durable.shared_folder(Settings({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///x"})) == "hdfs:///x"
+    local = Settings({"spark.master": "local[2]", "spark.app.id": "one"})
+    assert durable.shared_folder(local) == durable.shared_folder(local)
+
+
+def test_stored_rows_are_cleared(spark):
+    import os
+
+    from drillframe.operators import durable
+
+    assert durable.stored(spark.range(3)).count() == 3
+    assert os.listdir(durable.own_folder(spark))
+    durable.clear(spark)
+    assert not os.path.exists(durable.own_folder(spark))
