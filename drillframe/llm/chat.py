@@ -53,6 +53,15 @@ LINK_TYPE = "array<struct<place:int,id:string,result_turn:long,level:int>>"
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+#: The result for conversations without calls and results, as those of the test tables are, in DuckDB's SQL. Linking and
+#: order are beyond it; a message with a call or a result makes it differ.
+ORACLE = """
+SELECT conv_id, turn, coalesce(role, '') AS role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid, NULL::BIGINT AS answers_turn,
+  CAST(json_object('content', coalesce(text, ''), 'role', coalesce(role, '')) AS VARCHAR) AS message
+FROM conversations
+"""
+
+
 def _finite(text: str) -> float | int:
     value = float(text)
     if not math.isfinite(value):

@@ -68,5 +68,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_secrets": secrets.oracle(),
+        "op9_chat": chat.ORACLE,
         "op10_quality_rules": quality_rules.oracle(),
     }

@@ -7,6 +7,8 @@ from drillframe.llm import chat
 from drillframe.llm.common import table
 from drillframe.llm.queries import op9_chat
 
+from ..oracle import compare
+
 SCHEMA = "conv_id long, turn long, role string, text string, calls string, links string"
 
 
@@ -171,6 +173,10 @@ def test_deep_chain_over_many_chunks(spark, monkeypatch):
     assert {r.level for r in flat.where("id <> 's0'").collect()} == {1}
 
 
+def test_query_equals_sql(spark, sf):
+    assert compare(op9_chat(spark, sf), sf, chat.ORACLE) == []
+
+
 def test_query_keeps_every_message(spark, sf):
     rows = table(spark, sf, "conversations").collect()
     got = op9_chat(spark, sf).collect()
