@@ -46,7 +46,7 @@ def describe(df: DataFrame, column: str, by: Sequence[str] | None = None) -> Dat
     """Count, mean, sample deviation, least, exact quartiles, most."""
     rows = stored(df.select(*(by or []), column))
     made = _grouped(rows, by).agg(F.count(column).alias("n_rows"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("most"))
-    found = stats.with_quantiles(made, stats.exact_quantiles(rows, by or [], [column], [0.25, 0.5, 0.75]), by or [])
+    found = stats.with_quantiles(made, stats.exact_quantiles(rows, by or [], [column], [0.25, 0.5, 0.75], stats.as_it_is), by or [])
     q = F.col(f"{column}_q")
     return found.select(*(by or []), "n_rows", "mean", "std", "least", *[q[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "most")
 
@@ -68,7 +68,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
 def residual_stats(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     rows = stored(df.select((F.col(actual) - F.col(predicted)).alias("d")))
     made = rows.agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"))
-    found = stats.with_quantiles(made, stats.exact_quantiles(rows, [], ["d"], [0.05, 0.95]), [])
+    found = stats.with_quantiles(made, stats.exact_quantiles(rows, [], ["d"], [0.05, 0.95], stats.as_it_is), [])
     return found.select("mean", "std", F.col("d_q")[0].alias("p5"), F.col("d_q")[1].alias("p95"))
 
 

@@ -5,7 +5,7 @@ A table of statistics has one row, whatever the input, and so is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,18 +52,18 @@ def nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], shares: Sequence[float], keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """{c}_q: the exact, interpolated quantiles of each column by group, in the order of shares; null for a group without
     values. Nulls don't count; null keys are a group.
 
     No group's values are ever held together. Approximate percentiles, of bounded memory, close each quantile in from
     both sides; values below are counted, and only the few in between are ranked, equal ones as one. The values asked
-    for are stored, as they are read three times.
+    for are read three times: `keep` stores them, and may do nothing where df is stored already.
     """
     cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
     keys = [f"_by{i}" for i in range(len(by))]
     long = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.explode(cells).alias("x")).select(*keys, F.col("x.c").alias("_c"), F.col("x.v").alias("_v")).where("_v IS NOT NULL")
-    values, group = stored(long), [*keys, "_c"]
+    values, group = keep(long), [*keys, "_c"]
 
     slack = 4 / ACCURACY
     sides = [min(1.0, max(0.0, p + side)) for side in (-slack, slack) for p in shares]
@@ -104,9 +104,13 @@ def with_quantiles(aggregates: DataFrame, quantiles: DataFrame, by: Sequence[str
     return aggregates.join(quantiles.withColumnsRenamed({c: f"_on_{c}" for c in by}), same, "left").drop(*[f"_on_{c}" for c in by])
 
 
-def quantile_edges(df: DataFrame, by: Sequence[str], columns: Sequence[str], bins: int) -> DataFrame:
+def as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def quantile_edges(df: DataFrame, by: Sequence[str], columns: Sequence[str], bins: int, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """{c}_edges: sorted, distinct, interpolated quantiles of each group."""
-    found = exact_quantiles(df, by, columns, [i / bins for i in range(bins + 1)])
+    found = exact_quantiles(df, by, columns, [i / bins for i in range(bins + 1)], keep)
     return found.select(*by, *[F.array_distinct(f"{c}_q").alias(f"{c}_edges") for c in columns])
 
 
@@ -115,9 +119,9 @@ def quantile_grid(df: DataFrame, by: str, x: str, y: str, value: str, bins: int
     from drillframe.functions import nearest_bin
 
     rows = stored(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, x, y, value))
-    edges = quantile_edges(rows, [by], [x, y], bins).join(rows.groupBy(by).agg(F.count("*").alias("_n")), by).where(F.col("_n") >= least)
+    edges = quantile_edges(rows, [by], [x, y], bins, as_it_is).join(rows.groupBy(by).agg(F.count("*").alias("_n")), by).where(F.col("_n") >= least)
     placed = rows.join(edges, by)
     placed = placed.select(by, value, nearest_bin(F.col(x), F.col(f"{x}_edges")).alias("x_bin"), nearest_bin(F.col(y), F.col(f"{y}_edges")).alias("y_bin"))
     cells, key = stored(placed), [by, "x_bin", "y_bin"]
-    found = with_quantiles(cells.groupBy(*key).agg(F.count("*").alias("n_rows")), exact_quantiles(cells, key, [value], [0.5]), key)
+    found = with_quantiles(cells.groupBy(*key).agg(F.count("*").alias("n_rows")), exact_quantiles(cells, key, [value], [0.5], as_it_is), key)
     return found.select(*key, F.col(f"{value}_q")[0].alias("median"), "n_rows")

@@ -45,7 +45,7 @@ def key_summary(hours: DataFrame, key: str = "well_name", under: float = UNDER)
     """Hours, efficiency and exact medians of each key, the least efficient first."""
     rows = stored(hours.select(key, "ts_hour", "efficiency", "actual_rop", "pred_rop"))
     made = rows.groupBy(key).agg(F.count("ts_hour").alias("hours_analysed"), F.avg("efficiency").alias("mean_efficiency"), audits.share_of(F.col("efficiency") < under).alias("pct_underperf"))
-    found = stats.with_quantiles(made, stats.exact_quantiles(rows, [key], ["actual_rop", "pred_rop"], [0.5]), [key])
+    found = stats.with_quantiles(made, stats.exact_quantiles(rows, [key], ["actual_rop", "pred_rop"], [0.5], stats.as_it_is), [key])
     medians = [F.col(f"{c}_q")[0].alias(f"median_{c}") for c in ("actual_rop", "pred_rop")]
     return found.select(key, "hours_analysed", "mean_efficiency", "pct_underperf", *medians).orderBy("mean_efficiency", key)
 
