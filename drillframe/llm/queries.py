@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, ogg, packing, pii, quality_cnn, quality_rules, secrets, simhash, toxicity
+from . import align, bpe, chat, language, ogg, packing, pii, quality_cnn, quality_rules, secrets, simhash, toxicity, vector_codes
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_chat": op9_chat,
         "op10_quality_rules": op10_quality_rules,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_alignment": op12_alignment,
+        "op13_language": op13_language,
     }
 
 
@@ -70,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_secrets": secrets.oracle(),
         "op9_chat": chat.ORACLE,
         "op10_quality_rules": quality_rules.oracle(),
+        "op11_vector_codes": vector_codes.oracle(),
     }
