@@ -37,6 +37,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -91,12 +92,13 @@ class Transducer:
         if len(self.known) > TRANSITIONS:
             self._forget()
         begun, known, leads = self.begun, self.known, self.leads
-        groups, links, i, j, from_i, from_j, state, last = [], [], 0, 0, 0, 0, 0, 0
+        groups, links, i, j, from_i, from_j, state, last, leader, token = [], [], 0, 0, 0, 0, 0, 0, 0, 0
         size_a, size_b = len(a), len(b)
         while True:
             if not state:
                 if i > from_i:
-                    groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
+                    one = i - from_i == 1 and j - from_j == 1
+                    groups.append(f"{last}|{token}" if one and not leader else f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
                     from_i, from_j = i, j
                 if i == size_a:
                     return (";".join(groups), len(groups), links) if j == size_b else None
@@ -138,6 +140,18 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def encoding_by_ranks(spec: dict, bytes_of: list[bytes]) -> tiktoken.Encoding | None:
+    """The same byte-level tokenizer for the library that is several times faster, which merges by ids; None if its
+    merges aren't in the order of their ids, or if it does anything besides."""
+    cut, model = spec["pre_tokenizer"], spec["model"]
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    given = [i for i in model["vocab"].values() if len(bytes_of[i]) == 1]
+    plain = cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not spec["normalizer"]
+    if not plain or made != sorted(set(made)) or len(given) != 256 or not model["merges"] or max(given) > made[0]:
+        return None
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes_of[i]: i for i in [*given, *made]}, special_tokens={})
+
+
 class Entry(NamedTuple):
     """What is known of a unit or a text: groups as text, numbers of tokens and groups, and its links as bytes of 64 bits."""
 
@@ -159,10 +173,13 @@ class Aligner:
         self.a = Tokenizer.from_file(first)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
-        alphabet, vocabulary = byte_alphabet(), json.load(open(first))["model"]["vocab"]
+        spec, alphabet = json.load(open(first)), byte_alphabet()
+        vocabulary = spec["model"]["vocab"]
         a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             a_bytes[i] = bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode()
+        self.by_ranks = encoding_by_ranks(spec, a_bytes)
+        self.first_sizes = np.array(list(map(len, a_bytes)), np.int64)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.transducer = Transducer(a_bytes, b_bytes)
@@ -183,18 +200,41 @@ class Aligner:
         """The second tokenizer puts a blank in front itself: it is spared where the unit has one, and taken off where not."""
         return ids if unit[0] == " " else ids[1:] if ids[:1] == [self.blank] else None
 
-    def _entry(self, unit: str, a: list[int], b: list[int] | None) -> Entry | None:
-        found = None if b is None else self.transducer.align(a, b)
-        # Tokens that agree with each other but not with the text give nothing either.
-        if found is None or b"".join(map(self.transducer.sides[0].__getitem__, a)) != unit.encode():
-            return None
-        groups, n, links = found
-        return Entry(groups, len(a), len(b), n, array("q", links).tobytes())
+    def _first_ids(self, units: list[str]) -> list[list[int] | None]:
+        """Ids of each unit by the first tokenizer; None where their bytes are not the unit's. Units that don't end in white
+        space stay apart when they are joined: they are tokenised as one string, and its ids cut where units end."""
+        sides = self.transducer.sides[0]
+        if self.by_ranks and not any(u[-1].isspace() for u in units):
+            whole = "".join(units)
+            ids = self.by_ranks.encode_ordinary(whole)
+            ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+            cuts = np.searchsorted(np.cumsum(self.first_sizes[ids]), ends)
+            if b"".join(map(sides.__getitem__, ids)) == whole.encode():
+                stops = (cuts + 1).tolist()
+                return [ids[i:j] for i, j in zip([0, *stops], stops)]
+        return self._tokenised(units)
+
+    def _tokenised(self, units: list[str]) -> list[list[int] | None]:
+        sides = self.transducer.sides[0]
+        found = [x.ids for x in self.a.encode_batch(units, add_special_tokens=False)]
+        return [x if b"".join(map(sides.__getitem__, x)) == u.encode() else None for u, x in zip(units, found)]
 
     def _entries(self, units: list[str]) -> list[Entry | None]:
-        first = self.a.encode_batch(units, add_special_tokens=False)
+        """Latin units, of which Unicode's versions say the same, go by ranks; others through the tokenizer itself."""
+        latin = [u for u in units if max(u) < "ɐ"]
+        found = dict(zip(latin, self._aligned(latin, self._first_ids(latin)))) if latin else {}
+        if rest := [u for u in units if u not in found]:
+            found |= zip(rest, self._aligned(rest, self._tokenised(rest)))
+        return [found[u] for u in units]
+
+    def _aligned(self, units: list[str], first: list[list[int] | None]) -> list[Entry | None]:
         second = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        return [self._entry(u, x.ids, self._second_ids(u, y)) for u, x, y in zip(units, first, second)]
+        out, align = [], self.transducer.align
+        for unit, a, b in zip(units, first, second):
+            b = self._second_ids(unit, b)
+            found = None if a is None or b is None else align(a, b)
+            out.append(found and Entry(found[0], len(a), len(b), found[1], array("q", found[2]).tobytes()))
+        return out
 
     def whole(self, text: str) -> Entry:
         """A text tokenised as a whole."""
@@ -202,8 +242,8 @@ class Aligner:
 
     def _learn(self, units: set[str]) -> None:
         new = list(units.difference(self.known))
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
+        for k in range(0, len(new), 4000):
+            part = new[k : k + 4000]
             for unit, entry in zip(part, self._entries(part)):
                 self.known[unit] = entry
                 if len(unit) > LONGEST_UNIT:
