@@ -37,8 +37,9 @@ from .common import plain_text, stored
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 900_000
+#: Bytes of words and ids that a worker remembers, of the objects about each as well; beyond, it starts anew. Longer words
+#: than WORD characters are not remembered.
+REMEMBERED_BYTES, OBJECTS, WORD = 160 << 20, 170, 100
 #: Pieces in a cell of the ranking.
 CELL = 65_536
 
@@ -53,6 +54,7 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.held = 0
         spec = json.load(open(path))
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -69,13 +71,17 @@ class WordIds(dict):
             found = self[word[:-1]] + self[word[-1]]
         elif word.isascii() or max(word) < "ɐ":
             parts = [word] if word.isalpha() else self.split.findall(word)
-            ids = [t.id for p in parts for t in self.model.tokenize(p if p.isascii() else "".join(map(self.byte_char.__getitem__, p.encode())))]
+            # Printable ASCII stands for itself; control characters have others in their place, as all bytes beyond have.
+            ids = [t.id for p in parts for t in self.model.tokenize(p if p.isascii() and p.isprintable() else "".join(map(self.byte_char.__getitem__, p.encode())))]
             found = struct.pack(f"<{len(ids)}I", *ids)
         else:
             found = self.whole(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found
+        if len(word) <= WORD:
+            if self.held > REMEMBERED_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = found
+            self.held += OBJECTS + len(word) + len(found)
         return found
 
     def encode(self, text: str) -> bytes:

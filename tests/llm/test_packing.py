@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -105,3 +106,23 @@ def test_repeated_rows_are_dealt_to_many_cells(spark):
     check(got, [(1, "the same text")] * 3000)
     cut = packing.pieces(docs)
     assert cut.select("nth").distinct().count() >= 900
+
+
+def test_every_character_is_encoded_as_the_tokenizer_does():
+    known = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    points = [i for i in range(0x3100) if not 0xD800 <= i < 0xE000]
+    points += list(range(0xE000, 0x11000, 37)) + list(range(0xFE00, 0x10100)) + list(range(0x1F300, 0x1F700, 3))
+    texts = [t for c in map(chr, points) for t in (c, f"a{c}", f"{c}a", f"1{c}1", f"a{c}b")]
+    want = [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, ids in zip(texts, want) if np.frombuffer(known.encode(t), "<u4").tolist() != ids] == []
+
+
+def test_random_texts_with_control_characters():
+    known = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(11)
+    parts = [*map(chr, range(0x21)), "\x7f", "\x80", "\x9f", "a", "The", "ing", "é", "中", "1", "42", ".", ",", "'s", "!", " ", "  ", "­", "̈", "ß"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(20_000)]
+    want = [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, ids in zip(texts, want) if np.frombuffer(known.encode(t), "<u4").tolist() != ids] == []
