@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import plain_text, stored
 
-_CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
+_OPEN, _CLOSE = "<tool_call>", "</tool_call>"
 _SURROGATE = re.compile("[\ud800-\udfff]")
 #: Levels of JSON, and calls ordered in one task.
 DEPTH, CHUNK = 100, 50_000
@@ -167,9 +167,20 @@ def read_result(text: str) -> dict | None:
     return found if isinstance(found, dict) and _identifier(found.get("tool_call_id")) is not None else None
 
 
+def split_calls(text: str) -> tuple[list[str], str]:
+    """What stands between each opening tag and the next closing one, and the text without them. Each tag is looked for
+    once: a text of opening tags alone takes no longer than any other."""
+    bodies, kept, at = [], [], 0
+    while (start := text.find(_OPEN, at)) >= 0 and (end := text.find(_CLOSE, start + len(_OPEN))) >= 0:
+        bodies.append(text[start + len(_OPEN) : end])
+        kept.append(text[at:start])
+        at = end + len(_CLOSE)
+    return bodies, "".join([*kept, text[at:]])
+
+
 def read_message(role: str, text: str, schemas: dict) -> tuple[list[dict], str | None]:
     """The calls in a message, and the identifier that it is the result of."""
-    calls = [{"place": n} | read_call(body, schemas) for n, body in enumerate(_CALL.findall(text) if "<tool_call>" in text else ())]
+    calls = [{"place": n} | read_call(body, schemas) for n, body in enumerate(split_calls(text)[0])]
     result = read_result(text) if role == "tool" and text.lstrip().startswith("{") else None
     return calls, None if result is None else _identifier(result["tool_call_id"])
 
@@ -287,7 +298,7 @@ def write_message(row: dict) -> tuple[int, int, int, int | None, str]:
         state = c["verdict"] if c["id"] is None or link else "duplicate"
         listed.append({"id": c["id"], "name": c["name"], "arguments": parse(c["arguments"]), "verdict": state, "level": link.get("level", -1), "result_turn": link.get("result_turn")})
     listed.sort(key=lambda c: (c["level"] < 0, c["level"], c["id"] or "", c["name"] or ""))
-    message = {"role": row["role"], "content": _CALL.sub("", row["text"]) if row["calls"] else row["text"]}
+    message = {"role": row["role"], "content": split_calls(row["text"])[1] if row["calls"] else row["text"]}
     answers = None
     if listed:
         message["tool_calls"] = listed
