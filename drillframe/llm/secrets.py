@@ -6,7 +6,8 @@
 3. Postings meet the clauses and are intersected by counting: a clause whose trigrams are all posted makes its rule a
    candidate for the row.
 4. Candidates come to the texts, which stay in place, and are verified with the regular expression itself, which also
-   gives the spans, in time that is linear in the text and nearly so in the number of matches.
+   gives the spans, in time that is linear in the text, whether a rule matches or fails there, and nearly so in the
+   number of matches.
 
 Edge cases: a null text counts as empty; an empty text has no spans, and the digest of no spans is that of the empty
 string; rows with equal ids or texts are scanned alike and each keeps its row (the key of a row is a hash of id and
@@ -34,12 +35,15 @@ from .common import meet, plain_text
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: name in spans. pattern: for Java and Python alike. group, least: the group that must have so many characters."""
+    """kind: name in spans. pattern: for Java, Python and SQL alike. group, least: the group that must have so many
+    characters. linear: where the pattern would try each beginning anew to the end of a run, another for Java and Python
+    with the same matches, each behind a group 1 that doesn't belong to it."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    linear: str = ""
 
 
 def either_case(word: str) -> str:
@@ -48,6 +52,8 @@ def either_case(word: str) -> str:
 
 _KEYWORD = "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_")) + "?" + either_case("key")
 
+_TOKEN = "[A-Za-z0-9_-]"
+
 #: The contract's three kinds, then those that the method adds. Runs of one class are maximal, so that a lower bound on
 #: their length in the pattern finds the same matches as a later check; for `assign` the check must come afterwards.
 BASE_RULES = (
@@ -59,7 +65,8 @@ ADDED_RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # A run is judged once, from the first eyJ in it: where that fails, a later one, with less behind it, fails as well.
+    Rule("jwt", rf"eyJ{_TOKEN}{{10,}}\.eyJ{_TOKEN}{{10,}}\.{_TOKEN}{{10,}}", linear=rf"(?<!{_TOKEN})((?>{_TOKEN}*?(?=eyJ)))eyJ{_TOKEN}{{10,}}+\.eyJ{_TOKEN}{{10,}}+\.{_TOKEN}{{10,}}+"),
     Rule("hexupper", r"[0-9A-F]{40,}"),
 )
 RULES = BASE_RULES + ADDED_RULES
@@ -176,11 +183,13 @@ def _matches(text: Column, rule: Rule, size: Callable[[Column], Column] = F.leng
 
     split() gives the text between the matches and regexp_extract_all() the matches: their sizes add up to positions.
     """
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    tested = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else F.lit(None).cast("array<int>")
+    pattern = rule.linear or rule.pattern
+    found = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    whole = F.zip_with(found(0), found(1), lambda m, lead: F.struct(m.alias("m"), size(lead).alias("lead"))) if rule.linear else F.transform(found(0), lambda m: F.struct(m.alias("m"), F.lit(0).alias("lead")))
+    tested = F.transform(found(rule.group), F.length) if rule.group else F.lit(None).cast("array<int>")
 
     def placed(parts: Column) -> Column:
-        sizes = F.zip_with(parts["gaps"], parts["whole"], lambda g, m: F.struct((size(g) + F.coalesce(size(m), F.lit(0))).alias("step"), size(m).alias("own")))
+        sizes = F.zip_with(parts["gaps"], parts["whole"], lambda g, x: F.struct((size(g) + F.coalesce(size(x["m"]), F.lit(0))).alias("step"), (size(x["m"]) - x["lead"]).alias("own")))
         return _let(F.filter(sizes, lambda x: x["own"].isNotNull()), lambda xs: with_ends(parts, xs))
 
     def with_ends(parts: Column, xs: Column) -> Column:
@@ -189,8 +198,8 @@ def _matches(text: Column, rule: Rule, size: Callable[[Column], Column] = F.leng
         span = lambda x, k, es: F.struct((F.get(es, k) - x["own"]).alias("at"), F.get(es, k).alias("to"), F.when(enough(k), F.lit(rule.kind)).alias("kind"))
         return F.filter(_let(ends, lambda es: F.transform(xs, lambda x, k: span(x, k, es))), lambda x: x["kind"].isNotNull())
 
-    parts = F.struct(whole.alias("whole"), tested.alias("tested"), F.split(text, rule.pattern, -1).alias("gaps"))
-    return F.when(text.rlike(rule.pattern), _let(parts, placed)).otherwise(_no_spans())
+    parts = F.struct(whole.alias("whole"), tested.alias("tested"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), _let(parts, placed)).otherwise(_no_spans())
 
 
 def scan(docs: DataFrame, rules=RULES, size: Callable[[Column], Column] = F.length) -> DataFrame:

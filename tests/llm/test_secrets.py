@@ -74,7 +74,8 @@ def test_many_candidates_meet_their_texts_by_bitmap(spark, sf, monkeypatch):
     want = {r.doc_id: r for r in secrets.secret_scan(docs).collect()}
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert {r.doc_id: r for r in secrets.secret_scan(docs).collect()} == want
-    monkeypatch.setattr(common, "MAPS", 1)
+    monkeypatch.setattr(common, "LEAST_MAPS", 1)
+    monkeypatch.setattr(common, "MOST_MAPS", 1)
     monkeypatch.setattr(common, "MAP_BITS", 8)
     assert {r.doc_id: r for r in secrets.secret_scan(docs).collect()} == want
 
@@ -94,6 +95,36 @@ def test_many_matches_take_little_more_than_linear_time(spark):
     assert long < 20 * max(short, 1)
 
 
+def test_bitmaps_grow_with_the_rows():
+    for rows in (10**6, 10**7, 10**8):
+        assert rows * 8 <= common.n_maps(rows) * common.MAP_BITS
+    assert common.n_maps(10**8) > common.n_maps(10**7) and common.n_maps(10**10) == common.MOST_MAPS
+
+
+def test_failing_beginnings_take_linear_time(spark):
+    jwt = "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12
+    texts = {
+        "runs": "eyJ" * 1_700_000 + " .ey", "dots": "eyJabcdefghij." * 360_000, "keys": "-----BEGIN " + "PRIVATE KEY " * 400_000, "begins": "-----BEGIN A" * 400_000,
+        "passwords": "password" * 600_000, "blanks": "token" + " " * 5_000_000, "AKIA": "AKIA " * 1_000_000, "hex": ("0f" * 11 + "g") * 210_000, "gh": "ghp_" * 1_200_000, "xox": "xoxb-" * 1_000_000, "word": "x" * 5_000_000,
+    }
+    start = time.time()
+    found = {r.doc_id: r for r in secrets.secret_scan(spark.createDataFrame([(k, t + " " + jwt) for k, t in texts.items()], "doc_id string, text string")).collect()}
+    assert time.time() - start < 30 * len(texts)
+    for k, t in texts.items():
+        assert found[k].spans.endswith(f"jwt:{len(t) + 1}:{len(t) + 1 + len(jwt)}"), k
+
+
+def test_linear_pattern_finds_the_same(spark):
+    rng = random.Random(4)
+    parts = ["eyJ", "eyJabcdefghij", "abcdefghijk", ".", "..", " ", "é", "-_", "eyJ0123456789.eyJ0123456789.0123456789", "0123456789", "ey", "J"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(6000)]
+    rule = next(r for r in secrets.RULES if r.linear)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("jwt")] for r in secrets.secret_scan(docs).collect()}
+    want = {i: [f"jwt:{m.start()}:{m.end()}" for m in re.finditer(rule.pattern, t)] for i, t in enumerate(texts)}
+    assert found == want and sum(map(len, want.values())) > 500
+
+
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_trigram_queries_lose_nothing(rule):
     examples = {
