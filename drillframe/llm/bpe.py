@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import plain_text
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Units whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 1_500_000
+#: Bytes of units and ids that a worker remembers, of the objects about each as well; beyond, it starts anew. Longer units
+#: than UNIT characters are not remembered.
+REMEMBERED_BYTES, OBJECTS, UNIT = 256 << 20, 170, 100
 _NEVER = 1 << 60
 
 
@@ -168,6 +169,8 @@ class Codec:
         self.prefixes = Prefixes(self.vocabulary)
         #: Ids as little-endian bytes: a collector of garbage has nothing to follow in them.
         self.known: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.held = 0
         self.decimal = [str(i) for i in range(len(self.vocabulary.bytes_of))]
 
     def _units(self, text: str) -> list[str]:
@@ -191,19 +194,33 @@ class Codec:
         elif unit[-1:] in (".", ",") and unit[-2:-1].isalpha():
             base = self.known.get(unit[:-1])
             if base is None:
-                base = self.known[unit[:-1]] = self._ids_of(unit[:-1])
+                base = self._remember(unit[:-1], self._ids_of(unit[:-1]))
             return base + struct.pack("<I", self.vocabulary.ranks[unit[-1].encode()])
         else:
             ids = [i for match in self.pattern.findall(unit) for i in Prefixes(self.vocabulary, match.encode()).tokens()]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _remember(self, unit: str, ids: bytes) -> bytes:
+        self.known[unit] = ids
+        if len(unit) > UNIT:
+            self.long.append(unit)
+        else:
+            self.held += OBJECTS + len(unit) + len(ids)
+        return ids
+
     def _learn(self, units: set[str]) -> None:
-        new = sorted(units.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        for unit in sorted(units.difference(self.known)):
+            self._remember(unit, self._ids_of(unit))
+
+    def _forget(self) -> None:
+        """Long units go at once, all others when they take up too much."""
+        for unit in self.long:
+            self.known.pop(unit, None)
+        self.long.clear()
+        self.prefixes.become(b"")
+        if self.held > REMEMBERED_BYTES:
             self.known.clear()
-            new = sorted(units)
-        for unit in new:
-            self.known[unit] = self._ids_of(unit)
+            self.held = 0
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; texts are taken in groups, so that memory is bounded."""
@@ -214,6 +231,7 @@ class Codec:
                 self._learn(set().union(*cut))
                 for units in cut:
                     yield np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<u4").tolist()
+                self._forget()
                 group, size = [], 0
             if text is not None:
                 group.append(text)

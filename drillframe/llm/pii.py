@@ -156,9 +156,16 @@ def _shape(span: str) -> str:
 _LETTERS = re.compile(r"[A-Za-z]+")
 
 
-@lru_cache(maxsize=50_000)
+#: Characters of a span whose features are remembered: a unit of a longer one, such as a number of a thousand digits, is rare.
+REMEMBERED_SPAN = 120
+
+
 def span_features(span: str, before: str, after: str) -> tuple[int, ...]:
     """Indexes of the features that hold for a whole span, given the character before it and the five after it."""
+    return (_short_span if len(span) <= REMEMBERED_SPAN else _features)(span, before, after)
+
+
+def _features(span: str, before: str, after: str) -> tuple[int, ...]:
     found = _DIGITS.findall(span)
     groups, digits = [len(g) for g in found], "".join(found)
     n, letters, dots, colons = len(digits), sum(c.isalpha() for c in span), span.count("."), span.count(":")
@@ -180,6 +187,9 @@ def span_features(span: str, before: str, after: str) -> tuple[int, ...]:
     return (*[i for i, t in enumerate(tests) if t], shape)
 
 
+_short_span = lru_cache(maxsize=50_000)(_features)
+
+
 def _candidates(text: str, start: int, stop: int) -> tuple[list[int], list[tuple[int, int, tuple[int, ...]]]]:
     """Unit boundaries of an island, and its candidate segments with their features."""
     cuts = [start, *[start + m.end() for m in _UNIT.finditer(text[start:stop])]]
