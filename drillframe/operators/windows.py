@@ -1,9 +1,19 @@
 """Ordered operators: row numbers, forward fill, rolling statistics, lags, warm-up, splits by position.
 
 One key may hold a large share of all rows. Where a `block` is given (a column that never falls along the order, such
-as the day of a timestamp), rows are numbered by block with the counts of earlier blocks added, and frames of n rows
-run over chunks of consecutive rows, each with the n rows before it. No task then holds more than a block or a chunk,
-and results are the same. Without a block, one window per key does it.
+as the day of a timestamp), rows are numbered by block with the counts of earlier blocks added. No task then holds more
+than a block or a chunk, and results are the same. Without a block, one window per key numbers the rows.
+
+Frames of n rows run over chunks of consecutive rows, each with the n rows before it. Running counts, sums and sums of
+squares are taken once a chunk, and a frame's are those of its end less those of its beginning: the time doesn't depend
+on n. Subtracting sums may lose what direct sums keep, so that
+
+- values that aren't finite are counted apart, and only frames that hold one are NaN or infinite;
+- so are outliers, a million times as large as nine tenths of a chunk's values or more: a spike spoils no later frame;
+- another value is split into a multiple of a power of two, small enough against the chunk's largest value that sums of
+  such multiples are exact, and a rest: a frame's sum errs by about 1e-22 of that largest value;
+- squares are those of distances to the chunk's median, and a frame's sum of squares below its own rounding counts as
+  none: the deviation of equal values is zero.
 """
 
 from __future__ import annotations
@@ -14,8 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a key that one task takes in turn.
-CHUNK = 100_000
+#: Rows of a chunk; frames of more rows take chunks of as many.
+CHUNK = 8192
 
 
 def _by(keys: Sequence[str], order: Sequence[str]):
@@ -39,18 +49,15 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return _joined(df, counts, [*keys, "_block"]).withColumn(name, F.col("_before") + F.row_number().over(_by([*keys, "_block"], order))).drop("_block", "_before")
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], context: int, block: Column | None) -> tuple[DataFrame, list[str]]:
-    """Rows with number _rn, chunk _chunk and _own; each chunk also has the `context` rows before it, not its own."""
-    df = numbered(df, keys, order, "_rn", block)
-    if block is None:
-        return df.withColumns({"_chunk": F.lit(0), "_own": F.lit(True)}), [*keys]
-    if context > CHUNK:
-        raise ValueError(f"frames of {context} rows need chunks of as many rows at least")
-    at = F.floor((F.col("_rn") - 1) / CHUNK)
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], context: int, block: Column | None) -> tuple[DataFrame, list[str], int]:
+    """Rows with number _rn, chunk _chunk and _own; each chunk also has the `context` rows before it, not its own. Also
+    the columns that tell chunks apart, and the most rows that one holds."""
+    df, size = numbered(df, keys, order, "_rn", block), max(CHUNK, context)
+    at = F.floor((F.col("_rn") - 1) / size)
     own, next_one = F.struct(at.alias("c"), F.lit(True).alias("o")), F.struct((at + 1).alias("c"), F.lit(False).alias("o"))
-    shares = F.when((F.col("_rn") - 1) % CHUNK >= CHUNK - context, F.array(own, next_one)).otherwise(F.array(own))
+    shares = F.when((F.col("_rn") - 1) % size >= size - context, F.array(own, next_one)).otherwise(F.array(own))
     df = df.withColumn("_share", F.explode(shares))
-    return df.withColumns({"_chunk": F.col("_share.c"), "_own": F.col("_share.o")}).drop("_share"), [*keys, "_chunk"]
+    return df.withColumns({"_chunk": F.col("_share.c"), "_own": F.col("_share.o")}).drop("_share"), [*keys, "_chunk"], size + context
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], block: Column | None = None) -> DataFrame:
@@ -73,14 +80,87 @@ def prior_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], means:
     lags; `number` names a column for the row number."""
     means, spreads, lags = means or {}, spreads or {}, lags or {}
     context = max([n for _, n in [*means.values(), *spreads.values(), *lags.values()]], default=0)
-    rows, by = _chunked(df, keys, order, context, block)
+    # A frame's beginning is the running sum up to the row before it: one row more.
+    rows, by, most = _chunked(df, keys, order, context + 1, block)
     w = _by(by, order)
-    made = {name: F.avg(c).over(w.rowsBetween(-n, -1)) for name, (c, n) in means.items()}
-    made |= {name: F.stddev_samp(c).over(w.rowsBetween(-n, -1)) for name, (c, n) in spreads.items()}
-    made |= {name: F.lag(c, n).over(w) for name, (c, n) in lags.items()}
+    summed, squared = sorted({c for c, _ in [*means.values(), *spreads.values()]}), {c for c, _ in spreads.values()}
+    rows = _with_running(rows, by, w, summed, squared, most)
+    ends = {(c, k) for c, n in [*means.values(), *spreads.values()] for k in (1, n + 1)}
+    rows = rows.withColumns({f"_upto_{c}_{k}": F.lag(f"_run_{c}", k).over(w) for c, k in sorted(ends)} | {name: F.lag(c, n).over(w) for name, (c, n) in lags.items()})
+    made = {name: _mean(c, n) for name, (c, n) in means.items()} | {name: _spread(c, n) for name, (c, n) in spreads.items()}
     if number:
         made[number] = F.col("_rn")
-    return rows.withColumns(made).where("_own").drop("_rn", "_chunk", "_own")
+    return rows.withColumns(made).where("_own").select(*df.columns, *means, *spreads, *lags, *([number] if number else []))
+
+
+#: Times the size of nine tenths of a chunk's values from which a value is summed apart.
+OUTLIER = float(1 << 20)
+#: Counts of NaN, infinity and minus infinity in one whole number, so many bits each.
+_ODD_BITS = 20
+
+
+def _with_running(rows: DataFrame, by: Sequence[str], w, summed: Sequence[str], squared: set[str], most: int) -> DataFrame:
+    """_run_{c}: sums over the chunk's rows up to the row itself: n (values), odd (those that aren't finite), s, t and u
+    (exact part and rest of values, outliers), and of squared columns p, q and r (the same of squares)."""
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double"))
+    rows = rows.withColumns({f"_x_{c}": finite(c) for c in summed})
+    whole, upto = Window.partitionBy(*by), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    measured = {f"_top_{c}": F.max(F.abs(f"_x_{c}")).over(whole) for c in summed}
+    measured |= {f"_most_{c}": OUTLIER * F.percentile_approx(F.abs(f"_x_{c}"), 0.9, 100).over(whole) for c in summed}
+    measured |= {f"_mid_{c}": F.percentile_approx(f"_x_{c}", 0.5, 100).over(whole) for c in squared}
+    rows = rows.withColumns(measured)
+    bits = 52 - most.bit_length()
+
+    def split(value: Column, top: Column) -> tuple[Column, Column]:
+        """value as a multiple of a unit, and the rest; as many multiples as a chunk has rows add up without rounding."""
+        power = F.greatest(F.least(F.ceil(F.log2(top)) - bits, F.lit(1000)), F.lit(-1000))
+        unit = F.coalesce(F.pow(F.lit(2.0), power), F.lit(1.0))
+        exact = F.rint(value / unit) * unit
+        return exact, value - exact
+
+    runs = {}
+    for c in summed:
+        x, y = F.col(f"_x_{c}"), F.col(c).cast("double")
+        odd = F.when(F.isnan(y), 1).when(y == float("inf"), 1 << _ODD_BITS).when(y == float("-inf"), 1 << 2 * _ODD_BITS).otherwise(0)
+        top, outlier = F.least(f"_top_{c}", f"_most_{c}"), F.abs(x) > F.col(f"_most_{c}")
+        parts = dict(zip("stu", (*split(F.when(~outlier, x), top), F.when(outlier, x))))
+        if c in squared:
+            square = (x - F.col(f"_mid_{c}")) ** 2
+            parts |= dict(zip("pqr", (*split(F.when(~outlier, square), 4 * top**2), F.when(outlier, square))))
+        sums = [F.count(x).over(upto).alias("n"), F.sum(odd.cast("long")).over(upto).alias("odd"), *[F.coalesce(F.sum(v).over(upto), F.lit(0.0)).alias(k) for k, v in parts.items()]]
+        runs[f"_run_{c}"] = F.struct(*sums)
+    return rows.withColumns(runs)
+
+
+def _within(c: str, n: int, name: str) -> Column:
+    """A sum over the frame: that up to its end less that up to its beginning."""
+    upto = lambda k: F.coalesce(F.col(f"_upto_{c}_{k}.{name}"), F.lit(0))
+    return upto(1) - upto(n + 1)
+
+
+def _odd(c: str, n: int) -> list[Column]:
+    """The frame's numbers of NaN, infinity and minus infinity."""
+    packed = _within(c, n, "odd")
+    return [F.call_function("shiftright", packed, F.lit(i * _ODD_BITS)) % (1 << _ODD_BITS) for i in range(3)]
+
+
+def _mean(c: str, n: int) -> Column:
+    """Null for no value; of values that aren't all finite, what adding them gives."""
+    count, (nans, up, down) = _within(c, n, "n"), _odd(c, n)
+    value = F.when(count > 0, (_within(c, n, "s") + _within(c, n, "t") + _within(c, n, "u")) / count)
+    infinite = F.when(down == 0, F.lit(float("inf"))).when(up == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+    return F.when((nans == 0) & (up == 0) & (down == 0), value).when(nans > 0, F.lit(float("nan"))).otherwise(infinite)
+
+
+def _spread(c: str, n: int) -> Column:
+    """The sample deviation, null for fewer than two values, NaN for values that aren't all finite."""
+    count, odd, mid = _within(c, n, "n"), sum(_odd(c, n)), F.col(f"_mid_{c}")
+    # The sum of distances to the median: its multiple is taken off the exact part first.
+    away = (_within(c, n, "s") - mid * count) + _within(c, n, "t") + _within(c, n, "u")
+    squares = _within(c, n, "p") + _within(c, n, "q") + _within(c, n, "r")
+    rest = squares - away * away / count
+    value = F.when(rest > squares * 1e-14, F.sqrt(rest / (count - 1))).otherwise(0.0)
+    return F.when(count + odd > 1, F.when(odd > 0, F.lit(float("nan"))).otherwise(value))
 
 
 def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], short: int = 10, long: int = 60, block: Column | None = None) -> DataFrame:
