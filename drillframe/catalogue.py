@@ -282,15 +282,9 @@ def q_interval_distribution(spark, d):
     return audits.value_counts(labelled(spark, d), "formation_id")
 
 
-@query("SELECT event_id, formation FROM s LEFT JOIN (SELECT * FROM tops WHERE well_name = 'view') v ON s.dmea >= v.md_from_m AND s.dmea < least(v.md_to_m, 1000)")
-def q_range_join_no_key(spark, d):
-    spans = tops(spark, d).where("well_name = 'view'").withColumn("md_to_m", F.least("md_to_m", F.lit(1000.0)))
-    return intervals.range_label(series(spark, d), spans, "dmea", "md_from_m", "md_to_m", 10.0, ["formation"]).select("event_id", "formation")
-
-
 @query("SELECT event_id, formation FROM s LEFT JOIN (SELECT * FROM tops WHERE well_name = 'view') v ON s.dmea >= v.md_from_m AND s.dmea < v.md_to_m")
 def q_range_join_open_end(spark, d):
-    """The intervals whole, the last one to its open end; q_range_join_no_key, as its SQL says, ends them at 1,000."""
+    """The intervals whole, the last one to its open end."""
     spans = tops(spark, d).where("well_name = 'view'")
     return intervals.range_label(series(spark, d), spans, "dmea", "md_from_m", "md_to_m", 10.0, ["formation"]).select("event_id", "formation")
 
@@ -952,9 +946,18 @@ def q_table_round_trip(spark, d):
     return found
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 15) AS BIGINT)) <= trunc(count(*) OVER () * 0.15) AS is_validation FROM s")
+def q_exact_holdout(spark, d):
+    """Exactly 15 % of all rows, the smallest by a hash."""
+    from drillframe.operators.sampling import exact_share
+
+    place = F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    return exact_share(series(spark, d).select("event_id"), 0.15, ["event_id"], order=place)
+
+
 @query()
 def q_importances(spark, d):
-    """The features that tell most, of a small model on the feature matrix; no SQL can express it."""
+    """The features that tell most, of the model across keys; no SQL can express it."""
     train, _ = matrices(spark, d)
     names = [c for c, k in train.dtypes if k in ("double", "bigint", "int") and c not in ("rop", "event_id")]
-    return model.importances(model.fit(train, names, settings=model.ACROSS | {"maxIter": 5, "maxDepth": 3}))
+    return model.importances(model.fit(train, names, settings=model.ACROSS))

@@ -43,6 +43,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of one stored table, once nothing reads it any more."""
+    spark, own = df.sparkSession, own_folder(df.sparkSession).partition(":")[2] or own_folder(df.sparkSession)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if own.lstrip("/") in folder:  # nothing that others wrote
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this application has stored; what reads it can't be used any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))

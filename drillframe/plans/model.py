@@ -1,100 +1,113 @@
-"""Boosted-tree regression of progress on features, by Spark's own learner."""
+"""Boosted-tree regression of progress on features, out of Spark's own tree learner."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark import SparkContext
-from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drillframe.operators.durable import shared_folder
+from drillframe.operators.durable import discard, stored
+from drillframe.operators.sampling import exact_share
 
-#: Settings of the model across keys and of the one within; patience: rounds without improvement that end it.
+#: Settings of the model across keys and of the one within; patience: trees without improvement that end it.
 ACROSS = {"maxIter": 500, "maxDepth": 6, "minInstancesPerNode": 20, "validation": 0.15, "patience": 30}
 WITHIN = {"maxIter": 400, "maxDepth": 5, "minInstancesPerNode": 30, "validation": 0.10, "patience": 20}
+#: The share of a tree's prediction that is added, and the trees of one round, all fitted on the same residual.
+RATE, AT_ONCE = 0.05, 5
+#: Candidate splits of a feature.
+BINS = 128
+#: Rounds after which the residual is stored: what stands between is computed anew by each pass.
+STORED_EVERY = 4
+
+
+@dataclass(frozen=True)
+class Boosted:
+    """The mean of the labels and the trees that are added to it. errors: mean square on the validation rows after each
+    round, that of the mean alone first; fitted: trees that were fitted, kept or not."""
+
+    assembler: VectorAssembler
+    mean: float
+    trees: GBTRegressionModel | None
+    errors: tuple[float, ...]
+    fitted: int
 
 
 def holdout(df: DataFrame, share: float, keys: Sequence[str] = ("well_name", "ts"), name: str = "is_validation") -> DataFrame:
-    """A validation flag from a hash of the row's key: the same rows whatever the partitions or retries."""
-    return df.withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(10_000)) < int(share * 10_000))
+    """A validation flag on exactly int(share * rows) rows, without replacement, by a hash of the row's key."""
+    return exact_share(df, share, keys, name)
 
 
-def fit(train: DataFrame, features: Sequence[str], label: str = "rop", settings: dict | None = None) -> PipelineModel:
-    """Early stopping by patience: of the trees up to the first `patience` rounds that do not improve the error on the
-    validation rows, those up to the best round are kept.
+def fit(train: DataFrame, features: Sequence[str], label: str = "rop", settings: dict | None = None) -> Boosted:
+    """Trees fitted on what the mean and the trees before them leave of the label, a stored column, up to maxIter.
 
-    The learner's own early stopping ends at the first round that gains less than validationTol, or nothing, and knows
-    no patience. Trees are therefore fitted on the other rows only, and cut afterwards: first twice the patience, then,
-    while it has not run out, twice as many, up to maxIter. The seed gives the same first trees each time. Without
-    validation rows all maxIter trees are kept.
+    A round fits AT_ONCE trees on one residual, each on its own sample of rows, and adds RATE of each: every pass over the
+    rows grows them all. No tree is fitted twice: the next round goes on from the residual. It ends once `patience` trees
+    have brought no improvement on the validation rows, which no tree is fitted on, and keeps the trees up to the best
+    round. Without validation rows all maxIter trees are kept; without rows there are none, and the mean is 0.
     """
     chosen = dict(ACROSS if settings is None else settings)
-    share, patience = chosen.pop("validation"), chosen.pop("patience")
-    context = train.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # else the lineage of hundreds of rounds grows without end
-        context.setCheckpointDir(shared_folder(train.sparkSession))
+    share, patience, most = (chosen.pop(k) for k in ("validation", "patience", "maxIter"))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    trees = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="pred_rop", stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxMemoryInMB=1024, seed=42, **chosen)
-    rows = assembler.transform(holdout(train, share)).select("features", label, "is_validation").persist()
-    try:
-        own, held = rows.where("NOT is_validation"), rows.where("is_validation")
-        most = trees.getMaxIter()
-        n = most if held.isEmpty() else min(2 * patience, most)
-        while True:
-            fitted = trees.setMaxIter(n).fit(own)
-            if held.isEmpty():
-                return PipelineModel([assembler, fitted])
-            best, ended = best_round(fitted.evaluateEachIteration(held, "squared"), patience)
-            if ended or n == most:
-                return PipelineModel([assembler, first_trees(fitted, best)])
-            n = min(2 * n, most)
-    finally:
-        rows.unpersist()
-
-
-def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
-    """The round (from 1) of least error, of those before `patience` rounds have gone by without improvement; and
-    whether they have."""
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def first_trees(fitted: GBTRegressionModel, n: int) -> GBTRegressionModel:
-    """The model of the first n trees. Spark's Python side has no constructor for it."""
-    whole = fitted._java_obj
-    if n >= fitted.getNumTrees:
-        return fitted
+    keys = [c for c in ("well_name", "ts") if c in train.columns]
+    labelled = assembler.transform(train.where(F.col(label).isNotNull()))
+    rows = holdout(labelled.select(*keys, "features", F.col(label).cast("double").alias("_left")), share, keys).drop(*keys)
+    mean = rows.where("NOT is_validation").agg(F.avg("_left")).first()[0] or 0.0
+    rows = rows.withColumn("_left", F.col("_left") - mean)
+    square = lambda: rows.where("is_validation").agg(F.avg(F.col("_left") ** 2)).first()[0]
+    start = square()
+    errors, trees, best, kept = [start], [], 0, None
+    learner = RandomForestRegressor(labelCol="_left", predictionCol="_step", subsamplingRate=0.8, bootstrap=False, featureSubsetStrategy="0.8", maxBins=BINS, maxMemoryInMB=1024, **chosen)
+    while len(trees) < most and not rows.where("NOT is_validation").isEmpty():
+        n = min(AT_ONCE, most - len(trees))
+        made = learner.setNumTrees(n).setSeed(42 + len(trees)).fit(rows.where("NOT is_validation"))
+        trees += made.trees
+        rows = made.transform(rows).withColumn("_left", F.col("_left") - RATE * n * F.col("_step")).drop("_step")
+        if start is not None:
+            errors.append(square())
+            best = errors.index(min(errors))
+            if (len(errors) - 1 - best) * AT_ONCE >= patience:
+                break
+        if len(errors) % STORED_EVERY == 0 or start is None:
+            before, kept = kept, stored(rows)
+            rows = kept
+            if before is not None:
+                discard(before)
+    fitted = len(trees)
+    return Boosted(assembler, mean, _ensemble(trees[: best * AT_ONCE] if start is not None else trees), tuple(errors if start is not None else ()), fitted)
+
+
+def _ensemble(trees: Sequence[DecisionTreeRegressionModel]) -> GBTRegressionModel | None:
+    """The model that adds RATE of each tree. Spark's Python side has no constructor for it."""
+    if not trees:
+        return None
     gateway = SparkContext._active_spark_context._gateway
     ml = gateway.jvm.org.apache.spark.ml.regression
-    trees, weights = gateway.new_array(ml.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
-    all_trees, all_weights = whole.trees(), whole.treeWeights()
-    for i in range(n):
-        trees[i], weights[i] = all_trees[i], all_weights[i]
-    cut = ml.GBTRegressionModel(whole.uid(), trees, weights, whole.numFeatures())
-    return fitted._copyValues(GBTRegressionModel(cut))
+    own, weights = gateway.new_array(ml.DecisionTreeRegressionModel, len(trees)), gateway.new_array(gateway.jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        own[i], weights[i] = tree._java_obj, RATE
+    return GBTRegressionModel(ml.GBTRegressionModel("boosted", own, weights, trees[0].numFeatures)).setPredictionCol("pred_rop")
 
 
-def n_trees(model: PipelineModel) -> int:
+def n_trees(model: Boosted) -> int:
     """The number of trees that early stopping has kept."""
-    return model.stages[1].getNumTrees
+    return model.trees.getNumTrees if model.trees else 0
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop("features")
+def predict(model: Boosted, df: DataFrame) -> DataFrame:
+    if model.trees is None:
+        return df.withColumn("pred_rop", F.lit(model.mean))
+    return model.trees.transform(model.assembler.transform(df)).withColumn("pred_rop", F.col("pred_rop") + model.mean).drop("features")
 
 
-def importances(model: PipelineModel, n: int = 25) -> DataFrame:
+def importances(model: Boosted, n: int = 25) -> DataFrame:
     """place, feature and importance of the n features that tell most: one row a feature, whatever the data."""
-    assembler, trees = model.stages[0], model.stages[1]
-    found = sorted(zip(assembler.getInputCols(), trees.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
+    names = model.assembler.getInputCols()
+    shares = model.trees.featureImportances.toArray().tolist() if model.trees else [0.0] * len(names)
+    found = sorted(zip(names, shares), key=lambda x: (-x[1], x[0]))
     rows = [(i, f, x) for i, (f, x) in enumerate(found[:n], 1)]
     return SparkSession.active().createDataFrame(rows, "place int, feature string, importance double").orderBy("place")

@@ -194,22 +194,75 @@ def test_feature_matrix_has_thirty_features(spark, sf):
     assert train.select([F.count_if(F.col(c).isNull()).alias(c) for c in names]).first() == tuple([0] * 30)
 
 
-@pytest.mark.parametrize("errors, patience, want", [([3, 2, 2, 2, 1], 3, (5, False)), ([3, 2, 2, 2, 1], 2, (2, True)), ([3, 2, 1], 2, (3, False)), ([1, 2, 3], 2, (1, True))])
-def test_best_round(errors, patience, want):
-    assert model.best_round(errors, patience) == want
+def boosting_rows(spark, n=4000):
+    return spark.range(n).selectExpr("'a' AS well_name", "id AS ts", "CAST(id % 40 AS DOUBLE) AS x", "id % 40 + IF(hash(id) % 2 = 0, 50D, -50D) AS rop")
 
 
-def test_fit_goes_on_past_small_gains(spark):
+def test_trees_go_on_from_the_residual_and_none_is_fitted_twice(spark, monkeypatch):
     """Each round gains less than 1 % here, where the learner's own early stopping ends at once."""
-    df = spark.range(4000).selectExpr("'a' AS well_name", "id AS ts", "CAST(id % 40 AS DOUBLE) AS x", "id % 40 + IF(hash(id) % 2 = 0, 50D, -50D) AS rop")
-    settings = {"maxIter": 12, "maxDepth": 2, "minInstancesPerNode": 5, "validation": 0.2, "patience": 4}
+    made, fit = [], model.RandomForestRegressor.fit
+
+    def counted(self, rows):
+        left = rows.agg(F.avg(F.col("_left") ** 2)).first()[0]
+        made.append((self.getSeed(), self.getNumTrees(), left))
+        return fit(self, rows)
+
+    monkeypatch.setattr(model.RandomForestRegressor, "fit", counted)
+    settings = {"maxIter": 33, "maxDepth": 2, "minInstancesPerNode": 5, "validation": 0.2, "patience": 15}
+    df = boosting_rows(spark)
     fitted = model.fit(df, ["x"], settings=settings)
-    assert model.n_trees(fitted) > 2
+    assert sum(n for _, n, _ in made) == fitted.fitted <= 33 and len({seed for seed, _, _ in made}) == len(made)
+    assert all(a > b for (_, _, a), (_, _, b) in zip(made, made[1:]))
+    assert model.n_trees(fitted) > 2 and model.n_trees(fitted) == min(33, fitted.errors.index(min(fitted.errors)) * model.AT_ONCE)
     top = model.importances(fitted).collect()
     assert [(r.place, r.feature) for r in top] == [(1, "x")] and top[0].importance == pytest.approx(1)
-    cut, rows = model.first_trees(fitted.stages[1], 1), fitted.stages[0].transform(df.limit(5))
-    assert cut.getNumTrees == 1 and cut.getPredictionCol() == "pred_rop"
-    assert [r.pred_rop for r in cut.transform(rows).collect()] == [fitted.stages[1].trees[0].predict(r.features) for r in rows.collect()]
+    rows = fitted.assembler.transform(df.limit(5)).collect()
+    want = [fitted.mean + model.RATE * sum(t.predict(r.features) for t in fitted.trees.trees) for r in rows]
+    assert [r.pred_rop for r in model.predict(fitted, df.limit(5)).collect()] == pytest.approx(want)
+    kept = model.holdout(df, 0.2).where("is_validation")
+    error = model.predict(fitted, kept).agg(F.avg((F.col("rop") - F.col("pred_rop")) ** 2)).first()[0]
+    assert error == pytest.approx(min(fitted.errors), rel=0.2)
+
+
+def test_fit_without_validation_rows_or_any(spark):
+    settings = {"maxIter": 7, "maxDepth": 2, "minInstancesPerNode": 5, "validation": 0.0, "patience": 5}
+    df = boosting_rows(spark, 300)
+    assert model.n_trees(model.fit(df, ["x"], settings=settings)) == 7
+    none = model.fit(df.limit(0), ["x"], settings=settings)
+    assert model.n_trees(none) == 0 and model.predict(none, df.limit(1)).first().pred_rop == 0.0
+
+
+def test_importances_rank_by_what_features_tell(spark):
+    df = spark.range(3000).selectExpr("'a' AS well_name", "id AS ts", "CAST(id % 7 AS DOUBLE) AS much", "CAST(id % 11 AS DOUBLE) AS some", "rand(1) AS none", "10D * (id % 7) + (id % 11) AS rop")
+    settings = {"maxIter": 20, "maxDepth": 4, "minInstancesPerNode": 5, "validation": 0.1, "patience": 10}
+    top = model.importances(model.fit(df, ["none", "some", "much"], settings=settings)).collect()
+    assert [r.feature for r in top] == ["much", "some", "none"] and sum(r.importance for r in top) == pytest.approx(1)
+    assert len(model.importances(model.fit(df, ["none", "some", "much"], settings=settings), 2).collect()) == 2
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_exact_share_takes_the_same_rows_whatever_the_partitions(spark, parts):
+    from drillframe.operators.sampling import exact_share
+
+    df = spark.range(1000).selectExpr("id", "id % 3 AS k", "CAST(NULL AS STRING) AS n")
+    got = {r.id for r in exact_share(df.repartition(parts), 0.15, ["id"]).where("is_validation").collect()}
+    assert len(got) == 150 and got == {r.id for r in exact_share(df.orderBy(F.desc("id")), 0.15, ["id"]).where("is_validation").collect()}
+    tied = {r.id for r in exact_share(df.repartition(parts), 0.5, ["k"]).where("is_validation").collect()}
+    assert len(tied) == 500 and tied == {r.id for r in exact_share(df, 0.5, ["k"]).where("is_validation").collect()}
+    same = exact_share(spark.range(100).selectExpr("1 AS a", "'x' AS b").repartition(parts), 0.37, ["a"])
+    assert same.count() == 100 and same.where("is_validation").count() == 37
+    assert exact_share(df.limit(0), 0.5, ["k"]).count() == 0 and exact_share(df, 0.0, ["id"]).where("is_validation").count() == 0
+    assert exact_share(df, 1.0, ["n"]).where("is_validation").count() == 1000
+
+
+def test_kth_smallest(spark):
+    from drillframe.operators.sampling import kth_smallest
+
+    values = [-(1 << 63), -5, -5, -1, 0, 3, 3, 3, 1 << 40, (1 << 63) - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+    for k in range(1, len(values) + 1):
+        v = values[k - 1]
+        assert kth_smallest(df, "v", k) == (v, sum(x < v for x in values), values.count(v))
 
 
 def test_long_and_open_ended_intervals_without_key(spark):
