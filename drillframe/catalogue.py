@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drillframe.functions import band, bridge_name, cell, decode_entities, first_match, hour, in_window, is_month_start, keyword_hit, lookup, on_bottom, parse_time, sum_as_zero, thousands
@@ -921,15 +921,62 @@ _PARSED = f"""WITH {_LOGS}, h AS (SELECT o, c, last_value(CASE WHEN c % 3 < 2 TH
     CASE WHEN event_id % 4 = 0 THEN NULL ELSE v / 8 END AS wob, CAST(event_id % 50 AS DOUBLE) AS rpm FROM le JOIN h ON le.o = h.o AND le.c = h.c WHERE opens = 0),
   p AS (SELECT o, ts, CASE WHEN long_rows THEN v WHEN way = 0 THEN wob ELSE v END AS rop, CASE WHEN long_rows THEN wob WHEN way = 0 THEN v ELSE wob END AS wob, CASE WHEN long_rows THEN rpm WHEN way = 1 THEN rpm END AS rpm
     FROM r WHERE ts >= TIMESTAMP '2007-01-01' AND ts < TIMESTAMP '2010-01-01' AND NOT (day(ts) = 1 AND date_trunc('day', ts) = ts))
-  SELECT 'w' || (o % 2) AS well_name, ts, rop, wob, rpm, CAST(NULL AS DOUBLE) AS spp FROM p WHERE o IN (SELECT o FROM p GROUP BY 1 HAVING count(*) >= 20)"""
+  SELECT 'w' || (o % 2) AS well_name, ts, rop, wob, rpm, CAST(NULL AS DOUBLE) AS spp, true AS in_order FROM p WHERE o IN (SELECT o FROM p GROUP BY 1 HAVING count(*) >= 20)"""
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """parse_logs's rows with whether each stands where its task's order by object and time wants it: behind an earlier
+    time, or at the beginning of another object, of which each begins once."""
+    placed = df.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    back = F.col("ts") < F.lag("ts").over(Window.partitionBy("_part").orderBy("_row"))
+    placed = placed.withColumn("_begins", F.coalesce(back, F.lit(False)).cast("int"))
+    return placed.withColumn("in_order", F.sum("_begins").over(Window.partitionBy("_part")) < 6).drop("_part", "_row", "_begins")
+
+
+def log_files(spark, d):
+    """The same logs as files of XML, written by tasks; their folder."""
+    from drillframe.sources.files import write_texts
+
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    curve = lambda c: tag("logCurveInfo", F.concat(tag("mnemonic", F.concat(F.lit(" "), c["mnemonic"])), tag("unit", c["unit"]), tag("curveDescription", c["description"])))
+    made = logs(spark, d)
+    curves = F.coalesce(F.array_join(F.transform("curves", curve), "\n"), F.lit(""))
+    listed = F.coalesce(tag("mnemonicList", F.array_join("listed", " , ")), F.lit(""))
+    body = F.concat(tag("indexType", F.lit("date time")), curves, tag("logData", F.concat(listed, F.lit("\n"), F.array_join(F.transform("data", lambda x: tag("data", x)), "\n"))))
+    text = F.concat(F.lit('<?xml version="1.0"?>\n<logs xmlns="urn:logs"><log uid="1">'), body, F.lit("</log></logs>\n"))
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    write_texts(made.select("path", text.alias("text")), folder)
+    return folder
 
 
 @query(_PARSED)
 def q_parse_logs(spark, d):
     from drillframe.sources.logs_xml import parse_logs
 
-    made = parse_logs(logs(spark, d), least_rows=20)
-    return made.select("well_name", F.col("ts").cast("timestamp_ntz").alias("ts"), "rop", "wob", "rpm", "spp")
+    made = in_order(parse_logs(logs(spark, d), least_rows=20))
+    return made.select("well_name", F.col("ts").cast("timestamp_ntz").alias("ts"), "rop", "wob", "rpm", "spp", "in_order")
+
+
+@query(_PARSED)
+def q_parse_log_files(spark, d):
+    """Files of XML, written and read back in pieces."""
+    from drillframe.sources import log_lines
+
+    made = in_order(log_lines.parse_scan(log_lines.scan_logs(spark, log_files(spark, d)), least_rows=20))
+    return made.select("well_name", F.col("ts").cast("timestamp_ntz").alias("ts"), "rop", "wob", "rpm", "spp", "in_order")
+
+
+@query(f"""WITH {_LOGS}, lt AS (SELECT o, c, event_id, row_number() OVER (PARTITION BY o, c ORDER BY event_id) AS n, CASE WHEN event_id % 19 = 0 THEN 'never' WHEN event_id % 23 = 0 THEN '2008-03-01 00:00:00' ELSE strftime(ts - INTERVAL 16 YEAR, '%Y-%m-%d %H:%M:%S.%f') END AS time FROM le)
+  SELECT {_LOG_PATH} AS path, 'date time' AS index_type, CASE WHEN c % 3 = 0 THEN 5 ELSE 0 END::BIGINT AS n_curves, array_to_string(listed, ',') AS listed, count(*) AS n_data, string_agg(time, ';' ORDER BY n) FILTER (n <= 3) AS first_times
+  FROM lf JOIN lt USING (o, c) GROUP BY ALL""")
+def q_log_file_heads(spark, d):
+    """Heads, numbers of lines and the first lines of files of XML, read back in pieces."""
+    from drillframe.sources import log_lines, logs_xml
+
+    heads = log_lines.scan_heads(stored(log_lines.scan_logs(spark, log_files(spark, d))), 3)
+    path = F.array_join(F.slice(F.split("path", "/"), -7, 7), "/").alias("path")
+    shaped = logs_xml.log_structure(heads).join(heads.select("path", "index_type", "listed", "data"), "path")
+    return shaped.select(path, "index_type", F.col("n_curves").cast("long").alias("n_curves"), F.array_join("listed", ",").alias("listed"), "n_data", F.array_join(F.transform("data", lambda x: F.split(x, ",")[0]), ";").alias("first_times"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 5 = 0")

@@ -34,6 +34,25 @@ def extract_archive(spark: SparkSession, path: str, target: str) -> dict[str, fl
     return {"entries": total["n"], "megabytes": total["bytes"] / 1e6}
 
 
+def write_texts(rows: DataFrame, folder: str) -> int:
+    """Writes each row's text (columns path, below the folder, and text) as a file of its own, by tasks; the folder is one
+    that all executors can write to. A task that is run again writes the same files again. Returns their number."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                target = f"{root.rstrip('/')}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(text.encode())
+            yield batch[["path"]]
+
+    return rows.select("path", "text").mapInPandas(write, "path string").count()
+
+
 def choose_root(spark: SparkSession, path: str) -> str:
     """The folder itself, or the only folder in it; any path that Spark can list."""
     inside = top_entries(file_index(spark, path, "*"), path).limit(2).collect()

@@ -46,20 +46,21 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     row with an error; with_unreadable() adds rows for files without any whole element."""
     options = {"rowTag": "log", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": True, "recursiveFileLookup": True, "pathGlobFilter": "*.xml"}
     raw = spark.read.format("xml").options(**options).schema(SCHEMA).load(path)
-    listed = F.coalesce("mnemonicList", "logHeader.mnemonicList", "logData.mnemonicList")
-    curves = F.transform("logCurveInfo", lambda c: F.struct(F.trim(c["mnemonic"]).alias("mnemonic"), F.trim(c["unit"]).alias("unit"), F.trim(c["curveDescription"]).alias("description")))
-    out = raw.select(
-        F.col("_metadata.file_path").alias("path"), F.lower(F.trim(F.coalesce("indexType", "logHeader.indexType", F.lit("unknown")))).alias("index_type"), _names(listed).alias("listed"),
-        curves.alias("curves"), F.col("logData.data").alias("data"), F.when(F.col("_corrupt").isNotNull(), F.lit("malformed log element")).alias("error"),
-    )
-    return _placed(out)
+    return placed(raw.select(F.col("_metadata.file_path").alias("path"), *described(), F.col("logData.data").alias("data"), F.when(F.col("_corrupt").isNotNull(), F.lit("malformed log element")).alias("error")))
 
 
-def _placed(out: DataFrame) -> DataFrame:
+def described(at: str = "") -> list[Column]:
+    """index_type, listed and curves, out of the fields of SCHEMA below `at`."""
+    curves = F.transform(f"{at}logCurveInfo", lambda c: F.struct(F.trim(c["mnemonic"]).alias("mnemonic"), F.trim(c["unit"]).alias("unit"), F.trim(c["curveDescription"]).alias("description")))
+    kind = F.lower(F.trim(F.coalesce(f"{at}indexType", f"{at}logHeader.indexType", F.lit("unknown"))))
+    return [kind.alias("index_type"), _names(F.coalesce(f"{at}mnemonicList", f"{at}logHeader.mnemonicList", f"{at}logData.mnemonicList")).alias("listed"), curves.alias("curves")]
+
+
+def placed(out: DataFrame, *more: str) -> DataFrame:
     """With what the path says: well, log object, chunk and file."""
     names = {"well": 7, "bore": 6, "index": 4, "log": 3, "chunk": 2, "file": 1}
     out = out.select("*", *[object_at("path", n).alias(c) for c, n in names.items()])
-    return out.select("path", "well", F.concat_ws("/", "well", "bore", "index", "log").alias("log_obj"), F.col("chunk").try_cast("long").alias("chunk"), "file", "index_type", "listed", "curves", "data", "error")
+    return out.select("path", "well", F.concat_ws("/", "well", "bore", "index", "log").alias("log_obj"), F.col("chunk").try_cast("long").alias("chunk"), "file", "index_type", "listed", "curves", "data", "error", *more)
 
 
 def with_unreadable(logs: DataFrame, files: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def with_unreadable(logs: DataFrame, files: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in logs.schema}
     given = {"index_type": F.lit("unknown"), "error": F.lit("no whole log element")}
     rows = missing.select("path", *[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in ("index_type", "listed", "curves", "data", "error")])
-    return logs.unionByName(_placed(rows))
+    return logs.unionByName(placed(rows), allowMissingColumns=True)
 
 
 def _names(listed: Column) -> Column:
@@ -97,7 +98,8 @@ def log_sample(logs: DataFrame, n: int = 5) -> DataFrame:
 
 def log_structure(logs: DataFrame) -> DataFrame:
     """What each file has."""
-    return logs.select("path", F.coalesce(F.size("curves"), F.lit(0)).alias("n_curves"), F.coalesce(F.size("data"), F.lit(0)).alias("n_data"), F.col("listed").isNotNull().alias("has_list"), F.substring(F.get("data", F.lit(0)), 1, 120).alias("first_row"))
+    n_data = F.col("n_data") if "n_data" in logs.columns else F.coalesce(F.size("data"), F.lit(0))
+    return logs.select("path", F.coalesce(F.size("curves"), F.lit(0)).alias("n_curves"), n_data.alias("n_data"), F.col("listed").isNotNull().alias("has_list"), F.substring(F.get("data", F.lit(0)), 1, 120).alias("first_row"))
 
 
 def resolve_channels(mnemonics: Column, channels: dict[str, tuple[str, ...]] = CHANNELS) -> dict[str, Column]:
@@ -117,28 +119,41 @@ def shared_mnemonics(channels: DataFrame, least: int = 3) -> DataFrame:
 
 
 def parse_logs(logs: DataFrame, channels: dict[str, tuple[str, ...]] = CHANNELS, least_channels: int = LEAST_CHANNELS, least_rows: int = LEAST_ROWS, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
-    """ts, the channels and well_name: every row of every log object with channels and rows enough, by object and time.
+    """ts, the channels and well_name: every row of every log object with channels and rows enough, each task's rows by
+    object and time. A log element is one row here; log_lines.parse_scan takes elements of any length.
 
     `keep` stores what is read several times: the logs, so that XML is read once and headers alone are read again, and
     the parsed rows, which are counted before they are given out.
     """
     logs = keep(logs.where("error IS NULL"))
-    # The first file of an object settles which mnemonic stands for a channel.
-    order = F.struct("chunk", "file")
-    names = F.transform("curves", lambda c: c["mnemonic"])
-    heads = logs.groupBy("log_obj").agg(F.min_by(names, order).alias("_first"))
-    chosen = heads.select("log_obj", F.map_from_arrays(F.array(*map(F.lit, channels)), F.array(*resolve_channels(F.col("_first"), channels).values())).alias("_chosen"))
-    chosen = chosen.where(F.size(F.filter(F.map_values("_chosen"), lambda v: v.isNotNull())) >= least_channels)
+    rows = logs.select("path", "well", F.explode("data").alias("line")).join(resolved_columns(logs, channels, least_channels), "path")
+    return rows_in_window(rows, channels, least_rows, keep)
+
 
-    # Only headers go through the window: rows of data stay where they are until joined by file.
+def resolved_columns(heads: DataFrame, channels: dict[str, tuple[str, ...]], least_channels: int, start: list[str] | None = None) -> DataFrame:
+    """path (and start), log_obj, _columns (the mnemonic of each cell) and _chosen (channel to mnemonic) of the elements of
+    log objects with channels enough.
+
+    The first element of an object settles which mnemonic stands for a channel. Only headers go through the window.
+    """
+    start = start or []
+    order, names = F.struct("chunk", "file", *start), F.transform("curves", lambda c: c["mnemonic"])
+    first = heads.groupBy("log_obj").agg(F.min_by(names, order).alias("_first"))
+    chosen = first.select("log_obj", F.map_from_arrays(F.array(*map(F.lit, channels)), F.array(*resolve_channels(F.col("_first"), channels).values())).alias("_chosen"))
+    chosen = chosen.where(F.size(F.filter(F.map_values("_chosen"), lambda v: v.isNotNull())) >= least_channels)
     own = F.coalesce("listed", F.when(F.size("curves") > 0, names))
-    files = logs.select("path", "log_obj", "chunk", "file", own.alias("_own"))
-    before = Window.partitionBy("log_obj").orderBy("chunk", "file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    files = files.withColumn("_columns", F.last("_own", ignorenulls=True).over(before)).join(chosen, "log_obj").select("path", "_columns", "_chosen")
+    files = heads.select("path", *start, "log_obj", "chunk", "file", own.alias("_own"))
+    before = Window.partitionBy("log_obj").orderBy("chunk", "file", *start).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return files.withColumn("_columns", F.last("_own", ignorenulls=True).over(before)).join(chosen, "log_obj").select("path", *start, "log_obj", "_columns", "_chosen")
+
 
-    rows = logs.select("path", "well", "log_obj", F.explode("data").alias("line")).join(files, "path").withColumn("cells", F.split("line", ","))
+def rows_in_window(rows: DataFrame, channels: dict[str, tuple[str, ...]], least_rows: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """ts, the channels and well_name of lines, of objects with rows enough within the drilling window. rows: log_obj, well,
+    line, _columns, _chosen. Rows stay in the tasks that read them, by object and time: no range of times is dealt out
+    anew (tables.write_sorted does that for who wants one order over all)."""
+    rows = rows.withColumn("cells", F.split("line", ","))
     place = lambda c: F.array_position("_columns", F.col("_chosen")[c]).cast("int") - 1
     parsed = rows.select("log_obj", F.trim(F.get("cells", F.lit(0))).try_cast("timestamp").alias("ts"), *[F.when(place(c) >= 0, cell(F.col("cells"), place(c))).alias(c) for c in channels], F.col("well").alias("well_name"))
     kept = keep(parsed.where(F.col("ts").isNotNull() & in_window("ts", FIRST_DAY, END_DAY) & ~is_month_start("ts")))
     enough = kept.groupBy("log_obj").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_rows)
-    return kept.join(enough, "log_obj", "left_semi").orderBy("log_obj", "ts").drop("log_obj")
+    return kept.join(enough, "log_obj", "left_semi").sortWithinPartitions("log_obj", "ts").drop("log_obj")

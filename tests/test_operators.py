@@ -343,3 +343,20 @@ def test_stored_rows_are_cleared(spark):
     assert os.listdir(durable.own_folder(spark))
     durable.clear(spark)
     assert not os.path.exists(durable.own_folder(spark))
+
+
+def test_steps_of_a_stage_are_deleted_and_its_rows_stay(spark):
+    import os
+
+    from drillframe.operators import durable
+
+    before = durable.stored(spark.range(4))
+    start = durable.mark(spark)
+    step = durable.stored(before.selectExpr("id + 1 AS id"))
+    result = durable.stored(step.selectExpr("id + 1 AS id"))
+    durable.discard_since(spark, start, result)
+    assert not os.path.exists(step.inputFiles()[0].removeprefix("file://")) and before.count() == result.count() == 4
+    durable.discard(before)
+    durable.discard(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+    assert durable.mark(spark) == start and result.count() == 4 and spark.read.parquet("/root/testdata/sf0.001/region.parquet").count() == 5
+    assert not os.path.exists(before.inputFiles()[0].removeprefix("file://"))
