@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from drillframe.llm import packing, quality_cnn, secrets, simhash, toxicity
 from drillframe.llm.common import stored, table
+from drillframe.operators import durable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each stage's rows written and read again."""
+    """The stages over documents, each stage's rows written and read again. What a stage stored on its way, and the rows
+    that it read, are deleted once its own rows are written; what the result reads stays (durable.clear deletes it)."""
     docs = table(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        start, before = durable.mark(spark), docs
+        docs = stored(stage(spark, before, sf_dir))
+        durable.discard_since(spark, start, docs)
+        durable.discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
