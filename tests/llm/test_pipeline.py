@@ -1,6 +1,7 @@
 import corpus_pipeline
 from drillframe.llm import quality_cnn, secrets, toxicity
 from drillframe.llm.common import stored, table
+from drillframe.operators import durable
 
 from .cases import no_docs, odd_docs
 from .test_packing import check as check_packing
@@ -49,3 +50,12 @@ def test_run_and_odd_rows(spark, sf):
 
 def test_rules_kinds_are_unique():
     assert len({r.kind for r in secrets.RULES}) == len(secrets.RULES)
+
+
+def test_run_keeps_no_more_than_its_result_reads(spark, sf):
+    import os
+
+    durable.clear(spark)
+    out = corpus_pipeline.run(spark, sf)
+    held = {d for d in os.listdir(durable.own_folder(spark).removeprefix("file:"))}
+    assert len(held) == 2 and out.count() > 0
