@@ -65,9 +65,13 @@ SERIES = """eighths AS (SELECT *, floor(value * 8) / 8 AS v FROM events), s AS (
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
+    return series_of(t(spark, d, "events"))
+
+
+def series_of(events: DataFrame) -> DataFrame:
     null_each = lambda n, c: F.when(F.col("event_id") % n != 0, c)
     v = F.floor(F.col("value") * 8).cast("double") / 8
-    return t(spark, d, "events").select(
+    return events.select(
         "event_id", "ts", "user_id", F.col("event_type").alias("well_name"),
         null_each(11, v).alias("rop"), null_each(7, v / 8).alias("wob"), F.get_json_object("props", "$.k").cast("double").alias("rpm"),
         null_each(5, v * 2).alias("spp"), null_each(13, v + 100).alias("flow_in"), null_each(17, v / 4).alias("torque"),
@@ -282,6 +286,13 @@ def q_interval_distribution(spark, d):
     return audits.value_counts(labelled(spark, d), "formation_id")
 
 
+@query(f"WITH {_LABELLED} SELECT event_id, formation, formation_id FROM l")
+def q_interval_carry(spark, d):
+    """The same labels by merging."""
+    out = intervals.interval_carry(series(spark, d), tops(spark, d), "well_name", "dmea", "md_from_m", "md_to_m", {"formation": "Unknown", "formation_id": 0}, 5.0)
+    return out.select("event_id", "formation", "formation_id")
+
+
 @query("SELECT event_id, formation FROM s LEFT JOIN (SELECT * FROM tops WHERE well_name = 'view') v ON s.dmea >= v.md_from_m AND s.dmea < v.md_to_m")
 def q_range_join_open_end(spark, d):
     """The intervals whole, the last one to its open end."""
@@ -708,6 +719,30 @@ def q_resample_stream(spark, d):
     return whole.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def ordered_by_stream(spark, d, **asked):
+    """Events as a stream through streaming.ordered_stream, and the rows that its watermark leaves open."""
+    from drillframe.streaming import ordered_stream, with_open_rows
+
+    at = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    shaped = lambda df: series_of(df).withColumn("ts", F.col("ts").cast("timestamp"))
+    made = ordered_stream(shaped(spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/events.parquet*")), "well_name", "ts", ties=["event_id"], **asked)
+    run = made.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return with_open_rows(spark.read.schema(made.schema).parquet(f"{at}/rows"), shaped(t(spark, d, "events")), "well_name", "ts", "event_id", ties=["event_id"], **asked)
+
+
+@query("SELECT event_id, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY well_name ORDER BY ts ROWS UNBOUNDED PRECEDING) AS {c}" for c in FILL) + " FROM s")
+def q_forward_fill_stream(spark, d):
+    return ordered_by_stream(spark, d, fill=FILL).select("event_id", *FILL)
+
+
+@query("SELECT event_id, lag(wob, 1) OVER w AS wob_lag1, lag(rpm, 5) OVER w AS rpm_lag5, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY well_name ORDER BY ts) QUALIFY rn > 60")
+def q_lags_stream(spark, d):
+    """Lags without the rows that warm up."""
+    made = ordered_by_stream(spark, d, lags={"wob_lag1": ("wob", 1), "rpm_lag5": ("rpm", 5)}, number="rn")
+    return made.where("rn > 60").select("event_id", "wob_lag1", "rpm_lag5", "rn")
+
+
 # Nulls in keys and in the order
 
 _HOLES = "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE well_name END AS k, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts END AS t, wob, rop FROM s"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drillframe.operators import windows
+
 #: Bytes up to which a table of intervals is broadcast; Spark's own estimate of the table is asked.
 BROADCAST_BYTES = 64 << 20
 #: Shares of the rows of one cell that are joined apart.
@@ -33,6 +35,24 @@ def interval_label(df: DataFrame, intervals: DataFrame, key: str, value: str, st
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in labels.items()})
 
 
+def interval_carry(df: DataFrame, intervals: DataFrame, key: str, value: str, start: str, end: str, labels: dict[str, object], width: float) -> DataFrame:
+    """The same rows as interval_label, by merging: starts and values stand in one order by key and value, and the last
+    start is carried on to the values behind it, which it labels if it hasn't ended.
+
+    The order is cut into blocks of `width` of the value. No task holds more than a block of a key, and neither side is
+    broadcast: for keys with many intervals, or intervals of any number, and keys with any share of the rows.
+    """
+    spans = intervals.where(F.col(key).isNotNull() & (F.col(start) < F.col(end)))
+    span = F.struct(F.col(end).cast("double").alias("to"), *[F.col(c).alias(c) for c in labels])
+    row = F.struct(*[F.col(c) for c in df.columns])
+    starts = spans.select(F.col(key).alias("_key"), F.col(start).cast("double").alias("_at"), F.lit(0).alias("_kind"), span.alias("_span"))
+    values = df.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_at"), F.lit(1).alias("_kind"), row.alias("_row"))
+    both = windows.forward_fill(starts.unionByName(values, allowMissingColumns=True), ["_key"], ["_at", "_kind"], ["_span"], _cell("_at", width))
+    found = both.where("_kind = 1")
+    holds = F.col("_key").isNotNull() & F.col("_at").isNotNull() & (F.col("_at") < F.col("_span.to"))
+    return found.select("_row.*", *[F.coalesce(F.when(holds, F.col(f"_span.{c}")), F.lit(v)).alias(c) for c, v in labels.items()])
+
+
 def range_label(df: DataFrame, intervals: DataFrame, value: str, start: str, end: str, width: float, labels: list[str]) -> DataFrame:
     """The same without a key: intervals are dealt to the cells of `width` that they touch and that hold values, values
     to theirs, and the cell is the join key. Long and open-ended intervals cost a row a cell with values, and a cell
