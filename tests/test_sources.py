@@ -1,7 +1,11 @@
 """Sources on small trees of files written here."""
 
+import threading
 import zipfile
 
+import pytest
+
+from drillframe.operators import windows
 from drillframe.plans import tops as tops_plan
 from drillframe.sources import files, logs_xml, tables, tops_text
 
@@ -142,7 +146,94 @@ def test_tables(spark):
     tables.replace_table(tables.read_table(spark, "own_rows").where("id < 2"), "own_rows")
     assert tables.read_table(spark, "own_rows").count() == 4
     tables.write_sorted(spark.range(2000).selectExpr("id * 7919 % 2003 AS x").repartition(6), "own_rows", ["x"])
-    assert [r.tableName for r in spark.sql("SHOW TABLES LIKE 'own_rows*'").collect()] == ["own_rows"]
+    assert tables.version_of(spark, "own_rows") == 3 and spark.sql("SELECT count(*) FROM own_rows").first()[0] == 2000
     spans = tables.read_table(spark, "own_rows").selectExpr("_metadata.file_name AS f", "_metadata.row_index AS i", "x").collect()
     assert [r.x for r in sorted(spans, key=lambda r: (r.f, r.i))] == sorted(r.x for r in spans)
     tables.drop_table(spark, "own_rows")
+    assert not [r for r in spark.sql("SHOW TABLES LIKE 'own_rows*'").collect()] and tables.version_of(spark, "own_rows") == 0
+    tables.append_table(df.selectExpr("id", "id % 2 AS part"), "own_rows", ["part"])
+    assert tables.read_table(spark, "own_rows").count() == 5
+    tables.drop_table(spark, "own_rows")
+
+
+def test_a_reader_never_misses_the_table(spark):
+    tables.drop_table(spark, "read_rows")
+    tables.append_table(spark.range(10), "read_rows")
+    seen, failed, stop = set(), [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.add(spark.sql("SELECT count(*), min(id) FROM read_rows").first())
+                seen.add(tables.read_table(spark, "read_rows").selectExpr("count(*)", "min(id)").first())
+            except Exception as error:
+                failed.append(error)
+
+    readers = [threading.Thread(target=read) for _ in range(3)]
+    for r in readers:
+        r.start()
+    for i in range(1, 8):
+        tables.replace_table(tables.read_table(spark, "read_rows").selectExpr("id + 1 AS id"), "read_rows")
+    stop.set()
+    for r in readers:
+        r.join()
+    assert not failed, failed[:1]
+    assert {n for n, _ in seen} == {10} and {low for _, low in seen} <= set(range(8)) and len(seen) > 1
+    assert [n for n, _ in tables._versions(spark, "read_rows")] == [6, 7, 8]
+    tables.drop_table(spark, "read_rows")
+
+
+def test_the_second_of_two_writers_is_refused(spark):
+    tables.drop_table(spark, "written")
+    tables.append_table(spark.range(5), "written")
+    read = tables.version_of(spark, "written")
+    tables.replace_table(spark.range(6), "written", read=read)
+    with pytest.raises(tables.Conflict):
+        tables.replace_table(spark.range(7), "written", read=read)
+    outcome = []
+
+    def write(n):
+        try:
+            outcome.append(tables.replace_table(spark.range(n), "written", read=2))
+        except tables.Conflict:
+            outcome.append(None)
+
+    writers = [threading.Thread(target=write, args=(20 + i,)) for i in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert sorted(outcome, key=str) == [3, None, None, None] and tables.version_of(spark, "written") == 3
+    assert len(tables._versions(spark, "written")) == 3
+    tables.drop_table(spark, "written")
+
+
+def test_a_writer_that_stops_after_its_claim_can_be_finished(spark, monkeypatch):
+    tables.drop_table(spark, "halted")
+    tables.append_table(spark.range(5), "halted")
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_move", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            tables.replace_table(spark.range(9), "halted")
+    assert tables.read_table(spark, "halted").count() == 5
+    with pytest.raises(tables.Conflict):
+        tables.replace_table(spark.range(7), "halted")
+    assert tables.finish_replacement(spark, "halted") == 2 and tables.read_table(spark, "halted").count() == 9
+    assert tables.replace_table(spark.range(7), "halted") == 3
+    tables.drop_table(spark, "halted")
+
+
+def test_rows_laid_out_for_windows_need_no_exchange(spark):
+    df = spark.range(4000).selectExpr("id % 7 AS k", "(id * 7919) % 4001 AS t", "IF(id % 3 = 0, NULL, id * 0.5D) AS v", "id")
+    by = ["k"], ["t"]
+    tables.drop_table(spark, "laid_out")
+    tables.write_for_windows(df, "laid_out", *by, buckets=4)
+    laid = tables.read_table(spark, "laid_out")
+    # Without broadcasts, which small tables would make of joins.
+    for f, less in ((lambda x: windows.forward_fill(x, *by, ["v"]), 1), (lambda x: windows.rolling(x, *by, ["v"], 3, 9), 1)):
+        def exchanges(x):
+            return f(x)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+        assert exchanges(df) - exchanges(laid) == less and exchanges(laid) == 0
+        assert sorted(map(tuple, f(laid).collect()), key=repr) == sorted(map(tuple, f(df).collect()), key=repr)
+    tables.drop_table(spark, "laid_out")
