@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from drillframe.llm import chat
+from drillframe.llm import chat, queries
 from drillframe.llm.common import table
 from drillframe.llm.queries import op9_chat
 
@@ -182,3 +182,10 @@ def test_query_keeps_every_message(spark, sf):
     got = op9_chat(spark, sf).collect()
     want = sorted((r.conv_id, r.turn, chat.canonical({"role": r.role, "content": r.text})) for r in rows)
     assert sorted((r.conv_id, r.turn, r.message) for r in got) == want
+
+
+def test_linking_equals_sql(spark, sf):
+    out = queries.chat_linking(spark, sf)
+    assert compare(out, sf, queries.CHAT_LINKING) == []
+    sums = out.selectExpr("max(level)", "sum(n_linked)", "sum(n_invalid)", "count_if(answers_turn = -1)", "count_if(answers_turn >= 0)").first()
+    assert all(x > 0 for x in sums)
