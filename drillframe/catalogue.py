@@ -884,6 +884,20 @@ def q_best_tops(spark, d):
     return r6(best_tops(spark, d))
 
 
+@query(f"WITH {_LINES}, {_BEST} SELECT well_common_name, formation, round(md_m, 6) AS md_m FROM best")
+def q_best_tops_files(spark, d):
+    """Files of lines, written by tasks and read back; which name of a well is the last depends on the lines' order."""
+    from drillframe.plans import tops as plan
+    from drillframe.sources import tops_text
+    from drillframe.sources.files import write_texts
+
+    filed = lines(spark, d).groupBy(F.floor(F.col("line_at") / 500).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_at", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    write_texts(filed.select(F.concat(F.lpad(F.col("part").cast("string"), 12, "0"), F.lit(".xml")).alias("path"), "text"), folder)
+    read = stored(tops_text.read_lines(spark, folder))
+    return r6(plan.best_tops(tops_text.tops(read), tops_text.wells(read)))
+
+
 @query(f"WITH {_LINES}, {_BEST} SELECT formation, round(median(md_m), 6) AS md_m, count(DISTINCT well_common_name) AS n_wells FROM best GROUP BY 1")
 def q_field_medians(spark, d):
     from drillframe.plans.tops import field_medians
@@ -1037,6 +1051,22 @@ def q_exact_holdout(spark, d):
     return exact_share(series(spark, d).select("event_id"), 0.15, ["event_id"], order=place)
 
 
+@query("SELECT o_orderkey, o_totalprice, true AS in_order FROM orders")
+def q_sorted_table(spark, d):
+    """A table written in global order: each row stands behind the one before it in its file, and files don't overlap."""
+    from drillframe.sources import tables
+
+    name = f"q_table_{uuid.uuid4().hex[:12]}"
+    tables.write_sorted(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), name, ["o_totalprice", "o_orderkey"])
+    rows = tables.read_table(spark, name).select("o_orderkey", "o_totalprice", F.struct("o_totalprice", "o_orderkey").alias("at"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = rows.groupBy("file").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    apart = files.withColumn("apart", F.coalesce(F.col("low") > F.lag("high").over(Window.orderBy("low")), F.lit(True))).select("file", "apart")
+    behind = F.coalesce(F.col("at") > F.lag("at").over(Window.partitionBy("file").orderBy("row")), F.lit(True))
+    found = stored(rows.withColumn("behind", behind).join(apart, "file").select("o_orderkey", "o_totalprice", (F.col("behind") & F.col("apart")).alias("in_order")))
+    tables.drop_table(spark, name)
+    return found
+
+
 @query()
 def q_importances(spark, d):
     """The features that tell most, of the model across keys; no SQL can express it."""
