@@ -120,13 +120,14 @@ def profiles(docs: DataFrame, most: int = PROFILE) -> DataFrame:
 class Profiles:
     """Languages' profiles as one table: grams ascending, and of each gram the languages that list it, with its rank."""
 
-    def __init__(self, rows: list[tuple[str, int, int]], most: int = PROFILE):
-        self.most, self.languages = most, sorted({lang for lang, _, _ in rows})
-        number = {lang: i for i, lang in enumerate(self.languages)}
-        rows = sorted((gram, number[lang], rank) for lang, gram, rank in rows)
-        table = np.array(rows, np.int64).reshape(-1, 3)
-        self.grams, self.first, self.size = np.unique(table[:, 0], return_index=True, return_counts=True)
-        self.language, self.rank = table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
+    def __init__(self, rows: pa.Table, most: int = PROFILE):
+        """rows: lang, gram and rank."""
+        names, number = np.unique(np.array(rows["lang"].to_pylist(), str), return_inverse=True)
+        grams, rank = (rows[c].to_numpy().astype(np.int64) for c in ("gram", "rank"))
+        order = np.lexsort((number, grams))
+        self.most, self.languages = most, names.tolist()
+        self.grams, self.first, self.size = np.unique(grams[order], return_index=True, return_counts=True)
+        self.language, self.rank = number[order].astype(np.int32), rank[order].astype(np.int32)
 
     def distances(self, own: np.ndarray) -> np.ndarray:
         """The out-of-place distance of a document's ranked grams to each language."""
@@ -154,7 +155,7 @@ def learn(docs: DataFrame, most: int = PROFILE, languages: int = LANGUAGES) -> P
     n = found.select("lang").distinct().count()
     if n > languages:
         raise ValueError(f"lang holds {n} values: more than {languages} languages")
-    return Profiles([(r["lang"], r["gram"], r["rank"]) for r in found.collect()], most)
+    return Profiles(found.toArrow(), most)
 
 
 def predict_languages(docs: DataFrame, known: Profiles | None = None) -> DataFrame:
