@@ -380,19 +380,24 @@ _MATRIX = f"""WITH {_LABELLED}, p AS (SELECT *, {_sum_sql('spm1', 'spm2', 'spm3'
   FROM w WHERE rn > 60 AND well_name {{}} IN ('error', 'signup')"""
 
 
-def matrices(spark, d):
+def prepared(spark, d):
     train, test = features.split_by_key(series(spark, d).where("rop IS NOT NULL").drop("user_id"), HELD_OUT)
-    return features.feature_matrices(train, test, tops(spark, d), block=day(), keep=stored)
+    return features.prepared(train, test, tops(spark, d), block=day(), keep=stored)
+
+
+def matrices(spark, d):
+    made = prepared(spark, d)
+    return features.feature_part(made, False, day()), features.feature_part(made, True, day())
 
 
 @query(_MATRIX.format("NOT"))
 def q_feature_matrix(spark, d):
-    return spreads_rounded(matrices(spark, d)[0])
+    return spreads_rounded(features.feature_part(prepared(spark, d), False, day()))
 
 
 @query(_MATRIX.format(""))
 def q_feature_matrix_held_out(spark, d):
-    return spreads_rounded(matrices(spark, d)[1])
+    return spreads_rounded(features.feature_part(prepared(spark, d), True, day()))
 
 
 # Benchmarks
@@ -1070,6 +1075,6 @@ def q_sorted_table(spark, d):
 @query()
 def q_importances(spark, d):
     """The features that tell most, of the model across keys; no SQL can express it."""
-    train, _ = matrices(spark, d)
+    train = features.feature_part(prepared(spark, d), False, day())
     names = [c for c, k in train.dtypes if k in ("double", "bigint", "int") and c not in ("rop", "event_id")]
     return model.importances(model.fit(train, names, settings=model.ACROSS))

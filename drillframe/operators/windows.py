@@ -132,35 +132,36 @@ def _with_running(rows: DataFrame, by: Sequence[str], w, summed: Sequence[str],
     return rows.withColumns(runs)
 
 
-def _within(c: str, n: int, name: str) -> Column:
-    """A sum over the frame: that up to its end less that up to its beginning."""
-    upto = lambda k: F.coalesce(F.col(f"_upto_{c}_{k}.{name}"), F.lit(0))
-    return upto(1) - upto(n + 1)
+def _within(c: str, n: int, name: str) -> str:
+    """A sum over the frame, as SQL: that up to its end less that up to its beginning. Frames are written as SQL because
+    a column object costs a call to the JVM for each of the many operators."""
+    upto = lambda k: f"coalesce(`_upto_{c}_{k}`.{name}, 0)"
+    return f"({upto(1)} - {upto(n + 1)})"
 
 
-def _odd(c: str, n: int) -> list[Column]:
+def _odd(c: str, n: int) -> list[str]:
     """The frame's numbers of NaN, infinity and minus infinity."""
     packed = _within(c, n, "odd")
-    return [F.call_function("shiftright", packed, F.lit(i * _ODD_BITS)) % (1 << _ODD_BITS) for i in range(3)]
+    return [f"(shiftright({packed}, {i * _ODD_BITS}) % {1 << _ODD_BITS})" for i in range(3)]
 
 
 def _mean(c: str, n: int) -> Column:
     """Null for no value; of values that aren't all finite, what adding them gives."""
     count, (nans, up, down) = _within(c, n, "n"), _odd(c, n)
-    value = F.when(count > 0, (_within(c, n, "s") + _within(c, n, "t") + _within(c, n, "u")) / count)
-    infinite = F.when(down == 0, F.lit(float("inf"))).when(up == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
-    return F.when((nans == 0) & (up == 0) & (down == 0), value).when(nans > 0, F.lit(float("nan"))).otherwise(infinite)
+    total = " + ".join(_within(c, n, k) for k in "stu")
+    return F.expr(f"""CASE WHEN {nans} = 0 AND {up} = 0 AND {down} = 0 THEN CASE WHEN {count} > 0 THEN ({total}) / {count} END
+      WHEN {nans} > 0 THEN double('NaN') WHEN {down} = 0 THEN double('Infinity') WHEN {up} = 0 THEN double('-Infinity') ELSE double('NaN') END""")
 
 
 def _spread(c: str, n: int) -> Column:
     """The sample deviation, null for fewer than two values, NaN for values that aren't all finite."""
-    count, odd, mid = _within(c, n, "n"), sum(_odd(c, n)), F.col(f"_mid_{c}")
+    count, odd = _within(c, n, "n"), " + ".join(_odd(c, n))
     # The sum of distances to the median: its multiple is taken off the exact part first.
-    away = (_within(c, n, "s") - mid * count) + _within(c, n, "t") + _within(c, n, "u")
-    squares = _within(c, n, "p") + _within(c, n, "q") + _within(c, n, "r")
-    rest = squares - away * away / count
-    value = F.when(rest > squares * 1e-14, F.sqrt(rest / (count - 1))).otherwise(0.0)
-    return F.when(count + odd > 1, F.when(odd > 0, F.lit(float("nan"))).otherwise(value))
+    away = f"(({_within(c, n, 's')} - `_mid_{c}` * {count}) + {_within(c, n, 't')} + {_within(c, n, 'u')})"
+    squares = f"({' + '.join(_within(c, n, k) for k in 'pqr')})"
+    rest = f"({squares} - {away} * {away} / {count})"
+    value = f"CASE WHEN {rest} > {squares} * 1e-14D THEN sqrt({rest} / ({count} - 1)) ELSE 0.0D END"
+    return F.expr(f"CASE WHEN {count} + {odd} > 1 THEN CASE WHEN {odd} > 0 THEN double('NaN') ELSE {value} END END")
 
 
 def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], short: int = 10, long: int = 60, block: Column | None = None) -> DataFrame:

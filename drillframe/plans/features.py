@@ -62,13 +62,21 @@ def feature_matrices(train: DataFrame, test: DataFrame, tops: DataFrame, exclude
     The filled rows are read three times: for medians, for bounds and for the features. `keep` may store them in
     between (operators.durable.stored), so that the joins and the fill run once.
     """
+    made = prepared(train, test, tops, exclude, block, keep)
+    return feature_part(made, False, block), feature_part(made, True, block)
+
+
+def prepared(train: DataFrame, test: DataFrame, tops: DataFrame, exclude: Sequence[str] = (), block: Column | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """What feature_part takes: both parts filled and clipped, told apart by _test."""
     both = with_pumps(train.withColumn("_test", F.lit(False)).unionByName(test.withColumn("_test", F.lit(True))))
     both = with_formation(both, tops).drop("formation", *exclude)
     filled = keep(windows.forward_fill(both, ["well_name"], ["ts"], BASE, block))
     own = filled.where(~F.col("_test"))
     medians = stats.medians(own, BASE)
-    whole = stats.fill_with(filled, medians, BASE)
     bounds = stats.bounds(stats.fill_with(own, medians, BASE), BASE)
-    # Each part on its own: who asks for one doesn't pay for the windows of both.
-    parts = (whole.where(~F.col("_test")), whole.where("_test"))
-    return tuple(window_features(stats.clip(part.drop("_test"), bounds, BASE), block) for part in parts)
+    return stats.clip(stats.fill_with(filled, medians, BASE), bounds, BASE)
+
+
+def feature_part(made: DataFrame, test: bool, block: Column | None = None) -> DataFrame:
+    """Features of one part; who asks for one doesn't pay for the windows of both."""
+    return window_features(made.where(F.col("_test") == test).drop("_test"), block)
