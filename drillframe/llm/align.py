@@ -68,6 +68,8 @@ class Transducer:
         #: From a token of the first side with nothing behind it, and from state << 32 | token of the side that is behind.
         self.begun: dict[int, int] = {}
         self.known: dict[int, int] = {}
+        #: The text of a group of one token each, by its link: from the empty residual to it in one step.
+        self.at_once: dict[int, str] = {}
 
     def _numbered(self, leader: int, residual: bytes) -> int:
         if not residual:
@@ -89,17 +91,37 @@ class Transducer:
 
     def align(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]] | None:
         """Groups as text, their number, and the links, first id << 32 | second id; None if the bytes differ."""
-        if len(self.known) > TRANSITIONS:
+        if len(self.known) + len(self.at_once) > TRANSITIONS:
             self._forget()
-        begun, known, leads = self.begun, self.known, self.leads
-        groups, links, i, j, from_i, from_j, state, last, leader, token = [], [], 0, 0, 0, 0, 0, 0, 0, 0
+        begun, known, leads, at_once = self.begun, self.known, self.leads, self.at_once
+        groups, links, state, last, leader, token = [], [], 0, 0, 0, 0
         size_a, size_b = len(a), len(b)
+        for first, second in zip(a, b):
+            link = first << 32 | second
+            text = at_once.get(link)
+            if text is None:
+                break
+            groups.append(text)
+            links.append(link)
+        from_i = from_j = i = j = len(links)
         while True:
             if not state:
                 if i > from_i:
-                    one = i - from_i == 1 and j - from_j == 1
-                    groups.append(f"{last}|{token}" if one and not leader else f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                    from_i, from_j = i, j
+                    if i - from_i == 1 and j - from_j == 1:
+                        text = at_once[links[-1]] = f"{a[from_i]}|{b[from_j]}"
+                    else:
+                        text = f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}"
+                    groups.append(text)
+                while i < size_a and j < size_b:
+                    link = a[i] << 32 | b[j]
+                    text = at_once.get(link)
+                    if text is None:
+                        break
+                    groups.append(text)
+                    links.append(link)
+                    i += 1
+                    j += 1
+                from_i, from_j = i, j
                 if i == size_a:
                     return (";".join(groups), len(groups), links) if j == size_b else None
                 last = a[i]
@@ -221,7 +243,7 @@ class Aligner:
 
     def _entries(self, units: list[str]) -> list[Entry | None]:
         """Latin units, of which Unicode's versions say the same, go by ranks; others through the tokenizer itself."""
-        latin = [u for u in units if max(u) < "ɐ"]
+        latin = [u for u in units if u.isascii() or max(u) < "ɐ"]
         found = dict(zip(latin, self._aligned(latin, self._first_ids(latin)))) if latin else {}
         if rest := [u for u in units if u not in found]:
             found |= zip(rest, self._aligned(rest, self._tokenised(rest)))
@@ -229,11 +251,11 @@ class Aligner:
 
     def _aligned(self, units: list[str], first: list[list[int] | None]) -> list[Entry | None]:
         second = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        out, align = [], self.transducer.align
+        out, align, made = [], self.transducer.align, Entry._make
         for unit, a, b in zip(units, first, second):
             b = self._second_ids(unit, b)
             found = None if a is None or b is None else align(a, b)
-            out.append(found and Entry(found[0], len(a), len(b), found[1], array("q", found[2]).tobytes()))
+            out.append(found and made((found[0], len(a), len(b), found[1], array("q", found[2]).tobytes())))
         return out
 
     def whole(self, text: str) -> Entry:

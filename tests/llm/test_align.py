@@ -131,3 +131,16 @@ def test_transitions_are_remembered_and_mismatches_end():
     assert own.align([0, 1], [0, 1])[1] == 1 and own.known == known
     assert own.align([0], [3]) is None and own.align([0], [0]) is None and own.align([0], [0, 2, 0]) is None and own.align([3], [0]) is None
     assert own.align([], []) == ("", 0, [])
+
+
+def test_groups_of_one_token_each_take_one_step(monkeypatch):
+    """A pair that has closed a group once is known as a whole, with the same groups and links."""
+    t = align.Transducer([b"", b"ab", b"c", b"abc"], [b"", b"ab", b"c", b"d"])
+    want = t.align([1, 2, 1], [1, 2, 1])
+    assert want == ("1|1;2|2;1|1", 3, [1 << 32 | 1, 2 << 32 | 2, 1 << 32 | 1]) and t.at_once == {1 << 32 | 1: "1|1", 2 << 32 | 2: "2|2"}
+    monkeypatch.setattr(t, "begun", {})
+    monkeypatch.setattr(t, "step", None)
+    assert t.align([1, 2, 1], [1, 2, 1]) == want and not t.begun
+    monkeypatch.undo()
+    assert t.align([1, 3], [1, 1, 2]) == ("1|1;3|1,2", 2, [1 << 32 | 1, 3 << 32 | 1, 3 << 32 | 2])
+    assert t.align([1, 2], [1]) is None and t.align([1], [1, 2]) is None and t.align([1, 2], [1, 3]) is None
