@@ -725,11 +725,14 @@ def q_resample_stream(spark, d):
 
 
 def ordered_by_stream(spark, d, **asked):
-    """Events as a stream through streaming.ordered_stream, and the rows that its watermark leaves open."""
+    """Events as a stream through streaming.ordered_stream, and the rows that its watermark leaves open. Only the columns
+    that are asked for become state."""
     from drillframe.streaming import ordered_stream, with_open_rows
 
+    columns = ["event_id", "ts", "well_name", *dict.fromkeys([*asked.get("fill", ()), *[c for c, _ in asked.get("lags", {}).values()]])]
+
     at = f"{own_folder(spark)}/{uuid.uuid4().hex}"
-    shaped = lambda df: series_of(df).withColumn("ts", F.col("ts").cast("timestamp"))
+    shaped = lambda df: series_of(df).select(*columns).withColumn("ts", F.col("ts").cast("timestamp"))
     made = ordered_stream(shaped(spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/events.parquet*")), "well_name", "ts", ties=["event_id"], **asked)
     run = made.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -18,6 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from drillframe.operators import windows
 
 
+#: Rows that are given out together.
+EMITTED = 50_000
+
+
 def _packed(frame: pd.DataFrame) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.Table.from_pandas(frame, preserve_index=False)
@@ -66,12 +70,16 @@ def ordered_stream(rows: DataFrame, key: str, ts: str, fill: Sequence[str] = (),
         last = {c: carried[c].iloc[0] for c in carried.columns}
         waiting = [x for x in [held, *batches] if len(x)]
         here = pd.concat(waiting, ignore_index=True) if waiting else pd.DataFrame(columns=[*names, "_us"])
+        del held, waiting
         is_ready = here["_us"].astype("int64") <= state.getCurrentWatermarkMs() * 1000
-        ready, rest = here[is_ready].sort_values(order, kind="stable"), here[~is_ready]
-        if len(ready):
-            out, last, tail = emit(ready, last, tail, count)
-            count += len(ready)
+        # Columns of the order alone are sorted; rows follow some at a time, so that no copy of all is made.
+        at = here.loc[is_ready, order].sort_values(order, kind="stable").index
+        for k in range(0, len(at), EMITTED):
+            out, last, tail = emit(here.loc[at[k : k + EMITTED]], last, tail, count)
+            count += len(out)
             yield out
+        rest = here[~is_ready] if len(at) else here
+        del here
         state.update((count, *[_packed(x) if len(x) else None for x in (rest, tail, pd.DataFrame([last]) if last else pd.DataFrame())]))
         if len(rest):
             state.setTimeoutTimestamp(max(int(rest["_us"].min()) // 1000, state.getCurrentWatermarkMs()) + 1)

@@ -72,3 +72,22 @@ def test_late_rows_are_dropped(spark, tmp_path):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in{part}")
         emitted = run(spark, tmp_path)
     assert sorted((r.id, r.rn, r.v_lag1) for r in emitted.collect()) == [(1, 1, None), (2, 2, 1.0)]
+
+
+def test_rows_are_given_out_some_at_a_time_and_only_asked_columns_are_state(spark, sf, tmp_path, monkeypatch):
+    from drillframe import catalogue, streaming
+    from drillframe.streaming import ordered
+
+    assert ordered.EMITTED < 1_000_000
+    monkeypatch.setattr(ordered, "EMITTED", 7)
+    rows = made_rows(300)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in0")
+    emitted = run(spark, tmp_path)
+    want = {tuple(r) for r in batch(spark.createDataFrame(rows, SCHEMA)).select(*emitted.columns).collect()}
+    got = [tuple(r) for r in emitted.collect()]
+    assert len(set(got)) == len(got) > 280 and set(got) <= want
+
+    seen, made = [], streaming.ordered_stream
+    monkeypatch.setattr(streaming, "ordered_stream", lambda df, *a, **k: seen.append(df.columns) or made(df, *a, **k))
+    catalogue.QUERIES["q_lags_stream"](spark, sf)
+    assert seen == [["event_id", "ts", "well_name", "wob", "rpm"]]
