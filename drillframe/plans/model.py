@@ -1,4 +1,4 @@
-"""Boosted-tree regression of progress on features, out of Spark's own tree learner."""
+"""Boosted-tree regression of progress on features."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillframe.operators.durable import discard, stored
 from drillframe.operators.sampling import exact_share
+from drillframe.plans import forest
+from drillframe.plans.forest import RandomForestRegressor, Tree
 
 #: Settings of the model across keys and of the one within; patience: trees without improvement that end it.
 ACROSS = {"maxIter": 500, "maxDepth": 6, "minInstancesPerNode": 20, "validation": 0.15, "patience": 30}
@@ -21,8 +23,6 @@ WITHIN = {"maxIter": 400, "maxDepth": 5, "minInstancesPerNode": 30, "validation"
 RATE, AT_ONCE = 0.05, 5
 #: Candidate splits of a feature.
 BINS = 128
-#: Rounds after which the residual is stored: what stands between is computed anew by each pass.
-STORED_EVERY = 4
 
 
 @dataclass(frozen=True)
@@ -45,52 +45,68 @@ def holdout(df: DataFrame, share: float, keys: Sequence[str] = ("well_name", "ts
 def fit(train: DataFrame, features: Sequence[str], label: str = "rop", settings: dict | None = None) -> Boosted:
     """Trees fitted on what the mean and the trees before them leave of the label, a stored column, up to maxIter.
 
-    A round fits AT_ONCE trees on one residual, each on its own sample of rows, and adds RATE of each: every pass over the
-    rows grows them all. No tree is fitted twice: the next round goes on from the residual. It ends once `patience` trees
-    have brought no improvement on the validation rows, which no tree is fitted on, and keeps the trees up to the best
-    round. Without validation rows all maxIter trees are kept; without rows there are none, and the mean is 0.
+    Features are cut into bins once. A round fits AT_ONCE trees on one residual, each on its own sample of rows, and adds
+    RATE of each: every pass over the rows grows them all. No tree is fitted twice: the next round goes on from the residual,
+    stored anew after each. It ends once `patience` trees have brought no improvement on the validation rows, which no tree
+    is fitted on, and keeps the trees up to the best round. Without validation rows all maxIter trees are kept; without
+    rows there are none, and the mean is 0.
     """
     chosen = dict(ACROSS if settings is None else settings)
     share, patience, most = (chosen.pop(k) for k in ("validation", "patience", "maxIter"))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     keys = [c for c in ("well_name", "ts") if c in train.columns]
-    labelled = assembler.transform(train.where(F.col(label).isNotNull()))
-    rows = holdout(labelled.select(*keys, "features", F.col(label).cast("double").alias("_left")), share, keys).drop(*keys)
-    mean = rows.where("NOT is_validation").agg(F.avg("_left")).first()[0] or 0.0
-    rows = rows.withColumn("_left", F.col("_left") - mean)
-    square = lambda: rows.where("is_validation").agg(F.avg(F.col("_left") ** 2)).first()[0]
+    labelled = train.where(F.col(label).isNotNull()).select(*keys, *features, F.col(label).cast("double").alias("_left"))
+    whole = holdout(labelled, share, keys)
+    mean = whole.where("NOT is_validation").agg(F.avg("_left")).first()[0] or 0.0
+    edges = forest.cuts(whole.where("NOT is_validation"), features, BINS)
+    drawn = whole.withColumns({"_left": F.col("_left") - mean, "_draw": F.xxhash64(*keys, *features, "_left")})
+    rows = stored(forest.binned(drawn, features, edges).repartition(train.sparkSession.sparkContext.defaultParallelism))
+    discard(whole)
+    square = lambda: forest.mean_square(rows.where("is_validation"))
     start = square()
-    errors, trees, best, kept = [start], [], 0, None
-    learner = RandomForestRegressor(labelCol="_left", predictionCol="_step", subsamplingRate=0.8, bootstrap=False, featureSubsetStrategy="0.8", maxBins=BINS, maxMemoryInMB=1024, **chosen)
-    while len(trees) < most and not rows.where("NOT is_validation").isEmpty():
+    errors, trees, best = [start], [], 0
+    some = not rows.where("NOT is_validation").isEmpty()
+    while some and len(trees) < most:
         n = min(AT_ONCE, most - len(trees))
-        made = learner.setNumTrees(n).setSeed(42 + len(trees)).fit(rows.where("NOT is_validation"))
-        trees += made.trees
-        rows = made.transform(rows).withColumn("_left", F.col("_left") - RATE * n * F.col("_step")).drop("_step")
+        learner = RandomForestRegressor(len(features), BINS, numTrees=n, seed=42 + len(trees), **chosen)
+        new = learner.fit(rows.where("NOT is_validation"))
+        trees += new
+        before, rows = rows, stored(forest.less(rows, new, RATE))
+        discard(before)
         if start is not None:
             errors.append(square())
             best = errors.index(min(errors))
             if (len(errors) - 1 - best) * AT_ONCE >= patience:
                 break
-        if len(errors) % STORED_EVERY == 0 or start is None:
-            before, kept = kept, stored(rows)
-            rows = kept
-            if before is not None:
-                discard(before)
+    discard(rows)
     fitted = len(trees)
-    return Boosted(assembler, mean, _ensemble(trees[: best * AT_ONCE] if start is not None else trees), tuple(errors if start is not None else ()), fitted)
+    return Boosted(assembler, mean, _ensemble(trees[: best * AT_ONCE] if start is not None else trees, edges), tuple(errors if start is not None else ()), fitted)
 
 
-def _ensemble(trees: Sequence[DecisionTreeRegressionModel]) -> GBTRegressionModel | None:
-    """The model that adds RATE of each tree. Spark's Python side has no constructor for it."""
+def _ensemble(trees: Sequence[Tree], edges: Sequence[Sequence[float]]) -> GBTRegressionModel | None:
+    """The model that adds RATE of each tree, as Spark's own. Spark's Python side has no constructor for it."""
     if not trees:
         return None
     gateway = SparkContext._active_spark_context._gateway
-    ml = gateway.jvm.org.apache.spark.ml.regression
-    own, weights = gateway.new_array(ml.DecisionTreeRegressionModel, len(trees)), gateway.new_array(gateway.jvm.double, len(trees))
+    ml, double = gateway.jvm.org.apache.spark.ml, gateway.jvm.double
+    stats = lambda: gateway.new_array(double, 3)
+    none = gateway.jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator(stats(), 0)
+
+    def node(tree: Tree, i: int):
+        value, feature = float(tree.value[i]), int(tree.feature[i])
+        if feature < 0:
+            return ml.tree.LeafNode(value, 0.0, none)
+        # Importances weigh a split's gain by its rows.
+        counted = stats()
+        counted[0] = float(tree.rows[i])
+        about = gateway.jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator(counted, int(tree.rows[i]))
+        split = ml.tree.ContinuousSplit(feature, float(edges[feature][tree.cut[i]]))
+        return ml.tree.InternalNode(value, 0.0, float(tree.gain[i]), node(tree, 2 * i + 1), node(tree, 2 * i + 2), split, about)
+
+    own, weights = gateway.new_array(ml.regression.DecisionTreeRegressionModel, len(trees)), gateway.new_array(double, len(trees))
     for i, tree in enumerate(trees):
-        own[i], weights[i] = tree._java_obj, RATE
-    return GBTRegressionModel(ml.GBTRegressionModel("boosted", own, weights, trees[0].numFeatures)).setPredictionCol("pred_rop")
+        own[i], weights[i] = ml.regression.DecisionTreeRegressionModel(f"tree_{i}", node(tree, 0), len(edges)), RATE
+    return GBTRegressionModel(ml.regression.GBTRegressionModel("boosted", own, weights, len(edges))).setPredictionCol("pred_rop")
 
 
 def n_trees(model: Boosted) -> int:

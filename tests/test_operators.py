@@ -232,6 +232,41 @@ def test_fit_without_validation_rows_or_any(spark):
     assert model.n_trees(none) == 0 and model.predict(none, df.limit(1)).first().pred_rop == 0.0
 
 
+def test_trees_are_the_same_whatever_the_partitions(spark):
+    settings = {"maxIter": 10, "maxDepth": 3, "minInstancesPerNode": 5, "validation": 0.2, "patience": 10}
+    df = boosting_rows(spark)
+    one, many = (model.fit(df.repartition(n, "ts"), ["x"], settings=settings) for n in (1, 7))
+    assert one.errors == pytest.approx(many.errors, rel=1e-6) and len(one.errors) == 3
+    assert [t.toDebugString.split("\n")[1:] for t in one.trees.trees][0] == [t.toDebugString.split("\n")[1:] for t in many.trees.trees][0]
+
+
+def test_a_tree_splits_where_all_splits_tried_are_best(spark):
+    from drillframe.plans import forest
+
+    rows = [(float(i % 13), float(i % 7), i, 3.0 * (i % 13 > 4) + (i % 7 > 2) + 0.1 * (i % 5), False) for i in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, _draw long, _left double, is_validation boolean")
+    edges = forest.cuts(df, ["a", "b"], 32)
+    made = forest.binned(df, ["a", "b"], edges)
+    tree = forest.RandomForestRegressor(2, 32, 2, 20, 1, 42, subsamplingRate=1.0, featureShare=1.0).fit(made)[0]
+
+    def best(some):
+        """Sum of squares, feature and cut of the best split."""
+        square = lambda xs: sum((x - sum(xs) / len(xs)) ** 2 for x in xs)
+        tried = [(f, c, [r[3] for r in some if r[f] <= c], [r[3] for r in some if r[f] > c]) for f in (0, 1) for c in edges[f]]
+        return min((square(low) + square(high), f, c) for f, c, low, high in tried if min(len(low), len(high)) >= 20)[1:]
+
+    assert (tree.feature[0], edges[0][tree.cut[0]]) == best(rows) == (0, 4.0)
+    for side, some in ((1, [r for r in rows if r[0] <= 4]), (2, [r for r in rows if r[0] > 4])):
+        assert (tree.feature[side], edges[tree.feature[side]][tree.cut[side]]) == best(some)
+        assert tree.rows[side] == len(some) and tree.value[side] == pytest.approx(sum(r[3] for r in some) / len(some))
+
+
+def test_a_feature_that_is_null_is_an_error(spark):
+    settings = {"maxIter": 5, "maxDepth": 2, "minInstancesPerNode": 5, "validation": 0.0, "patience": 5}
+    with pytest.raises(Exception, match="null or NaN"):
+        model.fit(boosting_rows(spark, 100).withColumn("x", F.when(F.col("ts") > 5, F.col("x"))), ["x"], settings=settings)
+
+
 def test_importances_rank_by_what_features_tell(spark):
     df = spark.range(3000).selectExpr("'a' AS well_name", "id AS ts", "CAST(id % 7 AS DOUBLE) AS much", "CAST(id % 11 AS DOUBLE) AS some", "rand(1) AS none", "10D * (id % 7) + (id % 11) AS rop")
     settings = {"maxIter": 20, "maxDepth": 4, "minInstancesPerNode": 5, "validation": 0.1, "patience": 10}
