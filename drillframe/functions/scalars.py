@@ -42,8 +42,7 @@ def is_month_start(ts: Column | str) -> Column:
 
 def cell(cells: Column, position: Column | int) -> Column:
     """A number out of split cells; out of range, empty, null or not a number gives null."""
-    text = F.regexp_replace(F.regexp_replace(F.get(cells, position if isinstance(position, Column) else F.lit(position)), r"^\s+", ""), r"\s+$", "")
-    return F.when(~text.isin("", "null", "NULL"), text).try_cast("double")
+    return F.btrim(F.get(cells, position if isinstance(position, Column) else F.lit(position)), F.lit(" \t\n\x0b\f\r")).try_cast("double")
 
 
 def sum_as_zero(*columns: Column | str) -> Column:

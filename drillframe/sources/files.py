@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,26 @@ def extract_archive(spark: SparkSession, path: str, target: str) -> dict[str, fl
     return {"entries": total["n"], "megabytes": total["bytes"] / 1e6}
 
 
+def few_tasks(spark: SparkSession) -> int:
+    """Tasks for work on many small files: enough for all cores, few enough that starting them costs nothing."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+@contextmanager
+def listed_by(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """Sources loaded within list folders by so many tasks, not by one for each folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(tasks))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def write_texts(rows: DataFrame, folder: str) -> int:
     """Writes each row's text (columns path, below the folder, and text) as a file of its own, by tasks; the folder is one
     that all executors can write to. A task that is run again writes the same files again. Returns their number."""
@@ -50,7 +71,8 @@ def write_texts(rows: DataFrame, folder: str) -> int:
                     out.write(text.encode())
             yield batch[["path"]]
 
-    return rows.select("path", "text").mapInPandas(write, "path string").count()
+    dealt = rows.select("path", "text").repartition(few_tasks(rows.sparkSession), "path")
+    return dealt.mapInPandas(write, "path string").count()
 
 
 def choose_root(spark: SparkSession, path: str) -> str:

@@ -20,6 +20,7 @@ from drillframe.functions import object_at
 from drillframe.operators.durable import stored
 from drillframe.operators.intervals import small_enough
 from drillframe.sources import logs_xml
+from drillframe.sources.files import few_tasks, listed_by
 
 #: What a head says; its data are cut off.
 SCHEMA = """indexType string, mnemonicList string,
@@ -28,11 +29,27 @@ SCHEMA = """indexType string, mnemonicList string,
 _LINE, _OPEN, _END = r"<data(?:\s[^<>]*)?>([^<]*)\z", r"<log(?=[\s>])", "</log>"
 
 
+#: Files of up to so many bytes (and no more than Spark reads in a task) are read whole, by few tasks; the others are split
+#: as text is.
+SMALL = 1 << 20
+
+
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     """Records in any order: path, at (their place in the file), line (null without one) and before (null for nothing but
-    blanks). Files are split as text is. Store them before they are read twice."""
-    text = spark.read.option("lineSep", "</data>").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(path)
-    placed = text.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+    blanks). Files above SMALL are split as text is. Store the records before they are read twice."""
+    tasks = few_tasks(spark)
+    limit = min(SMALL, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    with listed_by(spark, tasks):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path)
+    whole = files.where(F.col("length") <= limit).select(F.col("_metadata.file_path").alias("path"), "content").coalesce(tasks)
+    parts = F.split(F.regexp_replace(F.col("content").cast("string"), "\\A\ufeff", ""), "</data>")
+    placed = whole.select("path", F.posexplode(parts).alias("_row", "value"), F.size(parts).alias("_n")).where("_row < _n - 1 OR value <> ''")
+    placed = placed.select("path", F.struct(F.lit(0).cast("long").alias("block"), F.col("_row").cast("long").alias("row")).alias("at"), "value")
+    large = [r["path"] for r in files.where(F.col("length") > limit).select("path").coalesce(tasks).collect()]
+    if large:
+        text = spark.read.option("lineSep", "</data>").text(large)
+        split = text.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+        placed = placed.unionByName(split)
     found = placed.withColumn("_data", F.regexp_extract("value", _LINE, 0))
     before = F.expr("left(value, length(value) - length(_data))")
     line = F.when(F.col("_data") != "", _unescaped(F.trim(F.regexp_extract("_data", _LINE, 1))))
@@ -60,7 +77,10 @@ def scan_heads(records: DataFrame, sample: int = 5) -> DataFrame:
     whole = F.col("head").endswith(_END)
     ends = F.when(whole, "").when(F.col("head").rlike(r"<logData[\s>]"), f"</logData>{_END}").otherwise(_END)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true"}
-    rows = rows.select("path", F.struct("at", "nth").alias("start"), "closed", whole.alias("whole"), F.from_xml(F.concat("head", ends), F.lit(SCHEMA), options).alias("x"))
+    rows = rows.select("path", F.struct("at", "nth").alias("start"), "closed", whole.alias("whole"), F.concat("head", ends).alias("head"))
+    # Files of one object have the same head: each is parsed once. A parse costs as much as reading a file.
+    heads = rows.select("head").distinct().select(F.col("head").alias("_head"), F.from_xml("head", F.lit(SCHEMA), options).alias("x"))
+    rows = rows.join(heads, F.col("head") == F.col("_head"), "left").drop("head", "_head")
 
     owned = with_start(records, rows.select("path", "start")).where("start IS NOT NULL")
     # Data that hold another element, such as one cut short, make it malformed.

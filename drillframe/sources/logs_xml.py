@@ -153,7 +153,7 @@ def rows_in_window(rows: DataFrame, channels: dict[str, tuple[str, ...]], least_
     anew (tables.write_sorted does that for who wants one order over all)."""
     rows = rows.withColumn("cells", F.split("line", ","))
     place = lambda c: F.array_position("_columns", F.col("_chosen")[c]).cast("int") - 1
-    parsed = rows.select("log_obj", F.trim(F.get("cells", F.lit(0))).try_cast("timestamp").alias("ts"), *[F.when(place(c) >= 0, cell(F.col("cells"), place(c))).alias(c) for c in channels], F.col("well").alias("well_name"))
+    parsed = rows.select("log_obj", F.trim(F.get("cells", F.lit(0))).try_cast("timestamp").alias("ts"), *[cell(F.col("cells"), place(c)).alias(c) for c in channels], F.col("well").alias("well_name"))
     kept = keep(parsed.where(F.col("ts").isNotNull() & in_window("ts", FIRST_DAY, END_DAY) & ~is_month_start("ts")))
     enough = kept.groupBy("log_obj").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_rows)
     return kept.join(enough, "log_obj", "left_semi").sortWithinPartitions("log_obj", "ts").drop("log_obj")

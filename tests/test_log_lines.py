@@ -105,3 +105,21 @@ def test_no_range_exchange(spark, tmp_path):
     root = write(tmp_path, {"w/b/log/1/o/1/1.xml": wrapped(log(150))})
     plan = log_lines.parse_scan(log_lines.scan_logs(spark, root))._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "Sort [log_obj" in plan
+
+
+def test_many_small_files_take_few_tasks_and_are_read_as_large_ones_are(spark, tmp_path, monkeypatch):
+    from drillframe.sources import files, log_lines
+
+    body = "<logs><log><indexType>date time</indexType><logData>\n" + "".join(f"<data>2008-02-03 04:05:0{i}, {i} &lt;</data>\n" for i in range(3)) + "</logData></log></logs>"
+    for i in range(1200):
+        (tmp_path / f"{i}.xml").write_text(("\ufeff" if i % 2 else "") + body + ("\n" if i % 3 else ""))
+    asked = lambda: log_lines.scan_logs(spark, str(tmp_path))
+    assert asked().rdd.getNumPartitions() <= files.few_tasks(spark)
+    shaped = lambda df: sorted(map(str, df.select("path", "line", "before").collect()))
+    small, heads = shaped(asked()), log_lines.scan_heads(asked()).select("n_data", "error").distinct().collect()
+    assert [tuple(h) for h in heads] == [(3, None)]
+    for i in range(40, 1200):
+        (tmp_path / f"{i}.xml").unlink()
+    some = {f"/{i}.xml'" for i in range(40)}
+    monkeypatch.setattr(log_lines, "SMALL", 0)
+    assert shaped(asked()) == [r for r in small if any(name in r for name in some)]
