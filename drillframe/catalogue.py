@@ -1032,7 +1032,7 @@ def q_log_file_heads(spark, d):
 
     heads = log_lines.scan_heads(stored(log_lines.scan_logs(spark, log_files(spark, d))), 3)
     path = F.array_join(F.slice(F.split("path", "/"), -7, 7), "/").alias("path")
-    shaped = logs_xml.log_structure(heads).join(heads.select("path", "index_type", "listed", "data"), "path")
+    shaped = logs_xml.log_structure(heads, "index_type", "listed", "data")
     return shaped.select(path, "index_type", F.col("n_curves").cast("long").alias("n_curves"), F.array_join("listed", ",").alias("listed"), "n_data", F.array_join(F.transform("data", lambda x: F.split(x, ",")[0]), ";").alias("first_times"))
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zipfile
+from collections import deque
 from collections.abc import Iterator
-from contextlib import contextmanager
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillframe.functions import object_at
+from drillframe.operators.durable import stored
 
 #: Kinds of objects that a well bore folder may hold.
 OBJECT_TYPES = ("log", "trajectory", "mudLog", "message", "bhaRun")
@@ -40,19 +43,84 @@ def few_tasks(spark: SparkSession) -> int:
     return 4 * spark.sparkContext.defaultParallelism
 
 
-@contextmanager
-def listed_by(spark: SparkSession, tasks: int) -> Iterator[None]:
-    """Sources loaded within list folders by so many tasks, not by one for each folder."""
-    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(tasks))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+#: Folders that a task goes through below one that it is given; the others are dealt out anew.
+HELD = 1_000
+#: Rows that a task gives out at a time: entries of folders, and small files with their contents.
+ENTRIES, READ = 10_000, 64
+#: What Spark's URIs of files write as escapes.
+_ESCAPED = re.compile(r'[\x00-\x20"#%<>?\[\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]')
+
+
+def local_root(spark: SparkSession, path: str) -> str | None:
+    """The folder's path where it lies in the file system that all machines share under the same name; else None, as for
+    other file systems, single files and patterns, which Spark's own sources list."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    return where.getPath() if where.getScheme() == "file" and os.path.isdir(where.getPath()) else None
+
+
+def listed(spark: SparkSession, root: str, suffix: str = ".xml") -> DataFrame:
+    """path and length of all files below root (as local_root gives it), but for those that Spark's sources hide too, and
+    what lies in hidden folders.
+
+    Tasks list; the driver holds no path. A task goes through HELD folders below one that it is given, upper ones first;
+    what it finds beyond is dealt out anew over all tasks, until no folder is left.
+    """
+    most, at_once = HELD, ENTRIES
+
+    def hidden(name: str) -> bool:
+        return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for batch in batches:
+            for folder in batch["path"]:
+                left, gone = deque([folder]), 0
+                while left:
+                    gone += 1
+                    with os.scandir(left.popleft()) as entries:
+                        for e in entries:
+                            if hidden(e.name):
+                                continue
+                            if not e.is_dir():
+                                if e.name.endswith(suffix):
+                                    rows.append((e.path, e.stat().st_size))
+                            elif gone + len(left) < most:
+                                left.append(e.path)
+                            else:
+                                rows.append((e.path, -1))
+                            if len(rows) >= at_once:
+                                yield pd.DataFrame(rows, columns=["path", "length"])
+                                rows = []
+        yield pd.DataFrame(rows, columns=["path", "length"]).astype({"path": "object", "length": "int64"})
+
+    found, todo = [], spark.createDataFrame([(root,)], "path string")
+    while True:
+        # Stored, so that no folder is listed twice.
+        found.append(stored(todo.mapInPandas(below, "path string, length long")))
+        folders = found[-1].where("length < 0").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, found).where("length >= 0")
+        todo = folders.repartition(few_tasks(spark), "path")
+
+
+def contents(paths: DataFrame) -> DataFrame:
+    """path, as _metadata.file_path gives it, and content of small files of the file system that all machines share."""
+    at_once, odd = READ, _ESCAPED
+
+    def escaped(path: str) -> str:
+        return "file:" + odd.sub(lambda found: "".join(f"%{b:02X}" for b in found[0].encode()), path)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), at_once):
+                some, held = batch["path"].iloc[start : start + at_once], []
+                for path in some:
+                    with open(path, "rb") as f:
+                        held.append(f.read())
+                yield pd.DataFrame({"path": [escaped(path) for path in some], "content": held})
+
+    return paths.select("path").mapInPandas(read, "path string, content binary")
 
 
 def write_texts(rows: DataFrame, folder: str) -> int:

@@ -20,7 +20,7 @@ from drillframe.functions import object_at
 from drillframe.operators.durable import stored
 from drillframe.operators.intervals import small_enough
 from drillframe.sources import logs_xml
-from drillframe.sources.files import few_tasks, listed_by
+from drillframe.sources.files import contents, few_tasks, listed, local_root
 
 #: What a head says; its data are cut off.
 SCHEMA = """indexType string, mnemonicList string,
@@ -36,12 +36,17 @@ SMALL = 1 << 20
 
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     """Records in any order: path, at (their place in the file), line (null without one) and before (null for nothing but
-    blanks). Files above SMALL are split as text is. Store the records before they are read twice."""
+    blanks). Files above SMALL are split as text is. Tasks list folders (files.listed) where all machines share them as files;
+    elsewhere Spark's source does, on the driver. Store the records before they are read twice."""
     tasks = few_tasks(spark)
     limit = min(SMALL, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    with listed_by(spark, tasks):
+    root = local_root(spark, path)
+    if root is None:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path)
-    whole = files.where(F.col("length") <= limit).select(F.col("_metadata.file_path").alias("path"), "content").coalesce(tasks)
+        whole = files.where(F.col("length") <= limit).select(F.col("_metadata.file_path").alias("path"), "content").coalesce(tasks)
+    else:
+        files = listed(spark, root)
+        whole = contents(files.where(F.col("length") <= limit).repartition(tasks, "path"))
     parts = F.split(F.regexp_replace(F.col("content").cast("string"), "\\A\ufeff", ""), "</data>")
     placed = whole.select("path", F.posexplode(parts).alias("_row", "value"), F.size(parts).alias("_n")).where("_row < _n - 1 OR value <> ''")
     placed = placed.select("path", F.struct(F.lit(0).cast("long").alias("block"), F.col("_row").cast("long").alias("row")).alias("at"), "value")

@@ -96,10 +96,10 @@ def log_sample(logs: DataFrame, n: int = 5) -> DataFrame:
     return logs.select("path", "listed", F.slice("data", 1, n).alias("rows"))
 
 
-def log_structure(logs: DataFrame) -> DataFrame:
-    """What each file has."""
+def log_structure(logs: DataFrame, *more: str) -> DataFrame:
+    """What each file has, and `more` of its columns."""
     n_data = F.col("n_data") if "n_data" in logs.columns else F.coalesce(F.size("data"), F.lit(0))
-    return logs.select("path", F.coalesce(F.size("curves"), F.lit(0)).alias("n_curves"), n_data.alias("n_data"), F.col("listed").isNotNull().alias("has_list"), F.substring(F.get("data", F.lit(0)), 1, 120).alias("first_row"))
+    return logs.select("path", F.coalesce(F.size("curves"), F.lit(0)).alias("n_curves"), n_data.alias("n_data"), F.col("listed").isNotNull().alias("has_list"), F.substring(F.get("data", F.lit(0)), 1, 120).alias("first_row"), *more)
 
 
 def resolve_channels(mnemonics: Column, channels: dict[str, tuple[str, ...]] = CHANNELS) -> dict[str, Column]:

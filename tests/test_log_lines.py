@@ -123,3 +123,34 @@ def test_many_small_files_take_few_tasks_and_are_read_as_large_ones_are(spark, t
     some = {f"/{i}.xml'" for i in range(40)}
     monkeypatch.setattr(log_lines, "SMALL", 0)
     assert shaped(asked()) == [r for r in small if any(name in r for name in some)]
+
+
+def test_tasks_list_folders_and_give_what_the_driver_would(spark, tmp_path, monkeypatch):
+    """The driver knew every file, once for the listing and again for each plan: its work grew with their number."""
+    from drillframe.sources import files
+
+    monkeypatch.setattr(files, "HELD", 3)
+    names = [f"w{i % 2}/b/log/1/o {i % 3}%/{i}/1 é[{i}].xml" for i in range(12)]
+    root = write(tmp_path, dict.fromkeys([*names, "w/.x/1.xml", "w/_x/1.xml", "w/_k=1/1.xml", "w/1.txt", "w/_1.xml", "top.xml"], wrapped(log(4))))
+    found, rows = files.listed(spark, root), lambda df: sorted(map(str, df.collect()))
+    assert {r.path: r.length for r in found.collect()} == {f"{root}/{n}": os.path.getsize(f"{root}/{n}") for n in [*names, "w/_k=1/1.xml", "top.xml"]}
+    records = log_lines.scan_logs(spark, root)
+    assert not [f for f in records.inputFiles() if f.endswith(".xml")]
+    monkeypatch.setattr(log_lines, "local_root", lambda spark, path: None)
+    other = log_lines.scan_logs(spark, root)
+    assert len([f for f in other.inputFiles() if f.endswith(".xml")]) == len(names) + 2 and rows(records) == rows(other)
+
+
+def test_an_empty_folder_and_a_pattern(spark, tmp_path):
+    from drillframe.sources import files
+
+    root = write(tmp_path, {"w/b/log/1/o/1/1.xml": wrapped(log(150)), "x/b/log/1/o/1/1.xml": wrapped(log(130))})
+    os.makedirs(f"{root}/none")
+    assert log_lines.scan_logs(spark, f"{root}/none").count() == 0 and files.local_root(spark, f"file:{root}/w") == f"{root}/w"
+    assert log_lines.parse_scan(log_lines.scan_logs(spark, f"{root}/*")).count() == 280
+
+
+def test_structure_with_other_columns_reads_heads_once(spark, tmp_path):
+    root = write(tmp_path, {"w/b/log/1/o/1/1.xml": wrapped(log(150))})
+    made = logs_xml.log_structure(log_lines.scan_heads(log_lines.scan_logs(spark, root), 2), "index_type", "data").first()
+    assert (made.n_curves, made.n_data, made.index_type, len(made.data)) == (4, 150, "date time", 2)
