@@ -381,8 +381,8 @@ _MATRIX = f"""WITH {_LABELLED}, p AS (SELECT *, {_sum_sql('spm1', 'spm2', 'spm3'
 
 
 def prepared(spark, d):
-    train, test = features.split_by_key(series(spark, d).where("rop IS NOT NULL").drop("user_id"), HELD_OUT)
-    return features.prepared(train, test, tops(spark, d), block=day(), keep=stored)
+    rows = series(spark, d).where("rop IS NOT NULL AND well_name IS NOT NULL").drop("user_id")
+    return features.prepared_rows(rows.withColumn("_test", F.col("well_name").isin(*HELD_OUT)), tops(spark, d), block=day(), keep=stored)
 
 
 def matrices(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def small_enough(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     return plan is not None and int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
 
 
-def _sized(df: DataFrame) -> DataFrame:
+def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small_enough(df) else df
 
 
@@ -31,7 +33,7 @@ def interval_label(df: DataFrame, intervals: DataFrame, key: str, value: str, st
     """
     right = intervals.select(F.col(key).alias("_key"), F.col(start).alias("_from"), F.col(end).alias("_to"), *labels)
     on = (df[key] == F.col("_key")) & (df[value] >= F.col("_from")) & (df[value] < F.col("_to"))
-    out = df.join(_sized(right), on, "left").drop("_key", "_from", "_to")
+    out = df.join(sized(right), on, "left").drop("_key", "_from", "_to")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in labels.items()})
 
 
@@ -80,9 +82,10 @@ def _cell(value: str, width: float):
     return F.when(cell > most, most).when(cell < -most, -most).otherwise(cell)
 
 
-def scaled(df: DataFrame, key: str, depth: str, out: str) -> DataFrame:
-    """depth in metres as `out`: a key whose highest depth can't be metres is taken to be in feet."""
+def scaled(df: DataFrame, key: str, depth: str, out: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """depth in metres as `out`: a key whose highest depth can't be metres is taken to be in feet. `keep` may store the
+    keys' scales: their size is then known, and where it is small no rows are dealt out by key, of which one may hold most."""
     from drillframe.functions import scale_of
 
-    scales = df.groupBy(key).agg(F.max(depth).alias("_highest")).select(F.col(key), scale_of("_highest").alias("_scale"))
-    return df.join(scales, key, "left").withColumn(out, F.col(depth) * F.col("_scale")).drop("_scale")
+    scales = keep(df.groupBy(key).agg(F.max(depth).alias("_highest")).select(F.col(key), scale_of("_highest").alias("_scale")))
+    return df.join(sized(scales), key, "left").withColumn(out, F.col(depth) * F.col("_scale")).drop("_scale")

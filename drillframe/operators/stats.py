@@ -15,6 +15,8 @@ from .durable import stored
 
 #: Accuracy of approximate percentiles: exact up to a few hundred thousand distinct values, within 1 in 1e6 beyond.
 ACCURACY = 1_000_000
+#: Accuracy of percentiles that only fence a value in.
+COARSE = 10_000
 
 
 def percentile(column: Column | str, share: float | Sequence[float]) -> Column:
@@ -22,15 +24,51 @@ def percentile(column: Column | str, share: float | Sequence[float]) -> Column:
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(*[percentile(c, 0.5).alias(c) for c in columns])
+    return discrete_quantiles(df, columns, [0.5]).select(*[F.col(c)[0].alias(c) for c in columns])
 
 
 def bounds(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """{c}_lo and {c}_hi."""
-    found = df.agg(*[percentile(c, [low, high]).alias(c) for c in columns])
+    found = discrete_quantiles(df, columns, [low, high])
     return found.select(*[F.col(c)[i].alias(f"{c}_{end}") for c in columns for i, end in enumerate(("lo", "hi"))])
 
 
+def discrete_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """One row: for each column the exact values at its shares, each a value of the column; null without values. Nulls
+    don't count; NaN is the largest value.
+
+    Coarse percentiles, whose sketches stay small however many rows there are and so are merged at once, fence each
+    value in; those below the fence are counted, and the few within are ranked, equal ones as one. df is read three times.
+    """
+    slack = 4 / COARSE
+    sides = [min(1.0, max(0.0, p + side)) for side in (-slack, slack) for p in shares]
+    values = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    # Sketches put no NaN in its place: to fences it is infinite, and an infinite fence lets it in.
+    number = lambda i: F.when(F.isnan(f"_v{i}"), float("inf")).otherwise(F.col(f"_v{i}"))
+    fences = values.agg(*[f for i in range(len(columns)) for f in (F.count(f"_v{i}").alias(f"_n{i}"), F.percentile_approx(number(i), sides, COARSE).alias(f"_f{i}"))])
+
+    fenced, each = values.join(F.broadcast(fences)), [(i, k) for i in range(len(columns)) for k in range(len(shares))]
+    fence = {(i, k): (F.col(f"_f{i}")[k], F.col(f"_f{i}")[len(shares) + k]) for i, k in each}
+    before = fenced.agg(*[F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))], *[F.count_if(F.col(f"_v{i}") < fence[i, k][0]).alias(f"_b{i}_{k}") for i, k in each])
+
+    def rank(i: int, k: int) -> Column:
+        n = F.col(f"_n{i}")
+        return F.greatest(F.lit(1), n - F.floor(n - n * F.lit(float(shares[k])))).cast("long")
+
+    asked = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), F.when(F.col(f"_n{i}") > 0, rank(i, k)).alias("rank"), F.col(f"_b{i}_{k}").alias("before")) for i, k in each])
+    asked = before.select(F.explode(asked).alias("x")).select("x.*").where("rank IS NOT NULL")
+    within = lambda v, low, high: (v >= low) & ((v <= high) | (high == float("inf")))
+    inside = F.array(*[F.when(within(F.col(f"_v{i}"), *fence[i, k]), F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), F.col(f"_v{i}").alias("v"))) for i, k in each])
+    counted = fenced.select(F.explode(F.array_compact(inside)).alias("x")).groupBy("x.c", "x.k", "x.v").agg(F.count("*").alias("m"))
+    ranked = counted.withColumn("upto", F.sum("m").over(Window.partitionBy("c", "k").orderBy("v")))
+    first = F.min(F.when(F.col("before") + F.col("upto") >= F.col("rank"), F.col("v")))
+    missed = F.raise_error(F.lit("a quantile lies outside its fence")).cast("double")
+    found = asked.join(ranked, ["c", "k"], "left").groupBy("c", "k", "rank", "before").agg(F.when((F.col("before") < F.col("rank")) & first.isNotNull(), first).otherwise(missed).alias("q"))
+    at = lambda i, k: F.max(F.when((F.col("c") == i) & (F.col("k") == k), F.col("q")))
+    kinds = dict(df.dtypes)
+    return found.agg(*[F.array(*[at(i, k).cast(kinds[c]) for k in range(len(shares))]).alias(c) for i, c in enumerate(columns)])
+
+
 def fill_with(df: DataFrame, row: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls replaced by the one row's values."""
     row = row.select(*[F.col(c).alias(f"_fill_{c}") for c in columns])

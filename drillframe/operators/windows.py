@@ -18,7 +18,7 @@ on n. Subtracting sums may lose what direct sums keep, so that
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,8 +60,10 @@ def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], context:
     return df.withColumns({"_chunk": F.col("_share.c"), "_own": F.col("_share.o")}).drop("_share"), [*keys, "_chunk"], size + context
 
 
-def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], block: Column | None = None) -> DataFrame:
-    """The last value that isn't null, up to the row itself; values never pass from key to key."""
+def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], block: Column | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The last value that isn't null, up to the row itself; values never pass from key to key. `keep` may store the last
+    values of the blocks: their size is then known, and where it is small they are sent to all tasks instead of dealing
+    all rows out once more."""
     if block is None:
         upto = _by(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in columns})
@@ -71,7 +73,9 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(*keys, "_block", *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in columns])
     upto = _by([*keys, "_block"], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = _joined(df, carried, [*keys, "_block"])
+    from drillframe.operators.intervals import sized
+
+    out = _joined(df, sized(keep(carried)), [*keys, "_block"])
     return out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_carry_{c}")) for c in columns}).select(*[c for c in df.columns if c != "_block"])
 
 

@@ -39,10 +39,11 @@ def with_pumps(df: DataFrame) -> DataFrame:
     return df.withColumn("spm_total", sum_as_zero(*PUMPS)).drop(*PUMPS)
 
 
-def with_formation(df: DataFrame, tops: DataFrame) -> DataFrame:
-    """formation_id and formation by depth in metres; 0 and Unknown above all tops."""
-    deep = intervals.scaled(df, "well_name", "dmea", "dmea_m")
-    out = intervals.interval_label(deep, tops, "well_name", "dmea_m", "md_from_m", "md_to_m", {"formation": "Unknown", "formation_id": 0})
+def with_formation(df: DataFrame, tops: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """formation_id and formation by depth in metres; 0 and Unknown above all tops. `keep` may store the scales and tops,
+    so that their size is known to the joins."""
+    deep = intervals.scaled(df, "well_name", "dmea", "dmea_m", keep)
+    out = intervals.interval_label(deep, keep(tops), "well_name", "dmea_m", "md_from_m", "md_to_m", {"formation": "Unknown", "formation_id": 0})
     return out.drop("dmea_m")
 
 
@@ -59,7 +60,7 @@ def window_features(df: DataFrame, block: Column | None = None) -> DataFrame:
 def feature_matrices(train: DataFrame, test: DataFrame, tops: DataFrame, exclude: Sequence[str] = (), block: Column | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Features of both parts; medians and bounds are those of the training part, taken after the forward fill.
 
-    The filled rows are read three times: for medians, for bounds and for the features. `keep` may store them in
+    The filled rows are read thrice for medians, thrice for bounds and for the features. `keep` may store them in
     between (operators.durable.stored), so that the joins and the fill run once.
     """
     made = prepared(train, test, tops, exclude, block, keep)
@@ -68,12 +69,16 @@ def feature_matrices(train: DataFrame, test: DataFrame, tops: DataFrame, exclude
 
 def prepared(train: DataFrame, test: DataFrame, tops: DataFrame, exclude: Sequence[str] = (), block: Column | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """What feature_part takes: both parts filled and clipped, told apart by _test."""
-    both = with_pumps(train.withColumn("_test", F.lit(False)).unionByName(test.withColumn("_test", F.lit(True))))
-    both = with_formation(both, tops).drop("formation", *exclude)
-    filled = keep(windows.forward_fill(both, ["well_name"], ["ts"], BASE, block))
+    return prepared_rows(train.withColumn("_test", F.lit(False)).unionByName(test.withColumn("_test", F.lit(True))), tops, exclude, block, keep)
+
+
+def prepared_rows(rows: DataFrame, tops: DataFrame, exclude: Sequence[str] = (), block: Column | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The same for parts that come out of one table, told apart by _test: it is read once, not once a part."""
+    both = with_formation(with_pumps(rows), tops, keep).drop("formation", *exclude)
+    filled = keep(windows.forward_fill(both, ["well_name"], ["ts"], BASE, block, keep))
     own = filled.where(~F.col("_test"))
-    medians = stats.medians(own, BASE)
-    bounds = stats.bounds(stats.fill_with(own, medians, BASE), BASE)
+    medians = keep(stats.medians(own, BASE))
+    bounds = keep(stats.bounds(stats.fill_with(own, medians, BASE), BASE))
     return stats.clip(stats.fill_with(filled, medians, BASE), bounds, BASE)
 
 

@@ -395,3 +395,29 @@ def test_steps_of_a_stage_are_deleted_and_its_rows_stay(spark):
     durable.discard(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
     assert durable.mark(spark) == start and result.count() == 4 and spark.read.parquet("/root/testdata/sf0.001/region.parquet").count() == 5
     assert not os.path.exists(before.inputFiles()[0].removeprefix("file://"))
+
+
+def test_medians_and_bounds_are_exact_with_small_sketches(spark, monkeypatch):
+    """Sketches nearly as large as the rows were merged by one task, and missed by ranks beyond a million rows."""
+    monkeypatch.setattr(stats, "COARSE", 20)
+    rows = [(float((i * 7919) % 10_007), i % 3, None if i % 4 else float(i), float("nan") if i % 2 else float(i), None) for i in range(10_007)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double, e double").repartition(7)
+    columns = ["a", "b", "c", "d", "e"]
+    got, shares = stats.discrete_quantiles(df, columns, [0.0, 0.01, 0.5, 0.99, 1.0]).first(), [0.0, 0.01, 0.5, 0.99, 1.0]
+    for i, c in enumerate(columns[:3]):
+        held = sorted(r[i] for r in rows if r[i] is not None)
+        assert got[c] == [held[max(1, len(held) - int(len(held) - len(held) * p)) - 1] for p in shares], c
+    assert got.d[:3] == [0.0, 200.0, 10_006.0] and all(x != x for x in got.d[3:]) and got.e == [None] * 5 and isinstance(got.b[0], int)
+    assert stats.medians(df.where("a < 0"), columns).first() == (None,) * 5 and stats.bounds(df, ["a"]).first() == (100.0, 9906.0)
+    plan = stats.medians(df, columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert str(stats.ACCURACY) not in plan
+
+
+def test_stored_blocks_spare_forward_fill_a_shuffle(spark):
+    from drillframe.operators.durable import stored
+
+    df = spark.range(1000).selectExpr("'k' AS k", "id AS t", "if(id % 5 = 0, id, null) AS v")
+    fill = lambda **kw: windows.forward_fill(df, ["k"], ["t"], ["v"], F.floor(F.col("t") / 100), **kw)
+    made = fill(keep=stored)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(made.collect()) == sorted(fill().collect()) == [("k", i, i // 5 * 5) for i in range(1000)]
