@@ -1,25 +1,30 @@
 """Ordered operators on streams: forward fill, lags and row numbers by key, in the order of time.
 
 A row comes out once the watermark has passed its time, as no earlier one can come then: results are those of the batch
-operators, row by row. A key's state holds the rows that the watermark hasn't passed, which leave it when it does, and
-what the next row needs: the last values, the last few rows and the number of rows so far.
+operators, row by row. The rows that the watermark hasn't passed are kept as sorted pieces, which are merged when it does;
+besides them a key's state is what the next row needs: the last values, the last few rows and the number of rows so far.
+Pieces are read one by one, so that a task's memory has a bound however many rows of a key are open.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from drillframe.operators import windows
 
-
 #: Rows that are given out together.
 EMITTED = 50_000
+#: Rows of a key that are sorted together when they come, a run, and rows of it that are stored together, a piece. Of
+#: wide rows there are fewer: a run has about RUN_BYTES, a piece RUN_BYTES / MERGED.
+RUN, PIECE, RUN_BYTES = 200_000, 4_000, 64 << 20
+#: Runs that are merged at once; of each, one piece is in memory.
+MERGED = 64
 
 
 def _packed(frame: pd.DataFrame) -> bytes:
@@ -30,61 +35,170 @@ def _packed(frame: pd.DataFrame) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_all().to_pandas()
+def _unpacked(data: bytes | None) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_all().to_pandas() if data else pd.DataFrame()
+
+
+def _size(frame: pd.DataFrame) -> int:
+    return int(frame.memory_usage(index=False, deep=True).sum())
+
+
+def _joined(frames: Sequence[pd.DataFrame]) -> pd.DataFrame:
+    some = [x for x in frames if len(x)]
+    return pd.concat(some, ignore_index=True) if some else pd.DataFrame()
+
+
+class _Ordered(StatefulProcessor):
+    """A key's rows in order. columns: of the rows that come; kept: those of the state; order: what sorts them."""
+
+    def __init__(self, key: str, columns: Sequence[str], kept: Sequence[str], order: Sequence[str], fill: Sequence[str], lags: dict[str, tuple[str, int]], number: str | None):
+        self.by, self.columns, self.kept, self.order, self.fill, self.lags, self.number = key, list(columns), list(kept), list(order), fill, lags, number
+        self.back = max((n for _, n in lags.values()), default=0)
+        self.emitted, self.run, self.piece, self.run_bytes, self.merged = EMITTED, RUN, PIECE, RUN_BYTES, MERGED
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getMapState("pieces", "id long", "rows binary")
+        # passed: the watermark up to which rows are out; next: the next piece's and run's number; open: the first row of each piece.
+        self.state = handle.getValueState("state", "count long, passed long, next long, timer long, open binary, tail binary, last binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._load()
+        waiting, n, size = [], 0, 0
+        for frame in rows:
+            frame.columns = self.columns
+            frame = frame.loc[frame["_us"] > self.passed, self.kept] if self.passed is not None else frame[self.kept]
+            waiting, n, size = [*waiting, frame], n + len(frame), size + _size(frame)
+            if n >= self.run or size >= self.run_bytes:
+                self._keep(waiting)
+                waiting, n, size = [], 0, 0
+        if n:
+            self._keep(waiting)
+        del waiting
+        yield from self._give_out(key, timerValues.getCurrentWatermarkInMs())
+        self._save()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._load()
+        self.timer = None  # Spark deletes it
+        yield from self._give_out(key, timerValues.getCurrentWatermarkInMs())
+        self._save()
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> None:
+        known = self.state.get() if self.state.exists() else (0, None, 0, None, None, None, None)
+        self.count, self.passed, self.next, self.timer = known[:4]
+        self.open, self.tail, carried = map(_unpacked, known[4:])
+        self.last = {c: carried[c].iloc[0] for c in carried.columns}
+
+    def _save(self) -> None:
+        """Stores what the next call needs, and has Spark call once the first open row can come out."""
+        timer = -(-int(self.open["_us"].min()) // 1000) if len(self.open) else None
+        if timer != self.timer:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        frames = self.open, self.tail, pd.DataFrame([self.last]) if self.last else pd.DataFrame()
+        self.state.update((self.count, self.passed, self.next, timer, *[_packed(x) if len(x) else None for x in frames]))
+
+    def _keep(self, frames: Sequence[pd.DataFrame]) -> None:
+        """Rows as they come become a run."""
+        self.open = _joined([self.open, self._stored([self._parted(frames)[0]])])
+
+    def _parted(self, frames: Sequence[pd.DataFrame], first: pd.DataFrame | None = None) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """Rows in order: those that are not behind `first`, and those that are."""
+        rows = pd.concat(frames, ignore_index=True)
+        # Columns of the order alone are sorted, and rows then taken once.
+        by = rows[self.order] if first is None else pd.concat([rows[self.order], first[self.order]], ignore_index=True)
+        at = by.sort_values(self.order, kind="stable").index.to_numpy()
+        cut = len(rows) if first is None else int((at == len(rows)).argmax())
+        return rows.iloc[at[:cut]], rows.iloc[at[cut + 1 :]]
+
+    def _stored(self, ordered: Iterable[pd.DataFrame]) -> pd.DataFrame:
+        """Stores rows that come in order as a run, and returns the first row of each piece."""
+        run, firsts = self.next, []
+        for rows in ordered:
+            n = max(1, min(self.piece, self.run_bytes // self.merged * len(rows) // max(1, _size(rows))))
+            first = rows[self.order].iloc[::n]
+            firsts.append(first.assign(_run=run, _id=range(self.next, self.next + len(first))))
+            for k in range(len(first)):
+                self.pieces.updateValue((self.next + k,), (_packed(rows.iloc[k * n : (k + 1) * n]),))
+            self.next += len(first)
+        return _joined(firsts)
+
+    def _taken(self, firsts: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """All rows of these pieces in order; pieces leave the state. Rows can go once they are not behind the first row
+        of any piece that isn't read yet: at most one piece of each run stays."""
+        firsts = firsts.sort_values(self.order, kind="stable")
+        rest, k = [], 0
+        while k < len(firsts):
+            n = 0
+            while k < len(firsts) and n < self.emitted and len(rest) < 2 * self.merged:
+                number = (int(firsts["_id"].iloc[k]),)
+                rest.append(_unpacked(self.pieces.getValue(number)[0]))
+                self.pieces.removeKey(number)
+                n, k = n + len(rest[-1]), k + 1
+            rows, behind = self._parted(rest, firsts.iloc[[k]] if k < len(firsts) else None)
+            rest = [behind] if len(behind) else []
+            yield rows
+
+    def _give_out(self, key: tuple, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        us = watermark_ms * 1000
+        self.passed = us if self.passed is None else max(us, self.passed)
+        if not len(self.open):
+            return
+        is_ready = self.open["_us"] <= us
+        ready, self.open = self.open[is_ready], self.open[~is_ready]
+        while len(runs := ready["_run"].unique()) > self.merged:
+            ready = _joined([self._stored(self._taken(ready[ready["_run"].isin(runs[k : k + self.merged])])) for k in range(0, len(runs), self.merged)])
+        later = []  # of pieces that begin before the watermark
+        for rows in self._taken(ready):
+            n = int((rows["_us"] <= us).sum())
+            later += [rows.iloc[n:]] if n < len(rows) else []
+            for k in range(0, n, self.emitted):
+                yield self._emit(rows.iloc[k : min(k + self.emitted, n)]).assign(**{self.by: key[0]})
+        self.open = _joined([self.open, self._stored(later)])
+
+    def _emit(self, ready: pd.DataFrame) -> pd.DataFrame:
+        """Ready rows in order, with what the rows before them leave behind."""
+        whole = pd.concat([self.tail, ready], ignore_index=True) if len(self.tail) else ready.reset_index(drop=True)
+        out = ready.reset_index(drop=True).copy()
+        for name, (c, n) in self.lags.items():
+            # As objects: whole numbers with a gap among them would become floats.
+            out[name] = pd.Series([None] * n + whole[c].tolist(), dtype=object).iloc[len(self.tail) : len(whole)].to_numpy()
+        for c in self.fill:
+            filled = out[c].ffill()
+            out[c] = filled.where(filled.notna(), self.last[c]) if self.last.get(c) is not None else filled
+            if len(out) and pd.notna(out[c].iloc[-1]):
+                self.last[c] = out[c].iloc[-1]
+        if self.number:
+            out[self.number] = range(self.count + 1, self.count + 1 + len(out))
+        self.count, self.tail = self.count + len(out), whole.tail(self.back)
+        return out
 
 
 def ordered_stream(rows: DataFrame, key: str, ts: str, fill: Sequence[str] = (), lags: dict[str, tuple[str, int]] | None = None, number: str | None = None, ties: Sequence[str] = (), late: str = "2 minutes") -> DataFrame:
     """rows with the columns of `fill` carried forward, lags (name -> (column, n)) and the row's number by key, for rows
     that come up to `late` out of order. Equal times go by `ties`. A null key or time is left out, as a watermark can't
-    pass it. Whole numbers of columns that hold nulls are exact up to 2^53,
-    and NaN counts as null."""
+    pass it, and so is a row that comes when its key's rows up to a later watermark are out. Whole numbers of columns that
+    hold nulls are exact up to 2^53, and NaN counts as null. Sets the session's state store to RocksDB, which state in
+    pieces needs."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     lags = lags or {}
     known = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
-    extra = [f"{name} {known.schema[c].dataType.simpleString()}" for name, (c, _) in lags.items()] + ([f"{number} long"] if number else [])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema] + extra)
-    order, back = ["_us", *ties], max((n for _, n in lags.values()), default=0)
-    names = known.columns
-    known = known.withColumn("_us", F.unix_micros(ts))  # times as pandas has them depend on the session's zone
-
-    def emit(ready: pd.DataFrame, last: dict, tail: pd.DataFrame, count: int) -> tuple[pd.DataFrame, dict, pd.DataFrame]:
-        """Ready rows in order, with what the rows before them leave behind."""
-        raw = ready[names]
-        whole = pd.concat([tail, raw], ignore_index=True) if len(tail) else raw.reset_index(drop=True)
-        out = raw.reset_index(drop=True).copy()
-        for name, (c, n) in lags.items():
-            # As objects: whole numbers with a gap among them would become floats.
-            out[name] = pd.Series([None] * n + whole[c].tolist(), dtype=object).iloc[len(tail) : len(whole)].to_numpy()
-        for c in fill:
-            filled = out[c].ffill()
-            out[c] = filled.where(filled.notna(), last[c]) if last.get(c) is not None else filled
-            if len(out) and pd.notna(out[c].iloc[-1]):
-                last[c] = out[c].iloc[-1]
-        if number:
-            out[number] = range(count + 1, count + 1 + len(out))
-        return out, last, whole.tail(back)
-
-    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, *packed = state.get if state.exists else (0, None, None, None)
-        held, tail, carried = (_unpacked(bytes(x)) if x else pd.DataFrame() for x in packed)
-        last = {c: carried[c].iloc[0] for c in carried.columns}
-        waiting = [x for x in [held, *batches] if len(x)]
-        here = pd.concat(waiting, ignore_index=True) if waiting else pd.DataFrame(columns=[*names, "_us"])
-        del held, waiting
-        is_ready = here["_us"].astype("int64") <= state.getCurrentWatermarkMs() * 1000
-        # Columns of the order alone are sorted; rows follow some at a time, so that no copy of all is made.
-        at = here.loc[is_ready, order].sort_values(order, kind="stable").index
-        for k in range(0, len(at), EMITTED):
-            out, last, tail = emit(here.loc[at[k : k + EMITTED]], last, tail, count)
-            count += len(out)
-            yield out
-        rest = here[~is_ready] if len(at) else here
-        del here
-        state.update((count, *[_packed(x) if len(x) else None for x in (rest, tail, pd.DataFrame([last]) if last else pd.DataFrame())]))
-        if len(rest):
-            state.setTimeoutTimestamp(max(int(rest["_us"].min()) // 1000, state.getCurrentWatermarkMs()) + 1)
-
-    return known.groupBy(key).applyInPandasWithState(step, schema, "count long, open binary, tail binary, last binary", "append", GroupStateTimeout.EventTimeTimeout)
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema}
+    # Times go as whole numbers, as those of pandas depend on the session's zone.
+    asked = {c for c, _ in lags.values()}
+    kept = [c for c in known.columns if c not in (key, ts) or c in asked] + ["_us"]
+    sent = known.withColumn("_us", F.unix_micros(ts)).select(key, *[c for c in kept if c != key])
+    extra = {name: kinds[c] for name, (c, _) in lags.items()} | ({number: "long"} if number else {})
+    made = {c: kinds.get(c, "long") for c in [key, *kept]} | extra
+    processor = _Ordered(key, sent.columns, kept, ["_us", *ties], [c for c in fill if c not in (key, ts)], lags, number)
+    out = sent.groupBy(key).transformWithStateInPandas(processor, ", ".join(f"`{c}` {k}" for c, k in made.items()), "append", "eventTime")
+    return out.withColumn(ts, F.timestamp_micros("_us").cast(kinds[ts])).select(*known.columns, *extra)
 
 
 def with_open_rows(emitted: DataFrame, rows: DataFrame, key: str, ts: str, row_id: str, fill: Sequence[str] = (), lags: dict[str, tuple[str, int]] | None = None, number: str | None = None, ties: Sequence[str] = ()) -> DataFrame:

@@ -91,3 +91,92 @@ def test_rows_are_given_out_some_at_a_time_and_only_asked_columns_are_state(spar
     monkeypatch.setattr(streaming, "ordered_stream", lambda df, *a, **k: seen.append(df.columns) or made(df, *a, **k))
     catalogue.QUERIES["q_lags_stream"](spark, sf)
     assert seen == [["event_id", "ts", "well_name", "wob", "rpm"]]
+
+
+class Held:
+    """State of one key, in memory, as the processor of ordered_stream asks for it."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers, self.most = {}, None, set(), 0
+
+    getMapState = getValueState = lambda self, *_: self
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    registerTimer = lambda self, ms: self.timers.add(ms)
+    deleteTimer = lambda self, ms: self.timers.remove(ms)
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def getValue(self, key):
+        return self.rows[key]
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+@pytest.mark.parametrize("ties", [["id"], []])
+def test_open_rows_are_read_in_pieces(monkeypatch, ties):
+    import pandas as pd
+
+    from drillframe.streaming import ordered
+
+    for name, n in (("EMITTED", 20), ("RUN", 40), ("PIECE", 5), ("MERGED", 3)):
+        monkeypatch.setattr(ordered, name, n)
+    held, most, parted = Held(), [], ordered._Ordered._parted
+    monkeypatch.setattr(ordered._Ordered, "_parted", lambda self, frames, *a: most.append(sum(map(len, frames))) or parted(self, frames, *a))
+    made = ordered._Ordered("k", ["k", "id", "v", "x"], ["id", "v", "_us"], ["_us", *ties], ["v"], {"id_lag2": ("id", 2)}, "rn")
+    made.columns[-1] = "_us"
+    rng = random.Random(3)
+    # Times from a few, so that many are equal; far more runs than are merged at once, in no order.
+    rows = [("a", i, rng.choice([None, float(i)]), rng.randrange(1, 50) * 1_000_000) for i in range(1000)]
+    rng.shuffle(rows)
+    out = []
+    for part, watermark in ((rows[:700], 0), ([], 20_000), ([r for r in rows[700:] if r[3] > 20_000_000], 20_000), ([], 30_500), ([], 60_000)):
+        made = ordered._Ordered(made.by, made.columns, made.kept, made.order, made.fill, made.lags, made.number)
+        made.init(held)
+        if part:
+            given = made.handleInputRows(("a",), (pd.DataFrame(part[k : k + 15]) for k in range(0, len(part), 15)), Now(watermark))
+        else:
+            held.timers.remove(min(held.timers))
+            given = made.handleExpiredTimer(("a",), Now(watermark), None)
+        out += [r for frame in given for r in frame.to_dict("records")]
+        assert all(r["_us"] <= watermark * 1000 for r in out) and (not held.timers or min(held.timers) > watermark)
+    want = sorted(rows[:700] + [r for r in rows[700:] if r[3] > 20_000_000], key=lambda r: (r[3], r[1] if ties else 0))
+    assert [r["_us"] for r in out] == [r[3] for r in want] and [r["rn"] for r in out] == list(range(1, len(want) + 1))
+    assert sorted(r["id"] for r in out) == sorted(r[1] for r in want) and not held.rows and not held.timers
+    if ties:
+        assert [r["id"] for r in out] == [r[1] for r in want] and [r["id_lag2"] for r in out[2:]] == [r[1] for r in want[:-2]]
+        last, filled = None, []
+        for r in want:
+            last = last if r[2] is None else r[2]
+            filled.append(last)
+        assert [None if pd.isna(r["v"]) else r["v"] for r in out] == filled
+    # What is sorted at once has a bound: a run and a frame, or a piece of each run and what is given out together.
+    assert max(most) <= 55, max(most)
+
+
+def test_state_is_pieces_of_wide_rows(spark, tmp_path, monkeypatch):
+    from drillframe.streaming import ordered
+
+    for name, n in (("EMITTED", 30), ("RUN", 50), ("RUN_BYTES", 4_000), ("MERGED", 2)):
+        monkeypatch.setattr(ordered, name, n)
+    rows = made_rows(300)
+    random.Random(4).shuffle(rows)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in0")
+    emitted = run(spark, tmp_path)
+    want = {tuple(r) for r in batch(spark.createDataFrame(rows, SCHEMA)).select(*emitted.columns).collect()}
+    got = [tuple(r) for r in emitted.collect()]
+    assert len(set(got)) == len(got) > 280 and set(got) <= want
+    read = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "pieces")
+    first = read.option("batchId", 0).load().select(F.col("key.k"), F.length("user_map_value.rows").alias("n")).collect()
+    assert len(first) >= 10 and max(r.n for r in first) < 4_000
+    assert 0 < read.load().count() < 20
