@@ -8,16 +8,21 @@ Pieces are read one by one, so that a task's memory has a bound however many row
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from drillframe.operators import windows
 
+# Spark plans this state in a Python process beside the driver, which doesn't get the files that executors do.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows that are given out together.
 EMITTED = 50_000
 #: Rows of a key that are sorted together when they come, a run, and rows of it that are stored together, a piece. Of
@@ -187,18 +192,18 @@ def ordered_stream(rows: DataFrame, key: str, ts: str, fill: Sequence[str] = (),
     hold nulls are exact up to 2^53, and NaN counts as null. Sets the session's state store to RocksDB, which state in
     pieces needs."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    lags = lags or {}
     known = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
-    kinds = {f.name: f.dataType.simpleString() for f in known.schema}
-    # Times go as whole numbers, as those of pandas depend on the session's zone.
-    asked = {c for c, _ in lags.values()}
-    kept = [c for c in known.columns if c not in (key, ts) or c in asked] + ["_us"]
-    sent = known.withColumn("_us", F.unix_micros(ts)).select(key, *[c for c in kept if c != key])
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema} | {"_us": "long"}
+    # Times go as whole numbers, as those of pandas depend on the session's zone; not every name can be that of a state's key.
+    times = [ts, *[name for name, (c, _) in (lags or {}).items() if c == ts]]
+    lags = {name: ("_us" if c == ts else c, n) for name, (c, n) in (lags or {}).items()}
+    kept = [c for c in known.columns if c != ts and (c != key or c in {c for c, _ in lags.values()})] + ["_us"]
+    sent = known.withColumn("_us", F.unix_micros(ts)).select(F.col(key).alias("_key"), *kept)
     extra = {name: kinds[c] for name, (c, _) in lags.items()} | ({number: "long"} if number else {})
-    made = {c: kinds.get(c, "long") for c in [key, *kept]} | extra
-    processor = _Ordered(key, sent.columns, kept, ["_us", *ties], [c for c in fill if c not in (key, ts)], lags, number)
-    out = sent.groupBy(key).transformWithStateInPandas(processor, ", ".join(f"`{c}` {k}" for c, k in made.items()), "append", "eventTime")
-    return out.withColumn(ts, F.timestamp_micros("_us").cast(kinds[ts])).select(*known.columns, *extra)
+    made = ", ".join(f"`{c}` {k}" for c, k in ({"_key": kinds[key]} | {c: kinds[c] for c in kept} | extra).items())
+    processor = _Ordered("_key", sent.columns, kept, ["_us", *ties], [c for c in fill if c not in (key, ts)], lags, number)
+    out = sent.groupBy("_key").transformWithStateInPandas(processor, made, "append", "eventTime").withColumn(ts, F.col("_us"))
+    return out.withColumns({key: F.col("_key")} | {c: F.timestamp_micros(c).cast(kinds[ts]) for c in times}).select(*known.columns, *extra)
 
 
 def with_open_rows(emitted: DataFrame, rows: DataFrame, key: str, ts: str, row_id: str, fill: Sequence[str] = (), lags: dict[str, tuple[str, int]] | None = None, number: str | None = None, ties: Sequence[str] = ()) -> DataFrame:

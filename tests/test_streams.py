@@ -177,6 +177,28 @@ def test_state_is_pieces_of_wide_rows(spark, tmp_path, monkeypatch):
     got = [tuple(r) for r in emitted.collect()]
     assert len(set(got)) == len(got) > 280 and set(got) <= want
     read = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "pieces")
-    first = read.option("batchId", 0).load().select(F.col("key.k"), F.length("user_map_value.rows").alias("n")).collect()
+    first = read.option("batchId", 0).load().select(F.col("key._key"), F.length("user_map_value.rows").alias("n")).collect()
     assert len(first) >= 10 and max(r.n for r in first) < 4_000
     assert 0 < read.load().count() < 20
+
+
+def test_repeated_hour_and_odd_names(spark, tmp_path):
+    """Times in the hour that a zone's clocks repeat, a lag of them, a name with a space and a key that is no text."""
+    schema = "`k y` int, t timestamp, `a-b` string, id long"
+    asked = {"fill": ["a-b"], "lags": {"prev t": ("t", 1), "k1": ("k y", 1)}, "number": "rn"}
+    start = dt.datetime(2024, 11, 3, 5, tzinfo=dt.timezone.utc)
+    rows = [(i % 3, start + dt.timedelta(seconds=37 * i), None if i % 4 else f"x{i}", i) for i in range(200)]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame(rows, schema)
+        df.coalesce(1).write.parquet(f"{tmp_path}/in0")
+        out = ordered_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in*"), "k y", "t", ties=["id"], **asked)
+        out.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        by = ["k y"], ["t", "id"]
+        want = windows.forward_fill(windows.prior_rows(df, *by, lags=asked["lags"], number="rn"), *by, asked["fill"]).select(*out.columns)
+        whole = lambda d: {tuple(r) for r in d.withColumn("t", F.unix_micros("t")).withColumn("prev t", F.unix_micros("prev t")).collect()}
+        got = whole(spark.read.schema(out.schema).parquet(f"{tmp_path}/out"))
+        assert len(got) > 190 and got <= whole(want)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
